@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import line_dedup, mixing, sharding, simhash
+from fathom.llm import language, line_dedup, mixing, sharding, simhash
+from fathom.llm.sampling import is_held_out
 from fathom.session import table
 
 
@@ -14,6 +15,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.where(~is_held_out()))
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicate(table(spark, sf_dir, "documents"), min_docs=10)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -30,6 +37,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
