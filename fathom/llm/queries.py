@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import language, line_dedup, mixing, sharding, simhash
+from fathom.llm import decontaminate, language, line_dedup, mixing, sharding, simhash
 from fathom.llm.sampling import is_held_out
 from fathom.session import table
 
@@ -15,6 +15,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "consistency")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, docs.where(~is_held_out()))
@@ -37,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
