@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, language, line_dedup, mixing, quality, sharding, simhash, toxicity
+from fathom.llm import decontaminate, language, line_dedup, minhash, mixing, quality, sharding, simhash, toxicity
 from fathom.llm.sampling import is_held_out
 from fathom.session import table
 
@@ -24,6 +24,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        minhash.packed(F.col("code")).alias("fingerprint"),
+        minhash.packed(F.col("edited_code")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("code"), F.col("edited_code")).alias("near_edited"),
+        minhash.likeness(F.col("code"), F.col("next_code")).alias("near_next"),
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, docs.where(~is_held_out()))
@@ -54,6 +67,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
+    "op5_minhash": op5_minhash,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
