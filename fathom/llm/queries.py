@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, language, line_dedup, minhash, mixing, quality, sharding, simhash, toxicity
+from fathom.llm import decontaminate, language, line_dedup, minhash, mixing, quality, sharding, simhash, suffix_array, toxicity
 from fathom.llm.sampling import is_held_out
 from fathom.session import table
 
@@ -24,6 +24,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("last").cast("long").alias("end_word"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.edited(table(spark, sf_dir, "documents"))
     return found.select(
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
+    "op4_suffix_array": op4_suffix_array,
     "op5_minhash": op5_minhash,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
