@@ -1 +1,5 @@
+"""The query catalogue, by workload."""
 
+from fathom.plans import retrieval
+
+ALL = [retrieval]
