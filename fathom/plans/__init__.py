@@ -1,5 +1,5 @@
 """The query catalogue, by workload."""
 
-from fathom.plans import retrieval
+from fathom.plans import catalog, documents, events, retrieval
 
-ALL = [retrieval]
+ALL = [retrieval, documents, catalog, events]
