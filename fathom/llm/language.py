@@ -31,7 +31,7 @@ PER_LANGUAGE = 2000
 BUCKETS = 1 << 15
 BITS = 15
 SHARPNESS = 12.0  # how fast the score falls with the loss
-MARGIN = 0.05  # ambiguous if the best codeword has less than so much more of the weight than the next
+MARGIN = 0.02  # ambiguous if the best codeword has less than so much more of the weight than the next
 _BLOCK = 1 << 20
 
 

@@ -192,7 +192,7 @@ def resample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     taken = mix(docs, weights, most, seed).withColumn("times", times).groupBy(F.col("doc_id").alias("taken_id"), F.col("h1").alias("taken_h1"), F.col("h2").alias("taken_h2")).agg(F.sum("times").alias("times"))
     taken = cut(taken.where("times > 0"), "taken")
     h1, h2 = twin_hash(filled("text"))
-    own = docs.withColumn("own_h1", h1).withColumn("own_h2", h2)
-    met = own["doc_id"].eqNullSafe(taken["taken_id"]) & (own["own_h1"] == taken["taken_h1"]) & (own["own_h2"] == taken["taken_h2"])
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), h1.alias("own_h1"), h2.alias("own_h2"))
+    met = own["own_id"].eqNullSafe(taken["taken_id"]) & (own["own_h1"] == taken["taken_h1"]) & (own["own_h2"] == taken["taken_h2"])
     once = own.join(taken, met).dropDuplicates(["taken_id", "taken_h1", "taken_h2"])
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

@@ -195,6 +195,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = cut(near_duplicates(docs), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
     kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    own = docs.withColumn("kept_by", F.xxhash64(filled("text")))
-    met = own["doc_id"].eqNullSafe(kept["kept_id"]) & (own["kept_by"] == kept["kept_hash"])
-    return own.join(kept, met, "left_semi").dropDuplicates(["doc_id", "kept_by"]).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(filled("text")).alias("own_hash"))
+    met = own["own_id"].eqNullSafe(kept["kept_id"]) & (own["own_hash"] == kept["kept_hash"])
+    return own.join(kept, met, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")

@@ -83,6 +83,7 @@ def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """``docs`` (doc_id, text) may be learned from; ``labels``: doc_id, toxic."""
+    docs = docs.select("doc_id", "text")
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("marked_id")).agg(F.max("toxic").alias("toxic"))
     # Documents that may not be learned from leave before the sample is drawn, as only their ids matter here.
     usable = marked.join(docs.select(F.col("doc_id").alias("marked_id")).distinct(), "marked_id", "left_semi").withColumn("all", F.lit(1))
