@@ -10,7 +10,7 @@ from fathom.functions import fuzzy
 from fathom.functions import text as tx
 from fathom.operators import catalog as ct
 from fathom.operators import segmentation as sg
-from fathom.operators import tree
+from fathom.operators import rules, tree
 from fathom.session import table
 
 def _as_of() -> F.Column:
@@ -48,6 +48,18 @@ def folder_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders
 
 
+def folder_ensure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that paths of region / nation / customer segment need: the last do not exist yet."""
+    customer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    parts = customer.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", F.lower("n_name"), "c_mktsegment").alias("parts"))
+    return rules.ensured_folders(_folders(spark, sf_dir), parts)
+
+
+def dangling_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return rules.dangling(orders, "o_custkey", table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0"), "c_custkey").select("o_orderkey", "o_custkey")
+
+
 def union_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders and files by name, folders first on equal scores."""
     folders = table(spark, sf_dir, "nation").selectExpr("'folder' kind", "cast(n_nationkey as long) id", "n_name name")
@@ -205,7 +217,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        folder_descendants, folder_paths, folder_tree, orphan_folders, folder_delete, union_search_results, fuzzy_name_search, fuzzy_dice_search,
+        folder_descendants, folder_paths, folder_tree, orphan_folders, folder_delete, folder_ensure, dangling_files, union_search_results, fuzzy_name_search, fuzzy_dice_search,
         upcoming_deadlines, due_reviews, deadline_urgency, deadline_days, deadline_replace, account_upsert, schema_migration, recency_top200, recent_files,
         conversation_titles, conversation_search, conversation_export, conversation_tail, regenerate_source, citation_context, related_files,
         missing_vectors, orphan_vectors, health_report, json_fields,
@@ -262,6 +274,13 @@ ORACLE_SQL = {
         ) SELECT * FROM t""",
     "orphan_folders": f"WITH {_FEWER} SELECT id, parent_id, name FROM fewer WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM fewer)",
     "folder_delete": f"WITH {_FOLDERS} SELECT id, CASE WHEN parent_id = 101 THEN NULL ELSE parent_id END AS parent_id, name FROM folders WHERE id <> 101",
+    "folder_ensure": f"""WITH {_FOLDERS}, p AS (
+            SELECT DISTINCT lower(r_name) AS a, lower(n_name) AS b, lower(c_mktsegment) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        ), one AS (SELECT a, min(f.id) AS id FROM (SELECT DISTINCT a FROM p) LEFT JOIN folders f ON f.parent_id IS NULL AND lower(f.name) = a GROUP BY a),
+        two AS (SELECT a, b, min(f.id) AS id FROM (SELECT DISTINCT a, b FROM p) JOIN one USING (a) LEFT JOIN folders f ON f.parent_id = one.id AND lower(f.name) = b GROUP BY a, b),
+        three AS (SELECT a, b, c, min(f.id) AS id FROM p JOIN two USING (a, b) LEFT JOIN folders f ON f.parent_id = two.id AND lower(f.name) = c GROUP BY a, b, c)
+        SELECT a AS path, id, 1::BIGINT AS depth FROM one UNION ALL SELECT a || '/' || b, id, 2 FROM two UNION ALL SELECT a || '/' || b || '/' || c, id, 3 FROM three""",
+    "dangling_files": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)",
     "union_search_results": _DICE.format(query="nation1", id="id", name="name", more="kind, name,", rows="""(
             SELECT 'folder' AS kind, n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 'file', s_suppkey, s_name FROM supplier)""")
     + "SELECT kind, id, name, score FROM s WHERE score >= 0.42 ORDER BY score DESC, kind <> 'folder', name, id LIMIT 50",

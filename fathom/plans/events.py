@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.functions import nested
 from fathom.operators import catalog as ct
 from fathom.operators import tasks as tk
 from fathom.session import table
@@ -62,7 +63,16 @@ def active_time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy("active", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (task_summary, task_recovery, task_progress, task_latest, task_log_tail, illegal_transitions, stalled_sessions, active_time_slots)}
+def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from payloads of two shapes around each event's own field."""
+    events = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    total = F.concat(F.lit('{"data":{"attendance":{"total":"'), k, F.lit('"}}}'))
+    states = F.concat(F.lit('{"x":[{"status":"'), F.when(F.col("event_type") == "error", "absent").otherwise("present"), F.lit('"},{"note":1}]}'))
+    return events.select("event_id", nested.answer_counts(F.when(F.col("event_id") % 2 == 0, total).otherwise(states)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (task_summary, task_recovery, task_progress, task_latest, task_log_tail, illegal_transitions, stalled_sessions, active_time_slots, nested_counts)}
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())
 _TASK_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASK_STATES.items())
@@ -92,4 +102,6 @@ ORACLE_SQL = {
         SELECT strftime(ts, '%H:%M') BETWEEN '08:00' AND '09:50' OR strftime(ts, '%H:%M') BETWEEN '13:10' AND '15:00' AS active, event_type, count(*) AS n
         FROM events GROUP BY ALL
     """,
+    "nested_counts": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0 THEN json_extract_string(props, '$.k')::BIGINT END
+        WHEN event_type = 'error' THEN 0 ELSE 1 END AS n FROM events""",
 }
