@@ -69,6 +69,17 @@ def neighbours(chunks: DataFrame, cited: DataFrame, key: list[str], reach: int =
     return chunks.join(wanted, [*key, "chunk_index"])
 
 
+def related(wanted: DataFrame, files: DataFrame, group: str, n: int) -> DataFrame:
+    """file_id, doc_id, rank: the newest ``n`` other files of the same group (null matches null) for each wanted file.
+
+    Only the newest n + 1 of a group can be in a result, so the groups are cut to those before they are joined."""
+    newest = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("doc_id")))
+    top = files.select("doc_id", F.col(group).alias("of"), newest.alias("place")).where(F.col("place") <= n + 1)
+    met = wanted.join(top, F.col(group).eqNullSafe(F.col("of")) & (F.col("doc_id") != F.col("file_id")))
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("place"))
+    return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("file_id", "doc_id", "rank")
+
+
 def fuzzy_search(names: DataFrame, query: str, cut: float = fuzzy.CUT, limit: int = 20) -> DataFrame:
     """Rows (kind, id, name) by score: folders before files, then by name; the first ``limit``."""
     scored = names.withColumn("score", fuzzy.name_score(F.lit(query), F.col("name"))).where(F.col("score") >= cut)

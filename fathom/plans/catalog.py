@@ -181,12 +181,9 @@ def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every hundredth document the next five of the same source (null matches null)."""
+    """For every hundredth document the newest five others of the same source (null matches null)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    wanted = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("file_id"), F.col("source").alias("of"))
-    met = docs.join(wanted, docs["source"].eqNullSafe(wanted["of"]) & (docs["doc_id"] > wanted["file_id"]))
-    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("doc_id"))
-    return met.withColumn("rank", rank.cast("long")).where("rank <= 5").select("file_id", "doc_id", "rank")
+    return ct.related(docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "file_id"), docs, "source", 5)
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,8 +329,8 @@ ORACLE_SQL = {
         SELECT doc_id, chunk_index, cited_index, md5(text) AS text_md5 FROM k JOIN m USING (doc_id) WHERE abs(chunk_index - cited_index) <= 1
     """,
     "related_files": """
-        SELECT f.doc_id AS file_id, d.doc_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY d.doc_id) AS rank
-        FROM documents f JOIN documents d ON d.source IS NOT DISTINCT FROM f.source AND d.doc_id > f.doc_id WHERE f.doc_id % 100 = 0 QUALIFY rank <= 5
+        SELECT f.doc_id AS file_id, d.doc_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY d.doc_id DESC) AS rank
+        FROM documents f JOIN documents d ON d.source IS NOT DISTINCT FROM f.source AND d.doc_id <> f.doc_id WHERE f.doc_id % 100 = 0 QUALIFY rank <= 5
     """,
     "missing_vectors": f"WITH {_ISSUES} SELECT file_id, level FROM issues WHERE code = 'missing_vectors'",
     "orphan_vectors": f"WITH {_ISSUES} SELECT file_id, level FROM issues WHERE code = 'orphan_vectors'",
