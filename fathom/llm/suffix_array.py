@@ -5,9 +5,10 @@ Texts are sequences of hashed words. Of all suffixes, only those at content-sele
 the same position inside them, with ``HEAD`` words or more of the passage to its right. Suffixes whose first
 ``HEAD`` words no other document has are dropped by a pre-aggregated count; the rest are sorted by their words to the
 right, then by their words to the left (nearest first), over range partitions, and neighbours are compared: the
-common words to the right and to the left of the position are the match. Kept positions lie so close that contexts
-of ``RIGHT`` and ``LEFT`` words chain into passages of any length. The last rows of a partition meet the first of the
-next in a second pass over a few rows a partition.
+common words to the right and to the left of the position are the match. A second order, by the words to the left
+first, finds partners whose match reaches further to the left. Kept positions lie so close that contexts of ``RIGHT``
+and ``LEFT`` words chain into passages of any length. The last rows of a partition meet the first of the next in a
+second pass over a few rows a partition.
 
 Sorted order puts equal passages of many documents beside one another, so a passage in a third of all documents
 costs one comparison a copy, and as the sort key ends with the document, range partitions split it.
@@ -20,6 +21,7 @@ allowed; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +48,34 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_FACTOR, n, 1 << 64))
 
 
-def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomial hashes of GRAM and HEAD words from each position; the last ones run over the end."""
-    p = {1: h}
-    for n in (1, 2, 4, 8):
-        p[2 * n] = p[n] * _power(n) + np.append(p[n][n:], np.zeros(min(n, len(h)), np.uint64))[: len(h)]
-    rest = HEAD - 16
-    head = p[16] * _power(rest) + np.append(p[rest][16:], np.zeros(min(16, len(h)), np.uint64))[: len(h)]
-    mixed = (p[GRAM] ^ (p[GRAM] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(29)), head
+def _after(a: np.ndarray, n: int) -> np.ndarray:
+    """a[i + n] for each i, 0 beyond the end."""
+    return np.append(a[n:], np.zeros(min(n, len(a)), a.dtype))
+
+
+def _polynomials(h: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of so many words from each position; the last ones run over the end."""
+    power, made = {1: h}, []
+    while 2 * max(power) <= max(sizes):
+        n = max(power)
+        power[2 * n] = power[n] * _power(n) + _after(power[n], n)
+    for size in sizes:
+        out, done = np.zeros(len(h), np.uint64), 0
+        for n in sorted(power, reverse=True):
+            if size - done >= n:
+                out, done = out * _power(n) + _after(power[n], done), done + n
+        made.append(out)
+    return made
+
+
+def _grams(h: np.ndarray) -> np.ndarray:
+    gram = _polynomials(h, (GRAM,))[0]
+    mixed = (gram ^ (gram >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _heads(h: np.ndarray) -> np.ndarray:
+    return _polynomials(h, (HEAD,))[0]
 
 
 def _extreme(a: np.ndarray, best: np.ufunc, size: int, fill: int) -> np.ndarray:
@@ -67,17 +88,33 @@ def _extreme(a: np.ndarray, best: np.ufunc, size: int, fill: int) -> np.ndarray:
     return best(a, shift(a, size - n)) if n < size else a
 
 
+def _thinned(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inside a run of a repeated phrase every position ties, and all have the same words around them, so they match
+    alike: one is enough for each ``LEFT`` words."""
+    whole = at[(at >= LEFT) & (at + RIGHT <= len(h))]
+    around = _polynomials(h, (LEFT + RIGHT,))[0][whole - LEFT]
+    if len(np.unique(around)) == len(around):
+        return at
+    last: dict[int, int] = {}
+    gone = []
+    for i, c in zip(whole.tolist(), around.tolist(), strict=True):
+        if i - last.get(c, -LEFT - 1) <= LEFT:
+            gone.append(i)
+        else:
+            last[c] = i
+    return np.setdiff1d(at, np.array(gone, at.dtype), assume_unique=True)
+
+
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kept positions of one text's word hashes and the hashes of their heads."""
     if len(h) < PASSAGE:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    gram, head = _runs(h)
-    gram = gram[: len(h) - GRAM + 1]
+    gram = _grams(h)[: len(h) - GRAM + 1]
     least = _extreme(gram, np.minimum, SPAN, 0)[: len(gram) - SPAN + 1]
     padded = np.concatenate((np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)))
     chosen = _extreme(padded, np.maximum, SPAN, 0)[: len(gram)] == gram
-    at = np.flatnonzero(chosen[: len(h) - HEAD + 1])
-    return at, head[at]
+    at = _thinned(h, np.flatnonzero(chosen[: len(h) - HEAD + 1]))
+    return at, _heads(h)[at]
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +146,7 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         places = b.column(3).values.to_numpy(zero_copy_only=False)
         for i in range(len(b)):
             h, at = hashes[hash_at[i] : hash_at[i + 1]], np.sort(places[place_at[i] : place_at[i + 1]])
-            _, head = _runs(h)
+            head = _heads(h)
             short = np.maximum((h & np.uint64(0xFFFF)).astype(">u2"), 1).astype(">u2")
             for k in range(0, len(at), _SLICE // 64):
                 own = at[k : k + _SLICE // 64]
@@ -128,11 +165,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(unlike.any(axis=1), unlike.argmax(axis=1), a.shape[1])
 
 
-def _matches(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matches(key: np.ndarray, doc: np.ndarray, left_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted rows: words common to the left and right with the nearest rows of other documents, if enough."""
     n = len(doc)
     head = np.ascontiguousarray(key[:, :8]).view(">u8").ravel()
     context = np.ascontiguousarray(key[:, 8:]).view(">u2")
+    to_left, to_right = (context[:, :LEFT], context[:, LEFT:]) if left_first else (context[:, _TAIL:], context[:, :_TAIL])
     start = np.maximum.accumulate(np.where(np.append(True, doc[1:] != doc[:-1]), np.arange(n), 0))
     stop = np.minimum.accumulate(np.where(np.append(doc[1:] != doc[:-1], True), np.arange(n), n)[::-1])[::-1]
     left, right, found = np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool)
@@ -140,8 +178,8 @@ def _matches(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         own = np.flatnonzero((partner >= 0) & (partner < n))
         other = partner[own]
         own, other = own[head[own] == head[other]], other[head[own] == head[other]]
-        r = HEAD + _common(context[own, :_TAIL], context[other, :_TAIL])
-        x = _common(context[own, _TAIL:], context[other, _TAIL:])
+        r = HEAD + _common(to_right[own], to_right[other])
+        x = _common(to_left[own], to_left[other])
         own, r, x = own[r + x >= PASSAGE], r[r + x >= PASSAGE], x[r + x >= PASSAGE]
         found[own] = True
         left[own], right[own] = np.maximum(left[own], x), np.maximum(right[own], r)
@@ -151,7 +189,7 @@ def _matches(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _OUT = "edge boolean, key binary, doc_id long, doc_hash long, pos int, first int, last int"
 
 
-def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_batches(batches: Iterator[pa.RecordBatch], left_first: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows in order of the key -> matches, and the outermost rows of the partition as edges. What follows the last
     change of document waits for the next batch."""
     names = [c.split()[0] for c in _OUT.split(", ")]
@@ -178,18 +216,18 @@ def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             edge(held.take([0, int(changes[0])]))
             began = True
         if len(changes):
-            yield from _found(held, key, doc, names)
+            yield from _found(held, _matches(key, doc, left_first), names)
             held = held.slice(int(changes[-1]) - 1)
     if held is not None:
         key, doc = arrays(held.combine_chunks())
-        yield from _found(held, key, doc, names)
+        yield from _found(held, _matches(key, doc, left_first), names)
         edge(held.take(sorted({0, len(held) - 1})))
     for t in edges:
         yield from t.to_batches()
 
 
-def _found(t: pa.Table, key: np.ndarray, doc: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    found, left, right = _matches(key, doc)
+def _found(t: pa.Table, matches: tuple[np.ndarray, np.ndarray, np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    found, left, right = matches
     at = np.flatnonzero(found)
     pos = t.column("pos").to_numpy()[at]
     take = pa.array(at)
@@ -198,25 +236,33 @@ def _found(t: pa.Table, key: np.ndarray, doc: np.ndarray, names: list[str]) -> I
     yield from pa.table(columns, names).combine_chunks().to_batches()
 
 
+def _neighbour_matches(suffixes: DataFrame, left_first: bool) -> DataFrame:
+    """doc_id, doc_hash, first, last of all matches between neighbours in the order of the key."""
+    order = ["key", "doc_hash", "pos"]
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = partial(_match_batches, left_first=left_first)
+    found = cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _OUT), "matches")
+    edges = found.where("edge").select("key", *DOC, "pos").repartition(1).sortWithinPartitions(*order)  # four rows a partition
+    matches = found.where("not edge").select(*DOC, "first", "last")
+    return matches.union(edges.mapInArrow(run, _OUT).where("not edge").select(*DOC, "first", "last"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, doc_hash, first, last: maximal runs of words (from, to before) that other documents share."""
     text = filled("text")
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
     tokens = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("doc_hash"), hashes.alias("hashes"))
     placed = cut(tokens.mapInArrow(_anchor_batches, "doc_id long, doc_hash long, pos int, head long"), "anchors")
-    shared = placed.groupBy("head").agg(F.min("doc_hash").alias("low"), F.max("doc_hash").alias("high")).where("low <> high").select("head")
+    shared = placed.groupBy("head").agg(F.min("doc_hash").alias("low"), F.max("doc_hash").alias("high")).where("low <> high")
+    shared = cut(shared.select("head"), "heads")  # apart from its counting, so that the join below can split a hot head
     places = placed.join(shared, "head", "left_semi").groupBy(*DOC).agg(F.collect_set("pos").alias("positions"))
     places = cut(places, "positions").withColumnsRenamed({"doc_id": "at_id", "doc_hash": "at_hash"})
     raw = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("doc_hash"), text.alias("text"))
     held = raw.join(places, raw["doc_id"].eqNullSafe(places["at_id"]) & (raw["doc_hash"] == places["at_hash"]))
     suffixes = held.select(*DOC, hashes.alias("hashes"), "positions").mapInArrow(_suffix_batches, "key binary, doc_id long, doc_hash long, pos int")
     suffixes = cut(suffixes, "suffixes")
-    order = ["key", "doc_hash", "pos"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_match_batches, _OUT), "matches")
-    edges = found.where("edge").select("key", *DOC, "pos").repartition(1).sortWithinPartitions(*order)  # four rows a partition
-    matches = found.where("not edge").select(*DOC, "first", "last")
-    matches = matches.union(edges.mapInArrow(_match_batches, _OUT).where("not edge").select(*DOC, "first", "last"))
+    turned = F.concat(F.substring("key", 1, 8), F.substring("key", 9 + 2 * _TAIL, 2 * LEFT), F.substring("key", 9, 2 * _TAIL))
+    matches = _neighbour_matches(suffixes, False).union(_neighbour_matches(suffixes.withColumn("key", turned), True))
     before = Window.partitionBy(*DOC).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     run = Window.partitionBy(*DOC).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
     return (

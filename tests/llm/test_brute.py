@@ -195,6 +195,14 @@ def test_passages_across_many_partitions(spark):
     check_passages(table(spark, [(i, t, "xx", "s") for i, t in texts.items()]).repartition(9), texts)
 
 
+def test_repeated_phrases(spark):
+    rng = random.Random(7)
+    texts = {i: f"{prose(rng, rng.randint(0, 30))} {'is on ' * rng.randint(10, 90)} {prose(rng, rng.randint(0, 30))}" for i in range(8)}
+    texts |= {10 + i: f"{prose(rng, 9)} {' '.join(['one two three four five six seven'] * rng.randint(5, 20))} {prose(rng, 9)}" for i in range(5)}
+    texts |= {20: "solo " * 300, 21: "solo " * 90, 22: "lone pair " * 100}
+    check_passages(table(spark, [(i, t, "xx", "s") for i, t in texts.items()]), texts)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -380,6 +388,17 @@ def test_rebalancing_edits_the_map():
     assert all(old[s] == 7 for s in loads if old[s] != fewer[s]) and max(fewer.values()) == 6
 
 
+def test_stored_maps_have_versions(spark, docs, tmp_path):
+    folder = str(tmp_path / "map")
+    old = {r.doc_id: r.virtual_slot for r in sharding.shard(docs, 4, folder=folder).collect()}
+    new = sharding.rebalance_stored(spark, folder, 5)
+    assert {r.virtual_slot for r in new.collect()} == set(old.values())
+    versions = spark.read.parquet(folder)
+    assert {r.version for r in versions.select("version").distinct().collect()} == {1, 2}
+    moved = versions.groupBy("virtual_slot").agg(F.countDistinct("shard").alias("n"), F.max("shard").alias("to")).where("n = 2")
+    assert {r.to for r in moved.collect()} <= {4}
+
+
 # pipeline ---------------------------------------------------------------------------------------------------------
 
 
