@@ -12,6 +12,7 @@ are ignored. Law: ``bytes`` (the sizes of the shards are near equal).
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from fathom.session import cut, shared_dir
 
 N_SLOTS = 4096
 OVERHEAD = 16  # bytes that each record costs besides its text
-MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, first_place long"
+MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long, first_place long"
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -80,25 +81,36 @@ def rebalance(mapped: dict[int, int], loads: dict[int, tuple[int, int]], n_shard
 
 
 def store_map(spark: SparkSession, mapped: dict[int, int], loads: dict[int, tuple[int, int]], folder: str, version: int) -> DataFrame:
-    """Write one version of the map. first_place is where the slot's rows begin within their shard."""
+    """Write one version of the map, which stays as it is from then on. first_place is where the slot's rows begin
+    within their shard."""
     rows, filled_to = [], {}
     for slot in sorted(mapped):
         size, n = loads[slot]
         first = filled_to.get(mapped[slot], 0)
-        rows.append((slot, mapped[slot], size, first))
+        rows.append((slot, mapped[slot], size, n, first))
         filled_to[mapped[slot]] = first + n
     path = f"{folder}/version={version}"
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(path)
     return spark.read.schema(MAP_SCHEMA).parquet(path)
 
 
+def rebalance_stored(spark: SparkSession, folder: str, n_shards: int) -> DataFrame:
+    """Edit the latest version of a stored map for another number of shards and store it as the next version. Only the
+    map is read; rows of slots that stay need not move."""
+    stored = spark.read.parquet(folder)
+    version = stored.agg(F.max("version")).first()[0]
+    rows = stored.where(F.col("version") == version).collect()
+    loads = {r.virtual_slot: (r.slot_bytes, r.slot_rows) for r in rows}
+    return store_map(spark, rebalance({r.virtual_slot: r.shard for r in rows}, loads, n_shards), loads, folder, version + 1)
+
+
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, folder: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place within the shard, from 0, without gaps), grown_shard and
     virtual_slot. The map has at most ``n_slots`` rows, so it is broadcast."""
     spark = docs.sparkSession
     rows = cut(records(docs, n_slots), "records")
     loads = slot_loads(rows)
-    folder = folder or f"{shared_dir(spark)}/slot-maps/{docs.sparkSession.sparkContext.applicationId}-{id(docs)}"
+    folder = folder or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
     mapped = store_map(spark, deal(loads, n_shards), loads, folder, 1)
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
