@@ -81,7 +81,75 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
+_TEMPLATES = r"""
+    parts AS (
+        SELECT {id} AS id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS raw,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]+') AS gaps FROM {rows}
+    ), numbered AS (
+        SELECT id, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '#n' ELSE t END) AS ts,
+            CASE WHEN regexp_matches(text, '^[\x20\x09-\x0D]') THEN gaps ELSE list_prepend('', gaps) END AS gaps FROM parts
+    ), named AS (
+        SELECT id, raw, gaps, list_transform(ts, lambda t, i: lower(CASE WHEN i > 1 AND gaps[i] IN (' ', chr(9)) AND regexp_matches(t, '^\p{{Lu}}')
+            AND NOT regexp_matches(ts[i - 1], '[.!?:;|]$') THEN '#p' ELSE t END)) AS ts FROM numbered
+    ), bare AS (
+        SELECT id, raw, gaps, list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '[\p{{L}}#]') THEN regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\p{{C}}#]+', '', 'g') ELSE t END) AS ts FROM named
+    ), tokens AS (
+        SELECT id, raw, list_transform(ts, lambda t, i: CASE WHEN i > 1 AND gaps[i] = ' ' AND ts[i - 1] = '#n' AND t IN ({units}) THEN '#u' ELSE t END) AS ts FROM bare
+    )
+"""
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS.split())
+_BARE = r"lower(regexp_replace({}, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g'))"
+
 ORACLE_SQL = {
+    # For items of at least a window's length, as all of the given ones are.
+    "op2_decontamination": "WITH "
+    + _TEMPLATES.format(id="doc_id", rows="documents", units=_UNITS).replace(" tokens AS", " doc_tokens AS")
+    + r""", items AS (
+            SELECT min(item_id) AS item_id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text
+        ), """
+    + _TEMPLATES.format(id="item_id", rows="items", units=_UNITS).replace("parts", "iparts").replace("numbered", "inumbered").replace("named", "inamed").replace("bare AS", "ibare AS").replace("FROM bare", "FROM ibare").replace(" tokens AS", " item_tokens AS")
+    + rf""", item_windows AS (
+            SELECT id AS item_id, raw, ts, unnest(generate_series(0, len(ts) - 8)) AS ipos FROM item_tokens WHERE len(ts) >= 8
+        ), bench AS (
+            SELECT item_id, ipos, raw[ipos + 1 : ipos + 8] AS own, array_to_string(ts[ipos + 1 : ipos + 8], ' ') AS h,
+                list_filter(generate_series(1, 8), lambda i: ts[ipos + i] IN ('#n', '#p', '#u')) AS slots
+            FROM item_windows WHERE len(list_filter(ts[ipos + 1 : ipos + 8], lambda t: t IN ('#n', '#p', '#u'))) <= 3
+        ), sizes AS (SELECT item_id, count(*) AS n_windows FROM bench GROUP BY item_id
+        ), doc_windows AS (
+            SELECT id AS doc_id, raw, list_transform(generate_series(0, len(ts) - 8), lambda k: array_to_string(ts[k + 1 : k + 8], ' ')) AS hs FROM doc_tokens WHERE len(ts) >= 8
+        ), placed AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS pos FROM doc_windows
+        ), hits AS (SELECT p.doc_id, p.pos, b.item_id, b.ipos, b.own, b.slots, p.pos - b.ipos AS "offset" FROM placed p JOIN bench b USING (h)
+        ), pairs AS (
+            SELECT h.doc_id, item_id, "offset", own, d.raw, pos, unnest(slots) AS i FROM hits h JOIN doc_windows d ON d.doc_id = h.doc_id
+        ), values_ AS (
+            SELECT doc_id, item_id, "offset", {_BARE.format('own[i]')} AS a, {_BARE.format('raw[pos + i]')} AS b FROM pairs
+        ), agreed AS (SELECT doc_id, item_id, "offset", a, (min(b) = max(b))::INT AS same FROM values_ GROUP BY ALL
+        ), checked AS (SELECT doc_id, item_id, "offset", avg(same) AS consistency FROM agreed GROUP BY ALL
+        ), counted AS (
+            SELECT h.doc_id, h.item_id, h.ipos, coalesce(c.consistency, 1.0) AS consistency FROM hits h
+            LEFT JOIN checked c ON c.doc_id = h.doc_id AND c.item_id = h.item_id AND c."offset" = h."offset" WHERE coalesce(c.consistency, 1.0) >= 0.8
+        )
+        SELECT doc_id, item_id, count(DISTINCT ipos) / any_value(n_windows) AS coverage, min(consistency)::DOUBLE AS consistency
+        FROM counted JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT ipos) / any_value(n_windows) >= 0.3
+    """,
+    # Every run of 50 words that another document has, joined where they overlap or touch.
+    "op4_suffix_array": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), windows AS (
+            SELECT doc_id, list_transform(generate_series(0, len(ws) - 50), lambda k: md5(array_to_string(ws[k + 1 : k + 50], ' '))) AS hs
+            FROM w WHERE len(ws) >= 50
+        ), placed AS (
+            SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS k FROM windows
+        ), shared AS (
+            SELECT h FROM placed GROUP BY h HAVING count(DISTINCT doc_id) > 1
+        ), hits AS (
+            SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM placed SEMI JOIN shared USING (h)
+        ), islands AS (
+            SELECT doc_id, k, sum((before IS NULL OR k > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM hits
+        )
+        SELECT doc_id, min(k)::BIGINT AS first_word, (max(k) + 50)::BIGINT AS end_word FROM islands GROUP BY doc_id, island
+    """,
     "op7_line_dedup": """
         WITH split_up AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
