@@ -44,7 +44,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per hash and document with the sorted positions, in range partitions of the hash."""
+    """One row per hash and document with its positions, in range partitions of the hash."""
     rows = cut(line_rows(docs), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(
@@ -64,7 +64,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     found = occurrences(docs)
     first = F.min(F.struct(*DOC, F.array_min("positions").alias("pos")))
     common = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first")).where(F.col("n_docs") >= min_docs)
-    dropped = found.join(common.select("h1", "h2", "first"), ["h1", "h2"])
+    common = cut(common.select("h1", "h2", "first"), "common")  # apart from its counting, so that the join can split a hot line
+    dropped = found.join(common, ["h1", "h2"])
     if keep_first:
         is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash"))
         dropped = dropped.withColumn(
