@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from fathom.session import cut
 
 
+SALTS = 8  # parts of a node's links that may go to different tasks
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
+    """Adds the least of each u and its neighbours. The hub of a large component has many links, so they are salted."""
     least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("least"))
-    return pairs.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["u", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -160,6 +160,7 @@ def links(nodes: DataFrame, block: int = BUCKET) -> DataFrame:
     """``nodes`` (fp, distinct) -> (u, v): enough of the links to connect all that are linked."""
     keyed = nodes.select("fp", F.explode(_buckets(F.col("fp"))).alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = cut(sizes, "buckets")  # apart from its counting, so that the join can split a hot bucket
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     units = (
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = rooted.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
     return prints.join(named, "fp")
 
