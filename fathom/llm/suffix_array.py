@@ -6,9 +6,11 @@ the same position inside them, with ``HEAD`` words or more of the passage to its
 ``HEAD`` words no other document has are dropped by a pre-aggregated count; the rest are sorted by their words to the
 right, then by their words to the left (nearest first), over range partitions, and neighbours are compared: the
 common words to the right and to the left of the position are the match. A second order, by the words to the left
-first, finds partners whose match reaches further to the left. Kept positions lie so close that contexts of ``RIGHT``
-and ``LEFT`` words chain into passages of any length. The last rows of a partition meet the first of the next in a
-second pass over a few rows a partition.
+first, gives the furthest match to the left. Where one partner reaches furthest both ways, or the two reaches
+together are too short, the neighbours settle the position; else (partners that differ on both sides, as edited
+copies do) all ``PASSAGE``-word windows around the positions with that head are hashed and counted, so no match is
+lost. Kept positions lie so close that contexts of ``RIGHT`` and ``LEFT`` words chain into passages of any length. The
+last rows of a partition meet the first of the next in a second pass over a few rows a partition.
 
 Sorted order puts equal passages of many documents beside one another, so a passage in a third of all documents
 costs one comparison a copy, and as the sort key ends with the document, range partitions split it.
@@ -156,7 +158,7 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 key = np.concatenate((head[own].astype(">u8").view(np.uint8).reshape(-1, 8), context.view(np.uint8).reshape(len(own), -1)), axis=1)
                 column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_KEY), len(own), [None, pa.py_buffer(np.ascontiguousarray(key))]).cast(pa.binary())
                 take = pa.array(np.full(len(own), i))
-                yield pa.RecordBatch.from_arrays([column, b.column(0).take(take), b.column(1).take(take), pa.array(own.astype(np.int32))], ["key", *DOC, "pos"])
+                yield pa.RecordBatch.from_arrays([column, b.column(0).take(take), b.column(1).take(take), pa.array(own.astype(np.int32)), pa.array(head[own].view(np.int64))], ["key", *DOC, "pos", "head"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,28 +167,30 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(unlike.any(axis=1), unlike.argmax(axis=1), a.shape[1])
 
 
-def _matches(key: np.ndarray, doc: np.ndarray, left_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted rows: words common to the left and right with the nearest rows of other documents, if enough."""
+def _matches(key: np.ndarray, doc: np.ndarray, left_first: bool) -> dict[str, np.ndarray]:
+    """Of sorted rows: which have a row of another document with their head beside them, the words common with the
+    better of the two to the right and left, and the match (from the row's position), if one is long enough."""
     n = len(doc)
     head = np.ascontiguousarray(key[:, :8]).view(">u8").ravel()
     context = np.ascontiguousarray(key[:, 8:]).view(">u2")
     to_left, to_right = (context[:, :LEFT], context[:, LEFT:]) if left_first else (context[:, _TAIL:], context[:, :_TAIL])
     start = np.maximum.accumulate(np.where(np.append(True, doc[1:] != doc[:-1]), np.arange(n), 0))
     stop = np.minimum.accumulate(np.where(np.append(doc[1:] != doc[:-1], True), np.arange(n), n)[::-1])[::-1]
-    left, right, found = np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool)
+    right, left, before, after = (np.zeros(n, np.int32) for _ in range(4))
     for partner in (start - 1, stop + 1):
         own = np.flatnonzero((partner >= 0) & (partner < n))
+        own = own[head[own] == head[partner[own]]]
         other = partner[own]
-        own, other = own[head[own] == head[other]], other[head[own] == head[other]]
-        r = HEAD + _common(to_right[own], to_right[other])
-        x = _common(to_left[own], to_left[other])
-        own, r, x = own[r + x >= PASSAGE], r[r + x >= PASSAGE], x[r + x >= PASSAGE]
-        found[own] = True
-        left[own], right[own] = np.maximum(left[own], x), np.maximum(right[own], r)
-    return found, left, right
+        r = HEAD + _common(to_right[own], to_right[other]).astype(np.int32)
+        x = _common(to_left[own], to_left[other]).astype(np.int32)
+        better = (x * 64 + r > left[own] * 64 + right[own]) if left_first else (r * 64 + x > right[own] * 64 + left[own])
+        right[own[better]], left[own[better]] = r[better], x[better]
+        long = r + x >= PASSAGE
+        before[own[long]], after[own[long]] = np.maximum(before[own[long]], x[long]), np.maximum(after[own[long]], r[long])
+    return {"met": right > 0, "right": right, "left": left, "before": before, "after": after, "head": head.astype(np.uint64).view(np.int64)}
 
 
-_OUT = "edge boolean, key binary, doc_id long, doc_hash long, pos int, first int, last int"
+_OUT = "edge boolean, key binary, doc_id long, doc_hash long, pos int, head long, right int, left int, first int, last int"
 
 
 def _match_batches(batches: Iterator[pa.RecordBatch], left_first: bool = False) -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch], left_first: bool = False)
 
     def edge(t: pa.Table) -> None:
         none = pa.nulls(len(t), pa.int32())
-        edges.append(pa.table([pa.array([True] * len(t)), t.column("key"), t.column("doc_id"), t.column("doc_hash"), t.column("pos"), none, none], names))
+        edges.append(pa.table([pa.array([True] * len(t)), *(t.column(c) for c in ("key", *DOC, "pos", "head")), none, none, none, none], names))
 
     for b in batches:
         if not len(b):
@@ -213,7 +217,7 @@ def _match_batches(batches: Iterator[pa.RecordBatch], left_first: bool = False)
         key, doc = arrays(held)
         changes = np.flatnonzero(doc[1:] != doc[:-1]) + 1
         if not began and len(changes):
-            edge(held.take([0, int(changes[0])]))
+            edge(held.slice(0, int(changes[0]) + 1))
             began = True
         if len(changes):
             yield from _found(held, _matches(key, doc, left_first), names)
@@ -221,30 +225,69 @@ def _match_batches(batches: Iterator[pa.RecordBatch], left_first: bool = False)
     if held is not None:
         key, doc = arrays(held.combine_chunks())
         yield from _found(held, _matches(key, doc, left_first), names)
-        edge(held.take(sorted({0, len(held) - 1})))
+        edge(held)
     for t in edges:
         yield from t.to_batches()
 
 
-def _found(t: pa.Table, matches: tuple[np.ndarray, np.ndarray, np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    found, left, right = matches
-    at = np.flatnonzero(found)
-    pos = t.column("pos").to_numpy()[at]
-    take = pa.array(at)
-    columns = [pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), pa.binary()), t.column("doc_id").take(take), t.column("doc_hash").take(take), pa.array(pos.astype(np.int32))]
-    columns += [pa.array((pos - left[at]).astype(np.int32)), pa.array((pos + right[at]).astype(np.int32))]
+def _found(t: pa.Table, m: dict[str, np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(m["met"])
+    pos = t.column("pos").to_numpy()[at].astype(np.int32)
+    take, none = pa.array(at), m["after"][at] == 0
+    columns = [pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), pa.binary()), t.column("doc_id").take(take), t.column("doc_hash").take(take), pa.array(pos)]
+    columns += [pa.array(m[c][at]) for c in ("head", "right", "left")]
+    columns += [pa.array(pos - m["before"][at], mask=none), pa.array(pos + m["after"][at], mask=none)]
     yield from pa.table(columns, names).combine_chunks().to_batches()
 
 
-def _neighbour_matches(suffixes: DataFrame, left_first: bool) -> DataFrame:
-    """doc_id, doc_hash, first, last of all matches between neighbours in the order of the key."""
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix rows -> (window hash, doc_id, doc_hash, first) of every PASSAGE-word window around the position that the
+    context holds."""
+    reach = PASSAGE - HEAD  # words to the left of the position in the leftmost window
+    for b in batches:
+        column = b.column(0)
+        key = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * _KEY : (column.offset + len(column)) * _KEY].reshape(-1, _KEY)
+        context = np.ascontiguousarray(key[:, 8:]).view(">u2").astype(np.uint64)
+        to_right, to_left = context[:, :reach], context[:, _TAIL : _TAIL + reach]
+        head = b.column(4).to_numpy().view(np.uint64)
+        sums = []
+        for side in (to_right, to_left):  # hashes of the nearest 0, 1, ... words; whole tells how many there are
+            total = np.zeros((len(head), reach + 1), np.uint64)
+            for k in range(reach):
+                total[:, k + 1] = (total[:, k] + side[:, k] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+                total[:, k + 1] ^= total[:, k + 1] >> np.uint64(32)
+            sums.append((total, np.where((side == 0).any(axis=1), (side == 0).argmax(axis=1), reach)))
+        (right, n_right), (left, n_left) = sums
+        hashes, rows, firsts = [], [], []
+        pos = b.column(3).to_numpy()
+        for a in range(reach + 1):
+            fits = np.flatnonzero((n_left >= a) & (n_right >= reach - a))
+            mixed = (head[fits] ^ right[fits, reach - a]) * np.uint64(_FACTOR) + left[fits, a] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(a)
+            hashes.append((mixed ^ (mixed >> np.uint64(31))).view(np.int64))
+            rows.append(fits)
+            firsts.append((pos[fits] - a).astype(np.int32))
+        take = pa.array(np.concatenate(rows))
+        columns = [pa.array(np.concatenate(hashes)), b.column(1).take(take), b.column(2).take(take), pa.array(np.concatenate(firsts))]
+        yield pa.RecordBatch.from_arrays(columns, ["window", *DOC, "first"])
+
+
+def _neighbours(suffixes: DataFrame, left_first: bool) -> DataFrame:
+    """doc_id, doc_hash, pos, head, right, left, first, last of all rows that met another document."""
     order = ["key", "doc_hash", "pos"]
+    kept = [*DOC, "pos", "head", "right", "left", "first", "last"]
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = partial(_match_batches, left_first=left_first)
     found = cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _OUT), "matches")
-    edges = found.where("edge").select("key", *DOC, "pos").repartition(1).sortWithinPartitions(*order)  # four rows a partition
-    matches = found.where("not edge").select(*DOC, "first", "last")
-    return matches.union(edges.mapInArrow(run, _OUT).where("not edge").select(*DOC, "first", "last"))
+    edges = found.where("edge").select("key", *DOC, "pos", "head").repartition(1).sortWithinPartitions(*order)  # one document at each end of a partition
+    return found.where("not edge").select(kept).union(edges.mapInArrow(run, _OUT).where("not edge").select(kept))
+
+
+def _window_matches(suffixes: DataFrame, heads: DataFrame) -> DataFrame:
+    """doc_id, doc_hash, first, last of all windows around positions with these heads that documents share."""
+    rows = suffixes.join(cut(heads.distinct(), "open-heads"), "head", "left_semi").select("key", *DOC, "pos", "head")
+    windows = cut(rows.mapInArrow(_window_batches, "window long, doc_id long, doc_hash long, first int"), "windows")
+    shared = windows.groupBy("window").agg(F.min("doc_hash").alias("low"), F.max("doc_hash").alias("high")).where("low <> high")
+    return windows.join(cut(shared.select("window"), "shared"), "window", "left_semi").select(*DOC, "first", (F.col("first") + PASSAGE).alias("last"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -259,10 +302,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     places = cut(places, "positions").withColumnsRenamed({"doc_id": "at_id", "doc_hash": "at_hash"})
     raw = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("doc_hash"), text.alias("text"))
     held = raw.join(places, raw["doc_id"].eqNullSafe(places["at_id"]) & (raw["doc_hash"] == places["at_hash"]))
-    suffixes = held.select(*DOC, hashes.alias("hashes"), "positions").mapInArrow(_suffix_batches, "key binary, doc_id long, doc_hash long, pos int")
+    suffixes = held.select(*DOC, hashes.alias("hashes"), "positions").mapInArrow(_suffix_batches, "key binary, doc_id long, doc_hash long, pos int, head long")
     suffixes = cut(suffixes, "suffixes")
     turned = F.concat(F.substring("key", 1, 8), F.substring("key", 9 + 2 * _TAIL, 2 * LEFT), F.substring("key", 9, 2 * _TAIL))
-    matches = _neighbour_matches(suffixes, False).union(_neighbour_matches(suffixes.withColumn("key", turned), True))
+    met = _neighbours(suffixes, False).union(_neighbours(suffixes.withColumn("key", turned), True))
+    met = met.groupBy(*DOC, "pos", "head").agg(
+        F.max(F.struct("right", "left")).alias("r"), F.max(F.struct("left", "right")).alias("l"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    met = cut(met, "met")
+    unsettled = (F.col("r.right") + F.col("l.left") >= PASSAGE) & (F.col("r.left") != F.col("l.left")) & (F.col("l.right") != F.col("r.right"))
+    matches = met.where("first is not null").select(*DOC, "first", "last").union(_window_matches(suffixes, met.where(unsettled).select("head")))
     before = Window.partitionBy(*DOC).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     run = Window.partitionBy(*DOC).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
     return (
