@@ -7,6 +7,11 @@ first three, three in the first four. The first segment together with one half o
 be equal, as the two hold one difference at most) is the bucket key; the longer chains prune what meets in a bucket
 before the full check.
 
+op9 links by that rule alone (``similar=None``). Without a contract, ``near_duplicates`` and ``keep_one`` also link all
+texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILAR`` or more, as 4 of 64 bits reach few of those under 0.95: MinHash bands name
+the candidates (a pair at 0.8 is missed once in 20 million), the full shingle sets decide. Only buckets that hold
+several components are looked at.
+
 Equal fingerprints are one node, so copies cost nothing. A bucket returns a spanning forest of its links, not its
 pairs; a large bucket is dealt out as pairs of blocks, each a bounded unit of work.
 
@@ -17,7 +22,7 @@ id; repeated rows share a fingerprint; an empty table gives an empty result; ext
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,11 @@ SEED = 42
 LIMIT = 4
 WIDTHS = (13, 13, 13, 13, 12)
 BUCKET = 2048  # distinct fingerprints in a block of a large bucket
+WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 32, 4  # MinHash bands, and values in each
+TEXTS = 1024  # distinct texts in a block of a large bucket of candidates
+_TURNS = np.random.default_rng(SEED).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BLOCK = 1 << 16
 
 
@@ -180,20 +190,134 @@ def links(nodes: DataFrame, block: int = BUCKET) -> DataFrame:
     return units.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_forest_batches, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (least id that is reachable, itself included) of every row."""
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """Keys of the MinHash bands of a set of shingle hashes; texts without a word have none."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_TURNS), 0xFFFFFFFF, np.uint32)
+    folded = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    for at in range(0, len(folded), 1024):
+        np.minimum(least, (folded[at : at + 1024] * _TURNS).min(axis=0), out=least)
+    bands = least.astype("<u4").reshape(BANDS, ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)], np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def _band_batches(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [band_keys(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["text_hash", "bands"])
+
+    return run
+
+
+def _shingle_batches(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t.as_py(), size).view(np.int64)) for t in b.column(1)[i : i + 256]]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+
+    return run
+
+
+def similar_forest(components: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """Edges that connect the components with a pair of sets (sorted, distinct) of that Jaccard similarity."""
+    edges, left = [], np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    while len(left):
+        reached = components[left] == components[left[0]]
+        queue, left = list(left[reached]), left[~reached]
+        while queue and len(left):
+            node = queue.pop()
+            sized = left[np.minimum(sizes[left], sizes[node]) >= similar * np.maximum(sizes[left], sizes[node]) - 1e-9]
+            if not len(sized):
+                continue
+            own, others = sets[node], np.concatenate([sets[i] for i in sized])
+            at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+            common = np.add.reduceat((own[at] == others).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[sized])[:-1])))
+            near = np.unique(components[sized[common >= similar * (sizes[sized] + sizes[node] - common) - 1e-9]])
+            if len(near):
+                edges += [(int(components[node]), x) for x in near.tolist()]
+                reached = np.isin(components[left], near)
+                queue += list(left[reached])
+                left = left[~reached]
+    return edges
+
+
+def _similar_batches(similar: float) -> Callable:
+    """Rows (bucket, block1, block2, component, text_hash, shingles) sorted by the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, components, sets = None, [], []
+
+        def edges_of() -> pa.RecordBatch:
+            edges = similar_forest(np.array(components), sets, similar) if len(set(components)) > 1 else []
+            u, v = zip(*edges, strict=True) if edges else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in batches:
+            *keys, components_of, shingles = (b.column(i) for i in range(5))
+            for key, component, own in zip(zip(*(k.to_pylist() for k in keys), strict=True), components_of.to_pylist(), shingles, strict=True):
+                if key != unit:
+                    if sets:
+                        yield edges_of()
+                    unit, components, sets = key, [], []
+                components.append(component)
+                sets.append(own.values.to_numpy())
+        if sets:
+            yield edges_of()
+
+    return run
+
+
+def similar_links(docs: DataFrame, found: DataFrame, words: int = WORDS, similar: float = SIMILAR, block: int = TEXTS) -> DataFrame:
+    """``found`` (text_hash, component) of all ``docs`` -> (u, v): links that connect all components with similar texts."""
+    text = filled("text")
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = found.groupBy("text_hash").agg(F.min("component").alias("component"))
+    banded = texts.mapInArrow(_band_batches(words), "text_hash long, bands array<long>").groupBy("text_hash").agg(F.first("bands").alias("bands"))
+    keyed = cut(banded.join(named, "text_hash").select("text_hash", "component", F.explode("bands").alias("bucket")), "bands")
+    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = cut(counts.where("low <> high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "candidates")
+    units = (
+        keyed.join(sizes, "bucket")
+        .withColumn("own", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("own", "other").alias("block1"), F.greatest("own", "other").alias("block2"), "component", "text_hash")
+    )
+    units = cut(units, "units")
+    wanted = units.select("text_hash").distinct()
+    sets = texts.join(wanted, "text_hash", "left_semi").mapInArrow(_shingle_batches(words), "text_hash long, shingles array<long>")
+    sets = cut(sets.dropDuplicates(["text_hash"]), "shingles")
+    unit = ["bucket", "block1", "block2"]
+    met = units.join(sets, "text_hash").select(*unit, "component", "shingles")
+    return met.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_similar_batches(similar), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float | None = SIMILAR) -> DataFrame:
+    """doc_id, text_hash, fp, component_id (least id that is reachable, itself included) of every row.
+
+    Without ``similar``, fingerprints alone link."""
     prints = cut(fingerprints(docs), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    if similar is not None:
+        rooted = cut(rooted, "rooted")
+        met = components(similar_links(docs, prints.join(rooted, "fp").select("text_hash", F.col("root").alias("component")), words, similar))
+        met = met.select(F.col("u").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(met, "root", "left").select("fp", "least_id", F.coalesce("top", "root").alias("root"))
     least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = rooted.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
     return prints.join(named, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, similar: float | None = SIMILAR) -> DataFrame:
     """The document with the least id of each component, with all its columns."""
-    found = cut(near_duplicates(docs), "components")
+    found = cut(near_duplicates(docs, words, similar), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
     kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(filled("text")).alias("own_hash"))

@@ -351,6 +351,31 @@ def test_links_connect_all_that_are_near(spark, block):
     assert roots(prints, got) == roots(prints, near)
 
 
+def test_stage_keeps_one_of_similar_texts(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):  # copies with scattered words exchanged: similarities of about 0.5 to 1
+        base = prose(rng, 150).split()
+        texts.append(" ".join(base))
+        for n in (1, 2, 3, 4, 6):
+            own = list(base)
+            for at in rng.sample(range(150), n):
+                own[at] = f"new{k}x{n}x{at}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a + 1, min(len(texts), a + 6))]
+    assert sum(0.8 <= s < 0.95 for _, _, s in pairs) > 40
+    docs = table(spark, [(i, t, "xx", "s") for i, t in enumerate(texts)])
+    near = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, similar=None).collect() if r.doc_id != r.component_id]
+    want = set(roots(range(len(texts)), [(a, b) for a, b, s in pairs if s >= 0.8] + near).values())
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+    found = simhash.near_duplicates(docs, similar=None)
+    component = {r.doc_id: r.component for r in found.collect()}
+    dealt = [(r.u, r.v) for r in simhash.similar_links(docs, found, block=3).collect()]
+    joined = roots(set(component.values()), dealt)
+    assert all(joined[component[a]] == joined[component[b]] for a, b, s in pairs if s >= 0.8)
+
+
 def test_components_of_a_long_chain(spark):
     from fathom.llm.components import components
 
