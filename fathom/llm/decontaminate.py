@@ -4,15 +4,15 @@ Texts become templates of one token a word: words with a digit are ``#n``, a uni
 capitalised word inside a sentence is ``#p``, all else is lower-cased and loses its punctuation. Windows of
 ``WINDOW`` template tokens of the documents are hash-joined with those of the benchmark, so a question whose numbers,
 names or units were exchanged still meets its source. Windows with fewer than ``LITERAL`` words that are no
-placeholder say too little and are left out. Hits line up by offset; along one offset each value of a slot in the
+placeholder say too little as templates: they must be met word for word (but for case). Hits line up by offset; along one offset each value of a slot in the
 benchmark must stand for one value in the document (slot consistency), else that offset does not count. A document
-leaks an item if its counted windows cover ``COVERAGE`` of the item's.
+leaks an item if its counted windows cover ``COVERAGE`` of the item's template windows, or of all its windows.
 
 The benchmark side of the join is broadcast only where Spark knows its size to be under the session's threshold;
 beyond it, both sides are shuffled by hash.
 
 Defined cases: null and empty texts have no windows; items of fewer words than a window are one window of their own
-length, and items with fewer than ``LITERAL`` literal words are never found; equal benchmark texts are one item (the
+length, and items of fewer than ``LITERAL`` words are never found; equal benchmark texts are one item (the
 least id); rows of equal id and text are one document; empty tables give an empty result; extra columns are ignored
 by ``leaks`` and kept by ``without_leaks``.
 """
@@ -62,8 +62,13 @@ def _tokens(rows: DataFrame, *ids: str) -> DataFrame:
     return rows.select(*ids, template(F.col("text")).alias("tokens")).select(*ids, "tokens", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
 
 
+def _plain(word: Column) -> Column:
+    """Hash of a raw word, apart from those of template tokens."""
+    return F.xxhash64(F.lit("word"), F.lower(word))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, ipos, size, hash, n_windows, slots (places in the window), own (raw words of the window)."""
+    """item_id, ipos, size, hash, n_windows (of templates), n_all, exact, slots (places in the window), own (raw words of the window)."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     raw = items.select("item_id", words(F.col("text")).alias("raw"))
     size = F.least(F.lit(WINDOW), F.size("tokens"))
@@ -74,11 +79,22 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         .select("item_id", "tokens", "size", F.posexplode(F.coalesce(*parts)).alias("ipos", "hash"))
         .withColumn("inside", F.slice("tokens", F.col("ipos") + 1, F.col("size")))
         .withColumn("slots", F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("inside", i).isin("#n", "#p", "#u")))
-        .where(F.col("size") - F.size("slots") >= LITERAL)
+        .withColumn("exact", F.col("size") - F.size("slots") < LITERAL)
     )
-    counted = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    counted = found.groupBy("item_id").agg(F.count(F.when(~F.col("exact"), 1)).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
+    own = F.slice("raw", F.col("ipos") + 1, F.col("size"))
+    plain = F.transform(own, _plain)
+    word_for_word = F.coalesce(*(F.when(F.col("size") == n, F.xxhash64(*(F.get(plain, F.lit(k)) for k in range(n)))) for n in range(LITERAL, WINDOW + 1)))
     return found.join(counted, "item_id").join(raw, "item_id").select(
-        "item_id", "ipos", "size", "hash", "n_windows", "slots", F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("own")
+        "item_id",
+        "ipos",
+        "size",
+        F.when(F.col("exact"), word_for_word).otherwise(F.col("hash")).alias("hash"),
+        "n_windows",
+        "n_all",
+        "exact",
+        F.when(F.col("exact"), F.array().cast("array<int>")).otherwise(F.col("slots")).alias("slots"),
+        own.alias("own"),
     )
 
 
@@ -104,21 +120,33 @@ def _slot_check(docs: DataFrame, hits: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, doc_hash, item_id, coverage, consistency for every leaked (document, item)."""
     bench = cut(benchmark_windows(benchmark), "benchmark")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # WINDOW - LITERAL + 1 values at most
+    kinds = sorted((r["exact"], r["size"]) for r in bench.select("exact", "size").distinct().collect())  # 2 * (WINDOW - LITERAL + 1) values at most
     known = bench.select("hash").distinct()
     tokens = _tokens(keyed(docs), *DOC)
-    places = [F.transform(windows(F.col("hashes"), n), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))) for n in sizes or [WINDOW]]
+    if any(exact for exact, _ in kinds):
+        both = keyed(docs).select(*DOC, template(F.col("text")).alias("tokens"), F.transform(words(F.col("text")), _plain).alias("plain"))
+        tokens = both.select(*DOC, F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"), "plain")
+    of = {False: "hashes", True: "plain"}
+    places = [F.transform(windows(F.col(of[exact]), n), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))) for exact, n in kinds or [(False, WINDOW)]]
     rows = tokens.select(*DOC, F.explode(reduce(lambda a, b: F.concat(a, b), places)).alias("place")).select(*DOC, "place.pos", "place.hash")
     met = cut(rows.join(known, "hash", "left_semi"), "met")
     hits = cut(met.join(bench, "hash").withColumn("offset", F.col("pos") - F.col("ipos")), "hits")
     checked = _slot_check(docs, hits).select(*(F.col(c).alias(f"of_{c}") for c in [*DOC, "item_id", "offset"]), "consistency")
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("doc_hash") == F.col("of_doc_hash")) & (F.col("item_id") == F.col("of_item_id")) & (F.col("offset") == F.col("of_offset"))
+    share = F.when(F.col("n_windows") > 0, F.col("met") / F.greatest("n_windows", F.lit(1))).otherwise(0.0)
     return (
         hits.join(checked, same, "left")
         .withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
         .where(F.col("consistency") >= CONSISTENT)
         .groupBy(*DOC, "item_id")
-        .agg((F.size(F.collect_set("ipos")) / F.first("n_windows")).alias("coverage"), F.min("consistency").alias("consistency"))
+        .agg(
+            F.size(F.collect_set(F.when(~F.col("exact"), F.col("ipos")))).alias("met"),
+            F.size(F.collect_set("ipos")).alias("met_all"),
+            F.first("n_windows").alias("n_windows"),
+            F.first("n_all").alias("n_all"),
+            F.min("consistency").alias("consistency"),
+        )
+        .select(*DOC, "item_id", F.when(share >= coverage, share).otherwise(F.col("met_all") / F.col("n_all")).alias("coverage"), "consistency")
         .where(F.col("coverage") >= coverage)
     )
 

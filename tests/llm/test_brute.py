@@ -119,6 +119,16 @@ def test_leaks_with_other_numbers_and_names(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [3, 4, 5]
 
 
+def test_verbatim_leaks_of_items_full_of_numbers(spark):
+    rng = random.Random(9)
+    item = "Solve 12 + 7 = 19 , 15 - 4 = 11 , 3 * 9 = 27 , 8 + 5 = 13"
+    other = "Solve 11 + 6 = 17 , 14 - 3 = 11 , 2 * 8 = 16 , 7 + 4 = 11"
+    bench = spark.createDataFrame([(1, item), (2, "5 7 9 11 13 15")], "item_id long, text string")
+    made = [(1, f"{prose(rng, 30)} {item} {prose(rng, 9)}"), (2, f"{prose(rng, 30)} {other}"), (3, f"{prose(rng, 9)} 5 7 9 11 13 15"), (4, "5 7 9 11 13 16")]
+    got = decontaminate.leaks(table(spark, [(i, t, "xx", "s") for i, t in made]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2)}
+
+
 def test_real_leaks_are_those_that_hold_an_item(spark, real, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: words(r.text.lower()) for r in bench.collect()}
