@@ -213,6 +213,54 @@ def test_repeated_phrases(spark):
     check_passages(table(spark, [(i, t, "xx", "s") for i, t in texts.items()]), texts)
 
 
+def test_words_whose_hashes_share_low_bits_differ(spark):
+    rng = random.Random(14)
+    w = [prose(rng, 1) + str(i) for i in range(49)]
+    texts = {1: " ".join([*prose(rng, 30).split(), *w, "w128"]), 2: " ".join([*prose(rng, 30).split(), *w, "w500"])}
+    check_passages(table(spark, [(i, t, "xx", "s") for i, t in texts.items()]), texts)
+
+
+def test_extents_of_runs_against_all_partners():
+    rng = np.random.default_rng(6)
+    tail, reach = suffix_array._TAIL, suffix_array.LEFT
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        head = np.sort(rng.integers(0, 3, n)).astype(np.uint64)
+        right, left = (rng.choice([1, 2], (n, k), p=[0.97, 0.03]).astype(np.uint64) for k in (tail, reach))
+        for a in (right, left):  # some texts end inside the context
+            for i in np.flatnonzero(rng.random(n) < 0.1):
+                a[i, rng.integers(0, a.shape[1]) :] = 0
+        doc, shared = rng.integers(0, 6, n), rng.random(n) < 0.1
+        order = np.lexsort((*right.T[::-1], head))
+        right, left, doc, shared, head = right[order], left[order], doc[order], shared[order], head[order]
+        before, after = suffix_array.extents(head, right, left, doc, shared)
+
+        def common(a, b):
+            k = 0
+            while k < len(a) and a[k] == b[k] != 0:
+                k += 1
+            return k
+
+        for i in range(n):
+            pairs = [(20 + common(right[i], right[j]), common(left[i], left[j])) for j in range(n) if head[i] == head[j] and (doc[i] != doc[j] or shared[j]) and not shared[i]]
+            if shared[i]:
+                pairs = [(20 + int((right[i] != 0).sum()), int((left[i] != 0).sum()))]
+            long = [(r, x) for r, x in pairs if r + x >= 50]
+            assert (before[i], after[i]) == (max((x for _, x in long), default=0), max((r for r, _ in long), default=0))
+
+
+def test_runs_cut_by_range_borders(spark):
+    rng = random.Random(15)
+    passage = prose(rng, 60).split()
+    texts = {}
+    for i in range(150):  # one passage with edits all over: few contexts are equal, and all share heads
+        own = list(passage)
+        for at in rng.sample(range(60), rng.randint(0, 2)):
+            own[at] = f"x{i}"
+        texts[i] = " ".join([*prose(rng, rng.randint(0, 9)).split(), *own, *prose(rng, 5).split()])
+    check_passages(table(spark, [(i, t, "xx", "s") for i, t in texts.items()]), texts)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 
