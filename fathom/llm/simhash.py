@@ -3,9 +3,9 @@
 Fingerprints of 64 bits are linked at ``LIMIT`` or fewer differing bits. Their bits form a ring of ``len(WIDTHS)``
 segments. By the strong pigeonring principle a linked pair has a segment from which every chain of consecutive
 segments keeps within its proportional budget: no difference in the first, at most one in the first two, two in the
-first three, three in the first four. The first segment together with one half of the second (one of its halves must
-be equal, as the two hold one difference at most) is the bucket key; the longer chains prune what meets in a bucket
-before the full check.
+first three, three in the first four. The first two segments are the bucket key (25 or 26 bits); as the second may
+hold one difference, a fingerprint also visits the buckets next to its own. The longer chains prune what meets in a
+bucket before the full check.
 
 op9 links by that rule alone (``similar=None``). Without a contract, ``near_duplicates`` and ``keep_one`` also link all
 texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILAR`` or more, as 4 of 64 bits reach few of those under 0.95: MinHash bands name
@@ -96,35 +96,40 @@ def _masks(start: int) -> list[tuple[int, int]]:
 
 
 def _buckets(fp: Column) -> Column:
-    """All bucket keys of a fingerprint: (start * 2 + half, bits of the first segment, bits of the half)."""
-    keys = []
+    """All places of a fingerprint: structs of start, key (the bits of two consecutive segments) and own. Its own
+    keys have own = true. As the second segment may differ in one bit, the fingerprint also visits the keys with one
+    of its set bits there cleared: of two fingerprints that differ in one bit, one has it set, so they meet."""
+    places = []
     for start, width in enumerate(WIDTHS):
-        at, after = sum(WIDTHS[:start]), (start + 1) % len(WIDTHS)
-        low = WIDTHS[after] // 2
-        for half, (shift, bits) in enumerate(((0, low), (low, WIDTHS[after] - low))):
-            first = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
-            second = F.shiftrightunsigned(fp, sum(WIDTHS[:after]) + shift).bitwiseAND(F.lit((1 << bits) - 1))
-            keys.append((F.lit(start * 2 + half).cast("long") * (1 << 13) + first) * (1 << 7) + second)
-    return F.array(*keys)
-
-
-def _forest(start: int, prints: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links in one unit. Each node is expanded once against those not reached."""
+        after = (start + 1) % len(WIDTHS)
+        first = F.shiftrightunsigned(fp, sum(WIDTHS[:start])).bitwiseAND(F.lit((1 << width) - 1))
+        second = F.shiftrightunsigned(fp, sum(WIDTHS[:after])).bitwiseAND(F.lit((1 << WIDTHS[after]) - 1))
+        key = (F.lit(start).cast("long") * (1 << 13) + first) * (1 << 13) + second
+        places.append(F.array(F.struct(key.alias("bucket"), F.lit(True).alias("own"))))
+        bits = F.filter(F.array(*(F.lit(1 << k).cast("long") for k in range(WIDTHS[after]))), lambda b: second.bitwiseAND(b) != 0)  # noqa: B023
+        places.append(F.transform(bits, lambda b: F.struct((key - b).alias("bucket"), F.lit(False).alias("own"))))  # noqa: B023
+    return F.concat(*places)
+
+
+def _forest(start: int, prints: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links in one unit, but for links between visitors, which meet elsewhere. Each
+    node is expanded once against those not reached; ``own`` tells the bucket's own fingerprints from visitors."""
     chains = [(np.uint64(bits), most) for bits, most in _masks(start)]
-    edges, left = [], prints
-    while len(left):
-        queue, left = [left[0]], left[1:]
+    edges, left, mine = [], prints, own
+    while mine.any():
+        at = int(np.argmax(mine))
+        queue, left, mine = [(left[at], True)], np.delete(left, at), np.delete(mine, at)
         while queue and len(left):
-            node = queue.pop()
+            node, home = queue.pop()
             other = (left ^ node).view(np.uint64)
-            near = np.ones(len(other), bool)
+            near = np.ones(len(other), bool) if home else mine.copy()
             for bits, most in chains:
                 near &= np.bitwise_count(other & bits) <= most
             if near.any():
                 found = left[near]
                 edges += [(int(node), x) for x in found.tolist()]
-                queue += list(found)
-                left = left[~near]
+                queue += list(zip(found, mine[near], strict=True))
+                left, mine = left[~near], mine[~near]
     return edges
 
 
@@ -137,21 +142,21 @@ _CHAINS = [_masks(s) for s in range(len(WIDTHS))]
 
 
 def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, block1, block2, fp) sorted by the first three; a unit that a batch cuts off waits for the next."""
-    rows = np.empty((0, 4), np.int64)
+    """Rows (bucket, block1, block2, fp, own) sorted by the first three; a unit that a batch cuts off waits for the next."""
+    rows = np.empty((0, 5), np.int64)
 
     def edges_of(rows: np.ndarray) -> pa.RecordBatch:
         edges = []
-        prints, kinds = rows[:, 3], rows[:, 0] >> 21
+        prints, own, kinds = rows[:, 3], rows[:, 4] > 0, rows[:, 0] >> 26
         at = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1), [True])))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             start = int(kinds[a])
             if b - a == 2:
                 x, y = int(prints[a]), int(prints[a + 1])
-                if x != y and _linked(start, x, y):
+                if x != y and own[a : b].any() and _linked(start, x, y):
                     edges.append((x, y))
-            elif b - a > 2:
-                edges += _forest(start, np.unique(prints[a:b]))
+            elif b - a > 2 and own[a:b].any():
+                edges += _forest(start, prints[a:b], own[a:b])
         u, v = zip(*edges, strict=True) if edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -168,21 +173,21 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def links(nodes: DataFrame, block: int = BUCKET) -> DataFrame:
     """``nodes`` (fp, distinct) -> (u, v): enough of the links to connect all that are linked."""
-    keyed = nodes.select("fp", F.explode(_buckets(F.col("fp"))).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = nodes.select("fp", F.explode(_buckets(F.col("fp"))).alias("place")).select("fp", "place.bucket", "place.own")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("any")).where("n > 1 and any").drop("any")
     sizes = cut(sizes, "buckets")  # apart from its counting, so that the join can split a hot bucket
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     units = (
         keyed.join(sizes, "bucket")
         .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("in", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "bucket",
-            F.least("own", "other").cast("long").alias("block1"),
-            F.greatest("own", "other").cast("long").alias("block2"),
+            F.least("in", "with").cast("long").alias("block1"),
+            F.greatest("in", "with").cast("long").alias("block2"),
             "fp",
+            F.col("own").cast("long").alias("own"),
         )
     )
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
