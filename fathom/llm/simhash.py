@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.components import components
-from fathom.llm.texts import filled
+from fathom.llm.texts import ascii_lower, filled, words
 from fathom.session import cut
 
 SHINGLE = 4
@@ -42,7 +42,8 @@ BUCKET = 2048  # distinct fingerprints in a block of a large bucket
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 4  # MinHash bands, and values in each
-TEXTS = 1024  # distinct texts in a block of a large bucket of candidates
+TEXTS = 1024  # texts of a large bucket of candidates that are held in memory at a time
+CHUNK = 4096  # texts that pass by them in one unit
 _TURNS = np.random.default_rng(SEED).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BLOCK = 1 << 16
 
@@ -195,114 +196,175 @@ def links(nodes: DataFrame, block: int = BUCKET) -> DataFrame:
     return units.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_forest_batches, "u long, v long")
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
+def word_shingles(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, distinct and sorted; fewer words are one run."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    size = min(size, len(hashes))
+    n = len(hashes) - size + 1
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total = (total ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(32)
+    return np.unique(total)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
     """Keys of the MinHash bands of a set of shingle hashes; texts without a word have none."""
     if not len(shingles):
-        return []
+        return np.empty(0, np.int64)
     least = np.full(len(_TURNS), 0xFFFFFFFF, np.uint32)
     folded = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
     for at in range(0, len(folded), 1024):
         np.minimum(least, (folded[at : at + 1024] * _TURNS).min(axis=0), out=least)
-    bands = least.astype("<u4").reshape(BANDS, ROWS)
-    keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)], np.uint64)
-    return keys.view(np.int64).tolist()
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = (keys ^ least[k::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
 
 
-def _band_batches(size: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [band_keys(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["text_hash", "bands"])
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
 
-    return run
 
+def _per_text(make: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """Rows (text_hash, hashes of the words) -> text_hash and the list that ``make`` gives for the hashes."""
 
-def _shingle_batches(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                sets = [np.unique(shingle_hashes(t.as_py(), size).view(np.int64)) for t in b.column(1)[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+            lists = b.column(1)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(b), 256):
+                found = [make(values[offsets[k] : offsets[k + 1]]) for k in range(i, min(i + 256, len(b)))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(found)), _lists(found)], ["text_hash", "found"])
 
     return run
 
 
-def similar_forest(components: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
-    """Edges that connect the components with a pair of sets (sorted, distinct) of that Jaccard similarity."""
-    edges, left = [], np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    while len(left):
-        reached = components[left] == components[left[0]]
-        queue, left = list(left[reached]), left[~reached]
-        while queue and len(left):
-            node = queue.pop()
-            sized = left[np.minimum(sizes[left], sizes[node]) >= similar * np.maximum(sizes[left], sizes[node]) - 1e-9]
-            if not len(sized):
-                continue
-            own, others = sets[node], np.concatenate([sets[i] for i in sized])
-            at = np.minimum(np.searchsorted(own, others), len(own) - 1)
-            common = np.add.reduceat((own[at] == others).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[sized])[:-1])))
-            near = np.unique(components[sized[common >= similar * (sizes[sized] + sizes[node] - common) - 1e-9]])
-            if len(near):
-                edges += [(int(components[node]), x) for x in near.tolist()]
-                reached = np.isin(components[left], near)
-                queue += list(left[reached])
-                left = left[~reached]
-    return edges
+def similar_to(own: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> np.ndarray:
+    """Places of the sets (sorted, distinct) with that Jaccard similarity to ``own``."""
+    sizes = np.array([len(x) for x in sets])
+    fits = np.flatnonzero((np.minimum(sizes, len(own)) >= similar * np.maximum(sizes, len(own)) - 1e-9) & (sizes > 0))
+    if not len(fits) or not len(own):
+        return np.empty(0, np.int64)
+    others = np.concatenate([sets[i] for i in fits])
+    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+    common = np.add.reduceat((own[at] == others).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[fits])[:-1])))
+    return fits[common >= similar * (sizes[fits] + len(own) - common) - 1e-9]
 
 
-def _similar_batches(similar: float) -> Callable:
-    """Rows (bucket, block1, block2, component, text_hash, shingles) sorted by the first three."""
+def _meeting_batches(similar: float) -> Callable:
+    """Rows (bucket, block, chunk, passing, component, found) sorted by the first four: in each unit a bounded number of
+    sets is held, and the passing ones are compared with those of other components, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, components, sets = None, [], []
+        unit, held, of, top = None, [], np.empty(0, np.int64), {}
 
-        def edges_of() -> pa.RecordBatch:
-            edges = similar_forest(np.array(components), sets, similar) if len(set(components)) > 1 else []
-            u, v = zip(*edges, strict=True) if edges else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        def root(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
 
         for b in batches:
-            *keys, components_of, shingles = (b.column(i) for i in range(5))
-            for key, component, own in zip(zip(*(k.to_pylist() for k in keys), strict=True), components_of.to_pylist(), shingles, strict=True):
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            passing, components_of, sets = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)
+            offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False).view(np.uint64)  # the order they are sorted in
+            u, v = [], []
+            for i, key in enumerate(keys):
+                own, mine = values[offsets[i] : offsets[i + 1]], components_of[i]
                 if key != unit:
-                    if sets:
-                        yield edges_of()
-                    unit, components, sets = key, [], []
-                components.append(component)
-                sets.append(own.values.to_numpy())
-        if sets:
-            yield edges_of()
+                    unit, held, of, top = key, [], np.empty(0, np.int64), {}
+                if not passing[i]:
+                    held.append(own.copy())
+                    of = np.append(of, mine)
+                    continue
+                open_ = np.flatnonzero(of != root(mine))
+                for other in set(of[open_[similar_to(own, [held[k] for k in open_], similar)]].tolist()) if len(open_) else ():
+                    u.append(mine)
+                    v.append(other)
+                    low, high = sorted((root(mine), root(other)))
+                    top[high] = low
+                    of[of == high] = low
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def similar_links(docs: DataFrame, found: DataFrame, words: int = WORDS, similar: float = SIMILAR, block: int = TEXTS) -> DataFrame:
-    """``found`` (text_hash, component) of all ``docs`` -> (u, v): links that connect all components with similar texts."""
+_UNIT = ["bucket", "block", "chunk", "passing"]
+
+
+def _met(held: DataFrame, passing: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(u, v) of the components that meet: ``held`` and ``passing`` have bucket, block, chunk, component, text_hash."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = held.withColumn("passing", F.lit(0)).unionByName(passing.withColumn("passing", F.lit(1)))
+    rows = cut(rows, "meetings").join(sets, "text_hash").select(*_UNIT, "component", "found")
+    return rows.repartition(parts, *_UNIT[:3]).sortWithinPartitions(*_UNIT).mapInArrow(_meeting_batches(similar), "u long, v long")
+
+
+def _active(members: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return cut(members.join(cut(several.select("bucket"), "active"), "bucket", "left_semi"), "members")
+
+
+def _star_links(members: DataFrame, sets: DataFrame, similar: float, rank: Column) -> DataFrame:
+    """Each text meets one text of each of its buckets, the first by ``rank``: work in proportion to the rows."""
+    hubs = members.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "text_hash", "component")).alias("hub"))
+    hubs = cut(hubs.select("bucket", F.col("hub.text_hash").alias("hub_hash"), F.col("hub.component").alias("hub_component")), "hubs")
+    rays = cut(members.join(hubs, "bucket").where("component <> hub_component").select("hub_hash", "hub_component", "text_hash", "component").distinct(), "rays")
+    counts = cut(rays.groupBy("hub_hash").agg(F.first("hub_component").alias("hub_component"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "hub-counts")
+    unit = [F.col("hub_hash").alias("bucket"), F.lit(0).alias("block")]
+    held = counts.select(*unit, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub_component").alias("component"), F.col("hub_hash").alias("text_hash"))
+    passing = rays.join(counts.select("hub_hash", "chunks"), "hub_hash").select(*unit, F.pmod(F.xxhash64("text_hash"), F.col("chunks")).cast("int").alias("chunk"), "component", "text_hash")
+    return _met(held, passing, sets, similar)
+
+
+def _rest_links(members: DataFrame, sets: DataFrame, similar: float, block: int) -> DataFrame:
+    """All that is left to compare: in each bucket, texts outside its largest component are held in blocks and meet all
+    texts of the bucket that belong to other components."""
+    counts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    blocks, chunks = F.ceil((F.col("all") - F.col("most")) / block), F.ceil(F.col("all") / CHUNK)
+    sizes = cut(sizes.select("bucket", "largest", blocks.cast("int").alias("blocks"), chunks.cast("int").alias("chunks")), "bucket-sizes")
+    sized = members.join(sizes, "bucket")
+    dealt = lambda n: F.pmod(F.xxhash64("text_hash"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = sized.where("component <> largest").select("bucket", dealt("blocks").alias("block"), every("chunks").alias("chunk"), "component", "text_hash")
+    passing = sized.select("bucket", every("blocks").alias("block"), dealt("chunks").alias("chunk"), "component", "text_hash")
+    return _met(held, passing, sets, similar)
+
+
+def _merged(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links as a written table, and the rows of buckets that hold several components even with them."""
+    links = cut(links, "similar-links")
+    roots = components(links)
+    joined = members.join(roots, members["component"] == roots["u"], "left")
+    return links, _active(joined.select("text_hash", "bucket", F.coalesce("root", "component").alias("component")))
+
+
+def similar_links(docs: DataFrame, found: DataFrame, size: int = WORDS, similar: float = SIMILAR, block: int = TEXTS) -> DataFrame:
+    """``found`` (text_hash, component) of all ``docs`` -> (u, v): links that connect all components with similar texts.
+
+    Two rounds of stars join most of what is similar, at one comparison or so a text and bucket; what still belongs to
+    several components in one bucket is compared in full."""
     text = filled("text")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w)).alias("hashes"))
     named = found.groupBy("text_hash").agg(F.min("component").alias("component"))
-    banded = texts.mapInArrow(_band_batches(words), "text_hash long, bands array<long>").groupBy("text_hash").agg(F.first("bands").alias("bands"))
-    keyed = cut(banded.join(named, "text_hash").select("text_hash", "component", F.explode("bands").alias("bucket")), "bands")
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sizes = cut(counts.where("low <> high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "candidates")
-    units = (
-        keyed.join(sizes, "bucket")
-        .withColumn("own", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("block1"), F.greatest("own", "other").alias("block2"), "component", "text_hash")
-    )
-    units = cut(units, "units")
-    wanted = units.select("text_hash").distinct()
-    sets = texts.join(wanted, "text_hash", "left_semi").mapInArrow(_shingle_batches(words), "text_hash long, shingles array<long>")
+    banded = texts.mapInArrow(_per_text(lambda h: band_keys(word_shingles(h, size))), "text_hash long, found array<long>").groupBy("text_hash").agg(F.first("found").alias("bands"))
+    members = _active(cut(banded.join(named, "text_hash").select("text_hash", "component", F.explode("bands").alias("bucket")), "bands"))
+    wanted = cut(members.select("text_hash").distinct(), "wanted")
+    sets = texts.join(wanted, "text_hash", "left_semi").mapInArrow(_per_text(lambda h: word_shingles(h, size).view(np.int64)), "text_hash long, found array<long>")
     sets = cut(sets.dropDuplicates(["text_hash"]), "shingles")
-    unit = ["bucket", "block1", "block2"]
-    met = units.join(sets, "text_hash").select(*unit, "component", "shingles")
-    return met.repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(_similar_batches(similar), "u long, v long")
+    found_links = []
+    for rank in (F.lit(0), F.xxhash64("bucket", "text_hash")):  # the least hash of all, then another one in each bucket
+        links, members = _merged(members, _star_links(members, sets, similar, rank))
+        found_links.append(links)
+    return found_links[0].union(found_links[1]).union(_rest_links(members, sets, similar, block))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float | None = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = WORDS, similar: float | None = SIMILAR) -> DataFrame:
     """doc_id, text_hash, fp, component_id (least id that is reachable, itself included) of every row.
 
     Without ``similar``, fingerprints alone link."""
@@ -312,7 +374,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float | None =
     rooted = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     if similar is not None:
         rooted = cut(rooted, "rooted")
-        met = components(similar_links(docs, prints.join(rooted, "fp").select("text_hash", F.col("root").alias("component")), words, similar))
+        met = components(similar_links(docs, prints.join(rooted, "fp").select("text_hash", F.col("root").alias("component")), size, similar))
         met = met.select(F.col("u").alias("root"), F.col("root").alias("top"))
         rooted = rooted.join(met, "root", "left").select("fp", "least_id", F.coalesce("top", "root").alias("root"))
     least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
@@ -320,11 +382,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float | None =
     return prints.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, similar: float | None = SIMILAR) -> DataFrame:
-    """The document with the least id of each component, with all its columns."""
-    found = cut(near_duplicates(docs, words, similar), "components")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(filled("text")).alias("own_hash"))
-    met = own["own_id"].eqNullSafe(kept["kept_id"]) & (own["own_hash"] == kept["kept_hash"])
-    return own.join(kept, met, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
+def keep_one(docs: DataFrame, size: int = WORDS, similar: float | None = SIMILAR) -> DataFrame:
+    """The document with the least id of each component, with all its columns; of rows with equal id and text, one."""
+    found = near_duplicates(docs, size, similar)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    least = found.groupBy("component", order.alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct("row", "n")).alias("first")
+    kept = least.groupBy("component").agg(first).select(F.xxhash64("first.row.doc_id", "first.row.text_hash").alias("kept_key"), F.col("first.row.text_hash").alias("kept_hash"), F.col("first.n").alias("n"))
+    kept = cut(kept, "kept")
+    text_hash = F.xxhash64(filled("text"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", text_hash).alias("kept_key"), text_hash.alias("kept_hash"))
+    left = own.join(kept.select("kept_key", "kept_hash"), ["kept_key", "kept_hash"], "left_semi")
+    if not kept.where("n > 1").isEmpty():  # without repeated rows, none need be dropped
+        left = left.dropDuplicates(["kept_key", "kept_hash"])
+    return left.select("row.*")
