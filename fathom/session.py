@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +31,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a local one is set once."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local one is set once, but only for a local
+    master: on a cluster each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="fathom-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+_open_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from files, not from shuffles
     that a lost executor takes with it, and range partitioning samples the files instead of the whole plan."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _open_scopes:
+        scope.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote, once all that was made from them is written too."""
+    for df in tables:
+        start = f"{shared_dir(df.sparkSession)}/tables/"
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if start.split(":", 1)[-1].strip("/") in path:
+                _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes all tables that were cut inside, at the end: write or collect the results before it."""
+    made: list[tuple[SparkSession, str]] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for spark, path in made:
+            _delete(spark, path)
