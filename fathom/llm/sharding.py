@@ -1,11 +1,16 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of ``n_slots`` virtual slots, for good. Bytes and rows are summed by slot (a table of
-``n_slots`` rows whatever the corpus), the slots are dealt to shards by those bytes, and the map slot -> shard is
-stored under a version number. Rebalancing edits that map: it moves whole slots and writes the next version.
+``n_slots`` rows whatever the corpus), the slots are dealt to shards by those bytes, and the map slot -> shard, which
+lists all slots, is stored under a version number. ``place`` puts any documents by a stored map; rebalancing edits the
+map: it moves whole slots and writes the next version.
 
-Defined cases: a null text has size 16 and checksum 0; null ids hash like any value; repeated rows fall into the
-same slot and get places of their own; an empty table gives an empty result and a map over no bytes; extra columns
+Records of equal id and text cannot be told apart, so they are counted and numbered; the number is part of the hash
+and spreads them over the slots. Within a slot, records are numbered in ``SUBS`` parts, so there are up to ``n_slots``
+* ``SUBS`` windows.
+
+Defined cases: a null text has size 16 and checksum 0; null ids hash like any value; repeated rows are records of
+their own with places of their own; an empty table gives an empty result and a map over no bytes; extra columns
 are ignored. Law: ``bytes`` (the sizes of the shards are near equal).
 """
 
@@ -21,37 +26,44 @@ from fathom.llm.texts import filled
 from fathom.session import cut, shared_dir
 
 N_SLOTS = 4096
+SUBS = 16
 OVERHEAD = 16  # bytes that each record costs besides its text
-MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long, first_place long"
+MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """Ids, sizes and slots, without the texts."""
     text = filled("text")
-    crc = F.crc32(text.cast("binary"))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", crc), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+    equal = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counted = equal.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    drawn = F.xxhash64("doc_id", "text_crc32", "copy")
+    return counted.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")).select(
+        "doc_id", "size", "text_crc32", F.pmod(drawn, F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftrightunsigned(drawn, 48), F.lit(SUBS)).cast("int").alias("sub")
     )
 
 
-def slot_loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
-    """Bytes and rows by slot: at most n_slots rows reach the driver."""
-    loads = rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    return {r.virtual_slot: (r.b, r.n) for r in loads}
+def part_loads(rows: DataFrame) -> list[tuple[int, int, int, int]]:
+    """Slot, part, bytes and rows: n_slots * SUBS rows at most reach the driver."""
+    return [tuple(r) for r in rows.groupBy("virtual_slot", "sub").agg(F.sum("size"), F.count(F.lit(1))).collect()]
+
+
+def slot_loads(parts: list[tuple[int, int, int, int]], n_slots: int = N_SLOTS) -> dict[int, tuple[int, int]]:
+    """Bytes and rows of every slot, empty ones included."""
+    loads = dict.fromkeys(range(n_slots), (0, 0))
+    for slot, _, size, n in parts:
+        loads[slot] = (loads[slot][0] + size, loads[slot][1] + n)
+    return loads
 
 
 def deal(loads: dict[int, tuple[int, int]], n_shards: int) -> dict[int, int]:
-    """First map: the heaviest slot goes to the lightest shard."""
-    heap = [(0, shard) for shard in range(n_shards)]
+    """First map: the heaviest slot goes to the lightest shard; empty slots are spread by number."""
+    heap = [(0, 0, shard) for shard in range(n_shards)]
     heapq.heapify(heap)
     dealt = {}
     for slot, (size, _) in sorted(loads.items(), key=lambda x: (-x[1][0], x[0])):
-        total, shard = heapq.heappop(heap)
+        total, slots, shard = heapq.heappop(heap)
         dealt[slot] = shard
-        heapq.heappush(heap, (total + size, shard))
+        heapq.heappush(heap, (total + size, slots + 1, shard))
     return dealt
 
 
@@ -68,7 +80,7 @@ def rebalance(mapped: dict[int, int], loads: dict[int, tuple[int, int]], n_shard
     mean = sum(b for b, _ in loads.values()) / max(1, n_shards)
     for slot in sorted(edited, key=lambda s: (-loads[s][0], s)):
         shard, size = edited[slot], loads[slot][0]
-        if shard < n_shards and totals[shard] - size >= mean:
+        if shard < n_shards and size and totals[shard] - size >= mean:
             totals[shard] -= size
             homeless.append(slot)
     heap = [(t, s) for s, t in enumerate(totals)]
@@ -81,41 +93,40 @@ def rebalance(mapped: dict[int, int], loads: dict[int, tuple[int, int]], n_shard
 
 
 def store_map(spark: SparkSession, mapped: dict[int, int], loads: dict[int, tuple[int, int]], folder: str, version: int) -> DataFrame:
-    """Write one version of the map, which stays as it is from then on. first_place is where the slot's rows begin
-    within their shard."""
-    rows, filled_to = [], {}
-    for slot in sorted(mapped):
-        size, n = loads[slot]
-        first = filled_to.get(mapped[slot], 0)
-        rows.append((slot, mapped[slot], size, n, first))
-        filled_to[mapped[slot]] = first + n
+    """Write one version of the map, which stays as it is from then on."""
+    rows = [(slot, shard, *loads[slot]) for slot, shard in sorted(mapped.items())]
     path = f"{folder}/version={version}"
     spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(path)
     return spark.read.schema(MAP_SCHEMA).parquet(path)
 
 
+def stored_map(spark: SparkSession, folder: str, version: int | None = None) -> tuple[int, DataFrame]:
+    """The number and rows of a stored version, the latest by default."""
+    versions = spark.read.parquet(folder)
+    version = version or versions.agg(F.max("version")).first()[0]
+    return version, versions.where(F.col("version") == version).drop("version")
+
+
 def rebalance_stored(spark: SparkSession, folder: str, n_shards: int) -> DataFrame:
     """Edit the latest version of a stored map for another number of shards and store it as the next version. Only the
     map is read; rows of slots that stay need not move."""
-    stored = spark.read.parquet(folder)
-    version = stored.agg(F.max("version")).first()[0]
-    rows = stored.where(F.col("version") == version).collect()
+    version, rows = stored_map(spark, folder)
+    rows = rows.collect()
     loads = {r.virtual_slot: (r.slot_bytes, r.slot_rows) for r in rows}
     return store_map(spark, rebalance({r.virtual_slot: r.shard for r in rows}, loads, n_shards), loads, folder, version + 1)
 
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, folder: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (place within the shard, from 0, without gaps), grown_shard and
-    virtual_slot. The map has at most ``n_slots`` rows, so it is broadcast."""
-    spark = docs.sparkSession
-    rows = cut(records(docs, n_slots), "records")
-    loads = slot_loads(rows)
-    folder = folder or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
-    mapped = store_map(spark, deal(loads, n_shards), loads, folder, 1)
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+def _placed(rows: DataFrame, parts: list[tuple[int, int, int, int]], mapped: dict[int, int]) -> DataFrame:
+    starts, filled_to = [], {}
+    for slot, sub, _, n in sorted(parts):
+        first = filled_to.get(mapped[slot], 0)
+        starts.append((slot, sub, mapped[slot], first))
+        filled_to[mapped[slot]] = first + n
+    starts = rows.sparkSession.createDataFrame(starts, "virtual_slot int, sub int, shard int, first_place long")
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
         rows.withColumn("place", place)
-        .join(F.broadcast(mapped), "virtual_slot")
+        .join(F.broadcast(starts), ["virtual_slot", "sub"])  # n_slots * SUBS rows at most
         .select(
             "doc_id",
             "size",
@@ -127,3 +138,22 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, folder: s
             "virtual_slot",
         )
     )
+
+
+def place(docs: DataFrame, folder: str, version: int | None = None) -> DataFrame:
+    """The documents by a stored map, whatever documents it was made from; columns as from ``shard``."""
+    mapped = {r.virtual_slot: r.shard for r in stored_map(docs.sparkSession, folder, version)[1].collect()}
+    rows = cut(records(docs, len(mapped)), "records")
+    return _placed(rows, part_loads(rows), mapped)
+
+
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, folder: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (place within the shard, from 0, without gaps), grown_shard and
+    virtual_slot, by a new map that is stored in ``folder`` as version 1. For a stored map, see ``place``."""
+    spark = docs.sparkSession
+    rows = cut(records(docs, n_slots), "records")
+    parts = part_loads(rows)
+    loads = slot_loads(parts, n_slots)
+    mapped = deal(loads, n_shards)
+    store_map(spark, mapped, loads, folder or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}", 1)
+    return _placed(rows, parts, mapped)
