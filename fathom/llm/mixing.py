@@ -8,8 +8,9 @@ as costs sit on the start arcs alone, that greedy order is optimal. The flow of
 documents: whole passes over its rows, and a seeded share of one more pass, first copies before others, found by
 prefix sums over hash buckets. The last document of a share is taken in part, so every source meets its target.
 
-Only sums reach the driver: one row a source, and at most ``MAX_PATTERNS`` patterns with their sources; the words of
-rarer patterns are routed as patterns of their own source alone, so no row is left out.
+Only sums reach the driver: one row a source, and one for each pattern and source in it. All patterns are routed as
+they are, whatever their number; beyond ``MOST_SUMS`` such rows the driver could not hold the network, and ``mix``
+raises an error that states the number.
 
 Defined cases: null text has size 0; a null source is a source, sorted last; null ids are allowed; documents of size
 0 take 0; repeated rows are rows of their own; an empty table gives an empty result; extra columns are ignored by
@@ -29,8 +30,8 @@ from fathom.session import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by source in order, repeating
 MOST = 3  # times its own size that a document may be taken
-MAX_PATTERNS = 2000
-SHARES = 1024  # hash buckets of first copies, and as many of others, by pattern and source
+MOST_SUMS = 1_000_000  # rows (pattern, source) of the network
+BUCKET_ROWS = 20_000  # rows of the whole table for one hash bucket; the choice does not depend on their number
 SEED = 20240229
 
 
@@ -132,17 +133,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     copies = rows.groupBy("h1", "h2", "key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("class_size"), F.sum("size").alias("words"))
     classes = copies.groupBy("h1", "h2").agg(F.xxhash64(F.sort_array(F.collect_set("key"))).alias("pattern"))
     copies = cut(copies.join(classes, ["h1", "h2"]), "copies")
-    heavy = F.broadcast(
-        copies.groupBy("pattern").agg(F.sum("words").alias("n")).orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS).select("pattern", F.lit(True).alias("own"))
-    )
-    routed = copies.join(heavy, "pattern", "left").withColumn("pattern", F.when(F.col("own"), F.col("pattern")).otherwise(F.xxhash64(F.array("key")))).drop("own")
-    one_source = F.row_number().over(Window.partitionBy("h1", "h2", "pattern").orderBy("key")) == 1
-    sums = (
-        routed.withColumn("distinct", F.when(one_source, F.col("class_size")).otherwise(0))
-        .groupBy("pattern", "key")
-        .agg(F.sum("distinct").alias("d"), F.sum("words").alias("w"))
-        .collect()
-    )
+    one_source = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("key")) == 1
+    sums = copies.withColumn("distinct", F.when(one_source, F.col("class_size")).otherwise(0)).groupBy("pattern", "key")
+    sums = cut(sums.agg(F.sum("distinct").alias("d"), F.sum("words").alias("w")), "sums")
+    if (n := sums.count()) > MOST_SUMS:
+        raise ValueError(f"{n} pairs of membership pattern and source; the flow is solved for {MOST_SUMS} at most")
+    sums = sums.collect()
     distinct: dict[int, int] = defaultdict(int)
     for r in sums:
         distinct[r.pattern] += r.d
@@ -155,12 +151,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     facts = [(key, n, float(wanted[s])) for s, (key, n) in sizes.items()]
     facts = F.broadcast(spark.createDataFrame(facts, "key string, source_size long, target double"))
 
-    drawn = F.xxhash64(F.lit(seed), "doc_id", "h1", "h2")
+    # Rows stand in order of their draw, first copies ahead; buckets are its leading bits, so that order spans them.
+    bits = max(4, (rows.count() // BUCKET_ROWS).bit_length())
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "h1", "h2"), 1)
     placed = (
-        rows.join(routed.select("h1", "h2", "key", "pattern", "first_id"), ["h1", "h2", "key"])
+        rows.join(copies.select("h1", "h2", "key", "pattern", "first_id"), ["h1", "h2", "key"])
         .withColumn("drawn", drawn)
-        .withColumn("bucket", F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), 0).otherwise(SHARES) + F.pmod(F.shiftright("drawn", 50), F.lit(SHARES)))
-        .select("doc_id", "key", "size", "h1", "h2", "pattern", "drawn", F.col("bucket").cast("int").alias("bucket"))
+        .withColumn("bucket", F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), 0).otherwise(1 << bits) + F.shiftright("drawn", 63 - bits))
+        .select("doc_id", "key", "size", "h1", "h2", "pattern", "drawn", "bucket")
     )
     placed = cut(placed, "placed")
     ahead = Window.partitionBy("pattern", "key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -189,10 +187,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 def resample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as many times as it is taken (a part counts as a whole), with all its columns."""
     times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))
-    taken = mix(docs, weights, most, seed).withColumn("times", times).groupBy(F.col("doc_id").alias("taken_id"), F.col("h1").alias("taken_h1"), F.col("h2").alias("taken_h2")).agg(F.sum("times").alias("times"))
-    taken = cut(taken.where("times > 0"), "taken")
+    row_key = F.xxhash64("doc_id", "h1", "h2")
+    taken = mix(docs, weights, most, seed).select(row_key.alias("taken_key"), F.col("h1").alias("taken_h1"), times.alias("times"))
+    taken = taken.groupBy("taken_key", "taken_h1").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 0")
+    taken = cut(taken, "taken")
     h1, h2 = twin_hash(filled("text"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), h1.alias("own_h1"), h2.alias("own_h2"))
-    met = own["own_id"].eqNullSafe(taken["taken_id"]) & (own["own_h1"] == taken["taken_h1"]) & (own["own_h2"] == taken["taken_h2"])
-    once = own.join(taken, met).dropDuplicates(["taken_id", "taken_h1", "taken_h2"])
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", h1, h2).alias("taken_key"), h1.alias("taken_h1"))
+    once = own.join(taken, ["taken_key", "taken_h1"])
+    if not taken.where("n > 1").isEmpty():  # rows of equal id and text are counted together; without them, none need be dropped
+        once = once.dropDuplicates(["taken_key", "taken_h1"])
     return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
