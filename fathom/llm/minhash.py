@@ -8,7 +8,8 @@ The fingerprint stores the low eight bits of each bin; likeness is the share of
 256 that agree by chance.
 
 All of it is SQL functions on arrays within a row: no row leaves its task but for the neighbour comparison, which
-range-partitions the documents by id once and carries one row over each border.
+range-partitions the documents by id and text hash once and carries one row over each border. Null and repeated ids
+spread over the ranges by their texts; only rows of equal id and equal text stay together.
 
 Defined cases: a null text is empty; texts without a word share one fingerprint; fewer than five words are one
 shingle; null ids come last; repeated rows are neighbours of each other; a single document is its own neighbour; an
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.texts import filled, words
+from fathom.session import cut
 
 BINS = 256
 SHINGLE = 5
@@ -75,38 +77,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return codes(docs.select("doc_id", "text"), "text", "code").select("doc_id", packed(F.col("code")).alias("fingerprint"))
 
 
-def _ranges(ids: DataFrame, n: int) -> Column:
-    """Number of the range that doc_id falls in, -1 for null; borders at quantiles, ``n`` - 1 numbers at most."""
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    wide = max(1, round(len(cuts) ** 0.5))
-    rows = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    if not rows:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    # Two short searches: the row of borders, then the place in it.
-    row = F.greatest(F.size(F.filter(F.array(*(F.lit(r[0]) for r in rows)), lambda c: c <= F.col("doc_id"))) - 1, F.lit(0))
-    inside = F.size(F.filter(F.get(F.array(*(F.array(*map(F.lit, r)) for r in rows)), row), lambda c: c <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(row * wide + inside).cast("int")
+def _order_key() -> Column:
+    """Text that sorts as (null ids last, doc_id descending, text hash)."""
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    last, down = F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    return F.concat(last, digits(down), digits(F.xxhash64(filled("text"))))
+
+
+def _range_of(key: Column, tops: list[str]) -> Column:
+    """Number of the range that a key falls in, by two short searches: the row of tops, then the place in it."""
+    wide = max(1, round(len(tops) ** 0.5))
+    rows = [tops[i : i + wide] for i in range(0, len(tops), wide)]
+    upto = lambda found: F.size(F.filter(found, lambda top: top <= key))
+    row = F.greatest(upto(F.lit([r[0] for r in rows])) - 1, F.lit(0))
+    return (row * wide + F.greatest(upto(F.get(F.array(*(F.lit(r) for r in rows)), row)) - 1, F.lit(0))).cast("int")
 
 
 def with_next(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """doc_id, text, code, next_text, next_code: each row beside the next in descending order of id; the last row
     is followed by the first."""
     spark = docs.sparkSession
-    n = n_ranges or min(4096, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    text = filled("text")
-    ids = docs.select("doc_id", F.xxhash64(text).alias("text_hash"))
-    number = _ranges(ids, n)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("down"), "text_hash", "doc_id")
-    tops = ids.groupBy(number.alias("range")).agg(F.min(order).alias("top")).collect()  # one row a range
-    tops.sort(key=lambda r: -r.range)
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), number.alias("range"), F.lit(0).alias("carried"))
-    borders = [(tops[(i + 1) % len(tops)].top.doc_id, tops[(i + 1) % len(tops)].top.text_hash, r.range) for i, r in enumerate(tops)]
-    borders = F.broadcast(spark.createDataFrame(borders, "border_id long, border_hash long, into int"))
-    met = rows["doc_id"].eqNullSafe(borders["border_id"]) & (rows["text_hash"] == borders["border_hash"])
-    carried = rows.join(borders, met).dropDuplicates(["into"]).select("doc_id", "text", "text_hash", F.col("into").alias("range"), F.lit(1).alias("carried"))
+    n = n_ranges or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = cut(docs.select(_order_key().alias("key")), "keys")
+    ranges = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("top"))
+    tops = sorted(r.top for r in ranges.collect())  # one a range
+    rows = docs.select("doc_id", filled("text").alias("text"), _order_key().alias("key"))
+    rows = rows.select("doc_id", "text", "key", _range_of(F.col("key"), tops or [""]).alias("range"), F.lit(0).alias("carried"))
+    borders = [(tops[(i + 1) % len(tops)], i) for i in range(len(tops))]
+    borders = F.broadcast(spark.createDataFrame(borders, "key string, into int"))
+    carried = rows.join(borders, "key").dropDuplicates(["into"]).select("doc_id", "text", "key", F.col("into").alias("range"), F.lit(1).alias("carried"))
     both = codes(rows.union(carried), "text", "code")
-    following = Window.partitionBy("range").orderBy("carried", F.desc_nulls_last("doc_id"), "text_hash")
+    following = Window.partitionBy("range").orderBy("carried", "key")
     both = both.withColumns({"next_text": F.lead("text").over(following), "next_code": F.lead("code").over(following)})
     return both.where("carried = 0").select("doc_id", "text", "code", "next_text", "next_code")
 
