@@ -1,9 +1,9 @@
 """Line dedup over range-partitioned hashes.
 
 Lines become (hash, document, position). They are range-partitioned by hash and document with a secondary sort by
-position, so a hash that a third of all lines share spreads over many partitions; each partition streams its runs
-into one row per hash and document, and a pre-aggregated count by hash finds first occurrences and the number of
-documents. What returns to the documents is a keep bitmap as run lengths (kept, dropped, kept, ...), not text.
+position, so a hash that a third of all lines share spreads over many partitions. Each sorted partition is read as a
+stream: a row that follows another hash or document opens one, and each run becomes its first occurrence and its
+number of documents; runs that a range border cuts are added up. What returns to the documents is a keep bitmap as run lengths (kept, dropped, kept, ...), not text.
 
 Defined cases: null or empty text is one empty line; keys without a character never go; rows with equal id and text
 are one document and get equal results; null ids are ids like any other; an empty table gives an empty result;
@@ -12,7 +12,7 @@ extra columns are ignored by ``deduplicate`` and kept by ``apply``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.texts import BLANKS, ascii_lower, filled, twin_hash
@@ -43,17 +43,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per hash and document with its positions, in range partitions of the hash."""
-    rows = cut(line_rows(docs), "lines")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(
-        rows.repartitionByRange(parts, "h1", "h2", *DOC)
-        .sortWithinPartitions("h1", "h2", *DOC, "pos")
-        .groupBy("h1", "h2", *DOC)
-        .agg(F.collect_set("pos").alias("positions")),
-        "occurrences",
-    )
+def occurrences(rows: DataFrame) -> DataFrame:
+    """h1, h2, n_docs and first (occurrence, by document and position) of each key of ``rows``.
+
+    The rows are sorted once: a row opens a document if the row before it has another key or document. Each
+    partition streams into one row a key, and keys that a range border cuts are added up across it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["h1", "h2", *DOC]
+    before = F.lag("pos").over(Window.partitionBy(*key).orderBy("pos"))
+    streamed = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key, "pos").withColumn("opens", before.isNull())
+    return streamed.where("opens").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct(*DOC, "pos")).alias("first"))
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
@@ -61,17 +60,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
 
     Keys in ``min_docs`` documents or more lose all their lines, or all but the first in order of document and
     position if ``keep_first``."""
-    found = occurrences(docs)
-    first = F.min(F.struct(*DOC, F.array_min("positions").alias("pos")))
-    common = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), first.alias("first")).where(F.col("n_docs") >= min_docs)
+    rows = cut(line_rows(docs), "lines")
+    common = occurrences(rows).where(F.col("n_docs") >= min_docs)
     common = cut(common.select("h1", "h2", "first"), "common")  # apart from its counting, so that the join can split a hot line
-    dropped = found.join(common, ["h1", "h2"])
+    dropped = rows.join(common, ["h1", "h2"])
     if keep_first:
-        is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash"))
-        dropped = dropped.withColumn(
-            "positions", F.when(is_first, F.array_except("positions", F.array("first.pos"))).otherwise(F.col("positions"))
-        )
-    gone = dropped.groupBy(*DOC).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("gone")).where(F.size("gone") > 0)
+        dropped = dropped.where(~(F.struct(*DOC, "pos").eqNullSafe(F.col("first"))))
+    gone = dropped.groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     starts = F.filter("gone", lambda p, i: (i == 0) | (F.get("gone", i - 1) != p - 1))
     ends = F.filter("gone", lambda p, i: F.get("gone", i + 1).isNull() | (F.get("gone", i + 1) != p + 1))
     runs = F.flatten(
