@@ -1,4 +1,4 @@
-"""A logistic scorer over hashed features, trained by AdaGrad on a bounded sample inside one task."""
+"""A logistic scorer over hashed features, trained by AdaGrad on a sample bounded in rows and features, inside one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fathom.session import cut
+
+MOST_FEATURES = 16_000_000
 
 
 def sigmoid(z: float) -> float:
@@ -31,22 +36,31 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], dims: int, epochs: int
     return w, bias
 
 
-def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.05, most: int = MOST_FEATURES) -> tuple[np.ndarray, float]:
     """``features``: key long, y double, at array<int>, x array<float>, of a bounded number of rows. They meet in one
-    task, in order of key; the weights (``dims`` at most) come back as rows."""
+    task, in order of key; the weights (``dims`` at most) come back as rows.
+
+    The sample is bounded in features too: rows are taken in order of a hash of their key up to ``most`` features in
+    all, so long texts cannot fill the task (8 bytes a feature)."""
+    drawn = F.xxhash64(F.lit("fit"), "key", "y", F.size("at"))
+    features = cut(features.withColumn("drawn", drawn), "features")
+    sizes = sorted(tuple(r) for r in features.select("drawn", F.size("at")).collect())  # one small row a sampled document
+    total = np.cumsum([n for _, n in sizes])
+    taken = max(1, int(np.searchsorted(total, most, side="right")))
+    chosen = features.where(F.col("drawn") <= sizes[min(taken, len(sizes)) - 1][0]) if sizes else features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
             for key, y, at, x in zip(*b.columns, strict=True):
-                rows.append((key.as_py(), y.as_py(), at.values.to_numpy(), x.values.to_numpy(zero_copy_only=False).astype(np.float64)))
+                rows.append((key.as_py(), y.as_py(), at.values.to_numpy().copy(), x.values.to_numpy(zero_copy_only=False).copy()))
         rows.sort(key=lambda r: r[0])
         w, bias = fit([r[1:] for r in rows], dims, epochs, rate)
         used = np.flatnonzero(w)
         at = np.append(used, -1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(w[used], bias))], ["at", "w"])
 
-    found = features.repartition(1).mapInArrow(run, "at int, w double").toPandas()
+    found = chosen.drop("drawn").repartition(1).mapInArrow(run, "at int, w double").toPandas()
     w = np.zeros(dims, np.float32)
     real = found[found["at"] >= 0]
     w[real["at"]] = real["w"]
