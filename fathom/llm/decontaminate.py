@@ -5,23 +5,30 @@ capitalised word inside a sentence is ``#p``, all else is lower-cased and loses
 ``WINDOW`` template tokens of the documents are hash-joined with those of the benchmark, so a question whose numbers,
 names or units were exchanged still meets its source. Windows with fewer than ``LITERAL`` words that are no
 placeholder say too little as templates: they must be met word for word (but for case). Hits line up by offset; along one offset each value of a slot in the
-benchmark must stand for one value in the document (slot consistency), else that offset does not count. A document
-leaks an item if its counted windows cover ``COVERAGE`` of the item's template windows, or of all its windows.
+benchmark must stand for one value in the document and the other way round (slot consistency), else that offset does
+not count. A document leaks an item if its counted windows cover ``COVERAGE`` of the item's template windows, or of all
+its windows.
+
+Items that share a stem do not multiply: to reach the coverage, a document must hold at least one of an item's rarest
+windows (all but the number needed, plus one), so those alone name the candidates, and only candidates are expanded.
+
+Short items are met as whole lines: an item of fewer than ``WINDOW`` words without a template window leaks where a line
+of a document has the same template and its slots are consistent both ways; without any literal word, or any slot,
+where a line is the item word for word (but for case). So ``What is 12 times 30?`` meets a line ``What is 7 times 45?``.
 
 The benchmark side of the join is broadcast only where Spark knows its size to be under the session's threshold;
 beyond it, both sides are shuffled by hash.
 
 Defined cases: null and empty texts have no windows; items of fewer words than a window are one window of their own
-length, and items of fewer than ``LITERAL`` words are never found; equal benchmark texts are one item (the
-least id); rows of equal id and text are one document; empty tables give an empty result; extra columns are ignored
-by ``leaks`` and kept by ``without_leaks``.
+length; equal benchmark texts are one item (the least id); rows of equal id and text are one document; empty tables
+give an empty result; extra columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.texts import filled, words
@@ -98,28 +105,68 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _bare(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
+
+
+def _same_doc(left: str, right: str) -> Column:
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.doc_hash") == F.col(f"{right}.doc_hash"))
+
+
 def _slot_check(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """By document, item and offset: the share of the item's slot values that stand for one value in the document."""
+    """By document, item and offset: the share of the item's slot values that stand for one value in the document, or
+    of the document's that stand for one of the item, whichever is less."""
     slotted = hits.where(F.size("slots") > 0)
     holders = cut(slotted.select(*DOC).distinct(), "slotted")
-    raw = keyed(docs).join(holders.select(F.col("doc_id").alias("d"), F.col("doc_hash").alias("h")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_hash") == F.col("h")), "left_semi")
-    raw = raw.select(F.col("doc_id").alias("raw_id"), F.col("doc_hash").alias("raw_hash"), words(F.col("text")).alias("raw")).dropDuplicates(["raw_id", "raw_hash"])
-    bare = lambda c: F.lower(F.regexp_replace(c, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
-    pair = F.transform("slots", lambda i: F.struct(bare(F.get("own", i)).alias("item_value"), bare(F.get("raw", F.col("pos") + i)).alias("doc_value")))
+    raw = keyed(docs).alias("r").join(holders.alias("h"), _same_doc("r", "h"), "left_semi")
+    raw = raw.select(*DOC, words(F.col("text")).alias("raw")).dropDuplicates(DOC)
+    pair = F.transform("slots", lambda i: F.struct(_bare(F.get("own", i)).alias("item_value"), _bare(F.get("raw", F.col("pos") + i)).alias("doc_value")))
     key = [*DOC, "item_id", "offset"]
+    pairs = slotted.alias("s").join(raw.alias("r"), _same_doc("s", "r")).select(*(F.col(f"s.{c}").alias(c) for c in key), F.explode(pair).alias("pair"))
+    sides = F.array(F.struct(F.lit("item").alias("side"), F.col("pair.item_value").alias("one"), F.col("pair.doc_value").alias("other")), F.struct(F.lit("doc").alias("side"), F.col("pair.doc_value").alias("one"), F.col("pair.item_value").alias("other")))
     return (
-        slotted.join(raw, F.col("doc_id").eqNullSafe(F.col("raw_id")) & (F.col("doc_hash") == F.col("raw_hash")))
-        .select(*key, F.explode(pair).alias("pair"))
-        .groupBy(*key, "pair.item_value")
-        .agg(F.min("pair.doc_value").alias("low"), F.max("pair.doc_value").alias("high"))
+        pairs.select(*key, F.explode(sides).alias("v"))
+        .groupBy(*key, "v.side", "v.one")
+        .agg((F.min("v.other") == F.max("v.other")).cast("double").alias("same"))
+        .groupBy(*key, "side")
+        .agg(F.avg("same").alias("same"))
         .groupBy(*key)
-        .agg(F.avg((F.col("low") == F.col("high")).cast("double")).alias("consistency"))
+        .agg(F.min("same").alias("consistency"))
     )
 
 
+def _with_rare(bench: DataFrame, coverage: float) -> DataFrame:
+    """Adds ``rare``: whether a window is among those of which a leaking document must hold one."""
+    spread = bench.groupBy("hash").agg(F.count_distinct("item_id").alias("n_items"))
+    needed = F.when(F.col("n_windows") > 0, F.ceil(F.col("n_windows") * coverage - 1e-9)).otherwise(F.ceil(F.col("n_all") * coverage - 1e-9))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("n_items", "hash", "ipos"))  # windows of one item
+    return bench.join(spread, "hash").withColumn("rare", place <= F.col("n_all") - F.greatest(needed, F.lit(1)) + 1).drop("n_items")
+
+
+def _line_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, doc_hash, item_id, coverage, consistency of short items that are whole lines of documents."""
+    items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    items = items.select("item_id", words(F.col("text")).alias("own"), template(F.col("text")).alias("tokens")).where(F.size("own").between(1, WINDOW - 1))
+    is_slot = lambda t: t.isin("#n", "#p", "#u")
+    literal = F.size(F.filter("tokens", lambda t: ~is_slot(t)))
+    items = items.withColumn("literal", literal).where(F.col("literal") < LITERAL)
+    as_template = (F.col("literal") > 0) & (F.col("literal") < F.size("tokens"))
+    key = lambda own, tokens, whole: F.xxhash64(whole, F.when(whole, F.transform(own, F.lower)).otherwise(tokens))
+    slots = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: is_slot(F.get("tokens", i)))
+    items = cut(items.select("item_id", "own", key(F.col("own"), F.col("tokens"), ~as_template).alias("hash"), F.when(as_template, slots).otherwise(F.array().cast("array<int>")).alias("slots")), "short-items")
+    if items.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, doc_hash long, item_id long, coverage double, consistency double")
+    lines = keyed(docs).select(*DOC, F.explode(F.split("text", "\n")).alias("line")).select(*DOC, "line", words(F.col("line")).alias("raw")).where(F.size("raw").between(1, WINDOW - 1))
+    hashes = F.array(*(key(F.col("raw"), template(F.col("line")), F.lit(whole)) for whole in (True, False)))
+    met = lines.select(*DOC, "raw", F.explode(hashes).alias("hash")).join(items, "hash")
+    pairs = F.array_distinct(F.transform("slots", lambda i: F.struct(_bare(F.get("own", i)).alias("a"), _bare(F.get("raw", i)).alias("b"))))
+    one_to_one = (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))))
+    return met.where(one_to_one).select(*DOC, "item_id", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency")).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, doc_hash, item_id, coverage, consistency for every leaked (document, item)."""
-    bench = cut(benchmark_windows(benchmark), "benchmark")
+    bench = cut(_with_rare(benchmark_windows(benchmark), coverage), "benchmark")
     kinds = sorted((r["exact"], r["size"]) for r in bench.select("exact", "size").distinct().collect())  # 2 * (WINDOW - LITERAL + 1) values at most
     known = bench.select("hash").distinct()
     tokens = _tokens(keyed(docs), *DOC)
@@ -130,13 +177,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     places = [F.transform(windows(F.col(of[exact]), n), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))) for exact, n in kinds or [(False, WINDOW)]]
     rows = tokens.select(*DOC, F.explode(reduce(lambda a, b: F.concat(a, b), places)).alias("place")).select(*DOC, "place.pos", "place.hash")
     met = cut(rows.join(known, "hash", "left_semi"), "met")
-    hits = cut(met.join(bench, "hash").withColumn("offset", F.col("pos") - F.col("ipos")), "hits")
-    checked = _slot_check(docs, hits).select(*(F.col(c).alias(f"of_{c}") for c in [*DOC, "item_id", "offset"]), "consistency")
-    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("doc_hash") == F.col("of_doc_hash")) & (F.col("item_id") == F.col("of_item_id")) & (F.col("offset") == F.col("of_offset"))
+    candidates = cut(met.join(bench.where("rare").select("hash", "item_id"), "hash").select(*DOC, "item_id").distinct(), "candidates")
+    expanded = candidates.join(bench, "item_id")
+    same_window = _same_doc("e", "m") & (F.col("e.hash") == F.col("m.hash"))
+    hits = expanded.alias("e").join(met.alias("m"), same_window).select("e.*", "m.pos", (F.col("m.pos") - F.col("e.ipos")).alias("offset"))
+    hits = cut(hits, "hits")
+    same = _same_doc("h", "c") & (F.col("h.item_id") == F.col("c.item_id")) & (F.col("h.offset") == F.col("c.offset"))
     share = F.when(F.col("n_windows") > 0, F.col("met") / F.greatest("n_windows", F.lit(1))).otherwise(0.0)
-    return (
-        hits.join(checked, same, "left")
-        .withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    found = (
+        hits.alias("h")
+        .join(_slot_check(docs, hits).alias("c"), same, "left")
+        .select("h.*", F.coalesce("c.consistency", F.lit(1.0)).alias("consistency"))
         .where(F.col("consistency") >= CONSISTENT)
         .groupBy(*DOC, "item_id")
         .agg(
@@ -149,6 +200,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         .select(*DOC, "item_id", F.when(share >= coverage, share).otherwise(F.col("met_all") / F.col("n_all")).alias("coverage"), "consistency")
         .where(F.col("coverage") >= coverage)
     )
+    lines = _line_leaks(docs, benchmark).alias("l").join(found.alias("f"), _same_doc("l", "f") & (F.col("l.item_id") == F.col("f.item_id")), "left_anti")
+    return found.unionByName(lines)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

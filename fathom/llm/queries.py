@@ -123,8 +123,12 @@ ORACLE_SQL = {
             SELECT h.doc_id, item_id, "offset", own, d.raw, pos, unnest(slots) AS i FROM hits h JOIN doc_windows d ON d.doc_id = h.doc_id
         ), values_ AS (
             SELECT doc_id, item_id, "offset", {_BARE.format('own[i]')} AS a, {_BARE.format('raw[pos + i]')} AS b FROM pairs
-        ), agreed AS (SELECT doc_id, item_id, "offset", a, (min(b) = max(b))::INT AS same FROM values_ GROUP BY ALL
-        ), checked AS (SELECT doc_id, item_id, "offset", avg(same) AS consistency FROM agreed GROUP BY ALL
+        ), sides AS (
+            SELECT doc_id, item_id, "offset", 'item' AS side, a AS one, b AS other FROM values_
+            UNION ALL SELECT doc_id, item_id, "offset", 'doc', b, a FROM values_
+        ), agreed AS (SELECT doc_id, item_id, "offset", side, one, (min(other) = max(other))::INT AS same FROM sides GROUP BY ALL
+        ), shares AS (SELECT doc_id, item_id, "offset", side, avg(same) AS same FROM agreed GROUP BY ALL
+        ), checked AS (SELECT doc_id, item_id, "offset", min(same) AS consistency FROM shares GROUP BY ALL
         ), counted AS (
             SELECT h.doc_id, h.item_id, h.ipos, coalesce(c.consistency, 1.0) AS consistency FROM hits h
             LEFT JOIN checked c ON c.doc_id = h.doc_id AND c.item_id = h.item_id AND c."offset" = h."offset" WHERE coalesce(c.consistency, 1.0) >= 0.8

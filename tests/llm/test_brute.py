@@ -88,6 +88,58 @@ def test_flow_meets_quotas_at_least_cost():
         assert sum(cost(p, sum(n for (x, _), n in flow.items() if x == p)) for p in distinct) == best
 
 
+def test_flow_of_many_patterns_leaves_no_cheaper_way():
+    rng = random.Random(4)
+    sources = [f"s{i}" for i in range(14)]
+    found = set()
+    while len(found) < 3000:
+        found.add(tuple(sorted(rng.sample(sources, rng.randint(1, 5)))))
+    cells, distinct = {}, {}
+    for p, own in enumerate(sorted(found)):
+        distinct[p] = rng.randint(1, 40)
+        cells |= {(p, s): distinct[p] * rng.randint(1, 2) for s in own}
+    sizes = {s: sum(n for (_, x), n in cells.items() if x == s) for s in sources}
+    quota = {s: round(t) for s, t in mixing.targets(sizes).items()}
+    flow = mixing.route(distinct, cells, quota, 3)
+    assert {s: sum(n for (_, x), n in flow.items() if x == s) for s in sources} == quota
+    level = {p: sum(flow[p, s] for s in own) / distinct[p] for p, own in enumerate(sorted(found))}
+    # A cheaper flow would move a word from a pattern whose last level is dear to one with room at a cheaper level.
+    holders = defaultdict(set)
+    for p, s in cells:
+        holders[s].add(p)
+    for p, own in enumerate(sorted(found)):
+        top = min(3, int(np.ceil(level[p])) - 1)
+        if top < 1:
+            continue
+        reach, queue = {p}, [p]
+        while queue:
+            x = queue.pop()
+            for s in (s for s in (own if x == p else sorted(found)[x]) if flow[x, s] > 0):
+                for y in holders[s] - reach:
+                    if flow[y, s] < 3 * cells[y, s]:
+                        assert min(3, int(level[y])) >= top
+                        reach.add(y)
+                        queue.append(y)
+        break
+
+
+def test_choice_does_not_depend_on_the_number_of_buckets(docs, monkeypatch):
+    plain = {tuple(r) for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    assert {tuple(r) for r in mixing.mix(docs).collect()} == plain
+    by_cell = defaultdict(set)
+    for r in mixing.mix(docs).collect():
+        if r["size"] and r.taken % r["size"]:
+            by_cell[r.pattern, r.h1].add(r.doc_id)
+    assert all(len(x) == 1 for x in by_cell.values())  # at most one document of a share is taken in part
+
+
+def test_too_many_sums_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SUMS", 1)
+    with pytest.raises(ValueError, match="membership pattern"):
+        mixing.mix(docs)
+
+
 def test_mix_meets_targets_and_repeats_itself(docs):
     got = mixing.mix(docs).collect()
     source = {r[0]: r[3] for r in rows()}
@@ -115,8 +167,8 @@ def test_leaks_with_other_numbers_and_names(spark):
     made = [(1, f"{prose(rng, 50)} {item} {prose(rng, 9)}"), (2, f"{prose(rng, 50)} {twin}"), (3, f"{prose(rng, 50)} {odd}"), (4, prose(rng, 80)), (5, "too short")]
     docs = table(spark, [(i, t, "xx", "s") for i, t in made])
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 1), (2, 1)}
-    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [3, 4, 5]
+    assert got == {(1, 1), (2, 1), (5, 3)}  # 5 is an item as a whole
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [3, 4]
 
 
 def test_verbatim_leaks_of_items_full_of_numbers(spark):
@@ -136,6 +188,49 @@ def test_real_leaks_are_those_that_hold_an_item(spark, real, texts):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(real, bench).collect()} == want
 
 
+def test_slots_are_checked_both_ways(spark):
+    rng = random.Random(18)
+    item = "Then Tom bought 12 apples for 30 dollars and gave a few apples to Ann before walking slowly towards home again"
+    both = item.replace("12", "77").replace("30", "77").replace("Tom", "Max").replace("Ann", "Max")
+    fine = item.replace("12", "77").replace("30", "95").replace("Tom", "Max").replace("Ann", "Eve")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = table(spark, [(1, f"{prose(rng, 20)} {both}", "xx", "s"), (2, f"{prose(rng, 20)} {fine}", "xx", "s")])
+    assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [2]
+
+
+def test_short_items_are_met_as_lines(spark):
+    bench = spark.createDataFrame([(1, "What is 12 times 30?"), (2, "too short"), (3, "7 8 9")], "item_id long, text string")
+    made = [(1, "one line\nWhat is 7 times 45?\nanother"), (2, "Too  short"), (3, "it is too short"), (4, "4 5 6"), (5, "x\n7 8 9"), (6, "What is 7 times 7?"), (7, None)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, [(i, t, "xx", "s") for i, t in made]), bench).collect()}
+    assert got == {(1, 1), (2, 2), (5, 3)}
+
+
+def test_a_shared_stem_makes_no_candidates(spark):
+    rng = random.Random(19)
+    stem = "Read the following question with care and answer it in one word only please"
+    bench = spark.createDataFrame([(i, f"{stem} {prose(rng, 30)}") for i in range(60)], "item_id long, text string")
+    made = [(i, f"{prose(rng, 20)} {stem} {prose(rng, 20)}", "xx", "s") for i in range(60)]
+    whole = bench.first().text
+    docs = table(spark, [*made, (99, f"{prose(rng, 5)} {whole}", "xx", "s")])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [(99, 0)]
+    windows = decontaminate._with_rare(decontaminate.benchmark_windows(bench), decontaminate.COVERAGE)
+    common = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    assert common.count() > 3 and windows.where("rare").join(common, "hash").count() == 0
+
+
+def test_reparameterised_versions_of_the_given_items(spark):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    rng = random.Random(20)
+    changed = {}
+    for i, t in items.items():
+        values = {}
+        new = re.sub(r"[0-9]+", lambda m: values.setdefault(m[0], str(100 + len(values) * 7 + rng.randint(0, 6))), t)  # noqa: B023
+        changed[i] = re.sub(r"(?<=[a-z,] )[A-Z][a-z]+", lambda m: values.setdefault(m[0], f"Name{chr(97 + len(values) % 26)}"), new)  # noqa: B023
+    docs = table(spark, [(i, f"{prose(rng, 30)} {t} {prose(rng, 9)}", "xx", "s") for i, t in changed.items()])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert sum((i, i) in got for i in items) >= 0.9 * len(items)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -166,6 +261,15 @@ def test_quality_ranks_good_above_bad(spark):
     assert got[got["quality"] == 1]["keep"].mean() > 0.95
 
 
+def test_fit_is_bounded_in_features(spark):
+    rows = spark.createDataFrame([(i, float(i % 2), [i % 2, *range(2, 102)], [1.0] * 101) for i in range(60)], "key long, y double, at array<int>, x array<float>")
+    w, bias = linear.fit_on_one(rows, 128, most=101 * 40)
+    assert linear.sigmoid(bias + w[1] + w[2:102].sum()) > 0.5 > linear.sigmoid(bias + w[0] + w[2:102].sum())
+    few, _ = linear.fit_on_one(rows, 128, most=1)
+    assert (few != 0).sum() <= 101
+    assert not linear.fit_on_one(rows.limit(0), 128)[0].any()
+
+
 def test_linear_learns_a_feature():
     rng = random.Random(1)
     data = [(float(i % 2), np.array([i % 2, 2 + rng.randint(0, 5)]), np.ones(2)) for i in range(200)]
@@ -294,6 +398,21 @@ def test_equal_texts_equal_prints_and_neighbours(docs):
     assert got[0] == "no id at all" and got[None] == plain[307]
 
 
+def test_neighbours_of_null_repeated_and_least_ids(spark):
+    made = [(None, f"text {i} without an id", "xx", "s") for i in range(60)] + [(7, f"text {i} of id seven", "xx", "s") for i in range(60)]
+    made += [(-(1 << 63), "the least id", "xx", "s"), ((1 << 63) - 1, "the greatest id", "xx", "s"), (None, None, "xx", "s")]
+    docs = table(spark, made)
+    got = [(r.doc_id, r.text, r.next_text) for r in minhash.with_next(docs, n_ranges=9).collect()]
+    follows = {t: n for _, t, n in got}
+    assert sorted(follows) == sorted(t or "" for _, t, *_ in made) and len(set(follows.values())) == len(follows)
+    chain, t = [], "the greatest id"
+    while t not in chain:
+        chain.append(t)
+        t = follows[t]
+    ids = {t or "": i for i, t, *_ in made}
+    assert t == "the greatest id" and [ids[x] for x in chain] == [(1 << 63) - 1] + [7] * 60 + [-(1 << 63)] + [None] * 61
+
+
 # 6 and 8 ---------------------------------------------------------------------------------------------------------
 
 
@@ -471,15 +590,32 @@ def test_rebalancing_edits_the_map():
     assert all(old[s] == 7 for s in loads if old[s] != fewer[s]) and max(fewer.values()) == 6
 
 
-def test_stored_maps_have_versions(spark, docs, tmp_path):
+def test_stored_maps_have_versions(spark, tmp_path):
     folder = str(tmp_path / "map")
-    old = {r.doc_id: r.virtual_slot for r in sharding.shard(docs, 4, folder=folder).collect()}
-    new = sharding.rebalance_stored(spark, folder, 5)
-    assert {r.virtual_slot for r in new.collect()} == set(old.values())
+    rng = random.Random(22)
+    docs = table(spark, [(i, prose(rng, rng.randint(1, 40)), "xx", "s") for i in range(600)])
+    old = sharding.shard(docs, 4, folder=folder).collect()
+    sharding.rebalance_stored(spark, folder, 5)
     versions = spark.read.parquet(folder)
-    assert {r.version for r in versions.select("version").distinct().collect()} == {1, 2}
-    moved = versions.groupBy("virtual_slot").agg(F.countDistinct("shard").alias("n"), F.max("shard").alias("to")).where("n = 2")
-    assert {r.to for r in moved.collect()} <= {4}
+    assert {tuple(r) for r in versions.groupBy("version").count().collect()} == {(1, 4096), (2, 4096)}
+    moved = versions.groupBy("virtual_slot").agg(F.countDistinct("shard").alias("n"), F.max_by("shard", "version").alias("to")).where("n = 2")
+    moved = {r.virtual_slot: r.to for r in moved.collect()}
+    assert moved and set(moved.values()) == {4}
+    same = sharding.place(docs, folder, version=1).collect()
+    assert sorted(map(str, same)) == sorted(map(str, old))
+    grown = Counter((r.doc_id, r.text_crc32, r.virtual_slot, r.shard) for r in sharding.place(docs, folder).collect())
+    assert grown == Counter((r.doc_id, r.text_crc32, r.virtual_slot, moved.get(r.virtual_slot, r.shard)) for r in old)
+    later = table(spark, [(i, f"new text {i}", "xx", "s") for i in range(7000, 7300)])
+    assert sharding.place(later, folder).count() == 300
+
+
+def test_equal_records_are_spread(spark):
+    made = [(None, "one text that many rows without an id share", "xx", "s")] * 200 + [(i, f"text number {i} of twenty others with words", "xx", "s") for i in range(20)]
+    got = sharding.shard(table(spark, made), 4).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 220 and len(sums) == 4 and sums.max() - sums.min() <= 2 * got["size"].max()
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
 
 
 # pipeline ---------------------------------------------------------------------------------------------------------
