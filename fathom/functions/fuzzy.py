@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CUT = 0.42
 
 
+@F.pandas_udf(T.StringType())
+def _fold(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: unicodedata.normalize("NFKC", n or "").casefold())
+
+
+def folded(name: Column) -> Column:
+    """NFKC and full case folding; ASCII names, most of them, never reach Python."""
+    filled = F.coalesce(name, F.lit(""))
+    plain = F.octet_length(filled) == F.length(filled)
+    return F.when(plain, F.lower(filled)).otherwise(_fold(F.when(~plain, filled)))
+
+
 def normalized(name: Column) -> Column:
-    """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[\W_]+", "")
+    """Normalised (NFKC), case folded, letters and digits only."""
+    return F.regexp_replace(folded(name), r"(?U)[\W_]+", "")
 
 
 def stem(name: Column) -> Column:
@@ -38,6 +51,14 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _ratio(query: Column, name: Column) -> Column:
+    """The sequence ratio where it can matter: of names it cannot lift over the share of characters that the shorter
+    of the two leaves possible, nor over what equality or containment have settled, Python sees nothing."""
+    shorter, total = F.least(F.length(query), F.length(name)), F.length(query) + F.length(name)
+    open_ = (shorter > 0) & ~F.contains(name, query) & (0.88 * 2 * shorter / total > F.greatest(F.lit(CUT), 0.92 * dice(query, name)))
+    return F.when(open_, sequence_ratio(F.when(open_, query), F.when(open_, name))).otherwise(0.0)
+
+
 def _score(query: Column, name: Column, inexact: Column) -> Column:
     return (
         F.when((query == "") | (name == ""), 0.0)
@@ -53,8 +74,15 @@ def dice_score(query: Column, name: Column) -> Column:
     return _score(query, name, 0.92 * dice(query, name))
 
 
-def name_score(query: Column, name: Column) -> Column:
-    """Best score of the full name and its stem, as rounded in results."""
-    wanted = normalized(query)
-    scores = [_score(wanted, n, F.greatest(0.88 * sequence_ratio(wanted, n), 0.92 * dice(wanted, n))) for n in (normalized(name), normalized(stem(name)))]
+def name_score(wanted: Column, full: Column, bare: Column) -> Column:
+    """Best score of the full name and its stem, as rounded in results; all three normalised, as columns of their own.
+    Scores below ``CUT`` may come out lower than they are."""
+    scores = [_score(wanted, n, F.greatest(0.88 * _ratio(wanted, n), 0.92 * dice(wanted, n))) for n in (full, bare)]
     return F.round(F.greatest(*scores), 4)
+
+
+def scored(rows: DataFrame, query: Column, name: str = "name") -> DataFrame:
+    """Adds score, of the ``name`` column against the query."""
+    held = rows.columns
+    ready = rows.select(*held, normalized(query).alias("_wanted"), normalized(F.col(name)).alias("_full"), normalized(stem(F.col(name))).alias("_bare"))
+    return ready.withColumn("score", name_score(F.col("_wanted"), F.col("_full"), F.col("_bare"))).drop("_wanted", "_full", "_bare")

@@ -29,6 +29,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t or ""))
 
 
+def compatible(text: Column) -> Column:
+    """NFKC of the text. ASCII is its own, and only texts beyond it that are not yet normal reach Python."""
+    filled = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(filled) == F.length(filled), filled).otherwise(nfkc(F.when(F.octet_length(filled) > F.length(filled), filled)))
+
+
 def _cjk_tokens(run: Column) -> Column:
     single = F.split(run, "")
     pairs = F.transform(single, lambda c, i: F.concat(c, F.coalesce(F.get(single, i + 1), F.lit(""))))
@@ -36,8 +42,8 @@ def _cjk_tokens(run: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased Latin words and digits, joined by ``._+/-``; CJK runs as characters, then as pairs."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Normalised (NFKC), lower-cased Latin words and digits, joined by ``._+/-``; CJK runs as characters, then as pairs."""
+    runs = F.regexp_extract_all(F.lower(compatible(text)), F.lit(TOKEN), F.lit(0))
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(CJK_RUN), _cjk_tokens(r)).otherwise(F.array(r))))
 
 
@@ -73,8 +79,10 @@ def window(text: Column, start: Column, size: int = CHUNK_SIZE) -> Column:
 
 
 def rerank_windows(text: Column, size: int = 360) -> Column:
-    """The whole text if short, else its distinct start, middle and end windows in order of place."""
-    starts = F.array_sort(F.array_distinct(F.array(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - size) / 2)).cast("int"), F.greatest(F.lit(0), F.length(text) - size))))
+    """The whole stripped text if short (null is empty), else its distinct start, middle and end windows in order of place."""
+    text = strip(F.coalesce(text, F.lit("")))
+    middle = F.floor(F.length(text) / 2).cast("int") - size // 2
+    starts = F.array_sort(F.array_distinct(F.array(F.lit(0), F.greatest(F.lit(0), middle), F.greatest(F.lit(0), F.length(text) - size))))
     return F.when(F.length(text) <= size, F.array(text)).otherwise(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions import fuzzy
+from fathom.functions import fuzzy, nested
 
 
 def due_between(deadlines: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -82,7 +82,7 @@ def related(wanted: DataFrame, files: DataFrame, group: str, n: int) -> DataFram
 
 def fuzzy_search(names: DataFrame, query: str, cut: float = fuzzy.CUT, limit: int = 20) -> DataFrame:
     """Rows (kind, id, name) by score: folders before files, then by name; the first ``limit``."""
-    scored = names.withColumn("score", fuzzy.name_score(F.lit(query), F.col("name"))).where(F.col("score") >= cut)
+    scored = fuzzy.scored(names, F.lit(query)).where(F.col("score") >= cut)
     return scored.orderBy(F.desc("score"), F.col("kind") != "folder", "name", "id").limit(limit)
 
 
@@ -100,10 +100,8 @@ def answered_count(records: Column) -> Column:
     """Of array<struct<answered boolean, status string, answered_at string>>: a boolean decides first, then a known
     status, then a time stamp; without any evidence null, not 0."""
     status = lambda r: F.lower(F.trim(r["status"]))
-    yes = ["present", "answered", "signed", "submitted", "on_call", "on_call_fine", "late", "attended"]
-    no = ["absent", "unanswered", "unsigned", "not_submitted", "pending", "none"]
     value = lambda r: (
-        F.when(r["answered"].isNotNull(), r["answered"].cast("int")).when(status(r).isin(yes), 1).when(status(r).isin(no), 0).when(r["status"].isNull() & (F.coalesce(r["answered_at"], F.lit("")) != ""), 1)
+        F.when(r["answered"].isNotNull(), r["answered"].cast("int")).when(status(r).isin(*nested.YES), 1).when(status(r).isin(*nested.NO), 0).when(r["status"].isNull() & (F.coalesce(r["answered_at"], F.lit("")) != ""), 1)
     )
     evidence = F.filter(F.transform(records, value), lambda v: v.isNotNull())
     return F.when(F.size(evidence) > 0, F.aggregate(evidence, F.lit(0), lambda s, x: s + x))
@@ -112,16 +110,27 @@ def answered_count(records: Column) -> Column:
 # --- lifecycle -------------------------------------------------------------------------------------------------
 
 
-def replaced(current: DataFrame, new: DataFrame, owner: str) -> DataFrame:
-    """All rows of the owners in ``new`` give way to the new ones."""
-    return current.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new, allowMissingColumns=True)
+def replaced(current: DataFrame, new: DataFrame, owner: str, owners: DataFrame | None = None) -> DataFrame:
+    """All rows of the ``owners`` give way to the new ones; by default, of those in ``new``. An owner whose new list is
+    empty must be named, and has no rows then."""
+    owners = new.select(owner) if owners is None else owners.select(owner).union(new.select(owner))
+    return current.join(owners.distinct(), owner, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def moved(rows: DataFrame, moves: DataFrame, key: str, column: str) -> DataFrame:
+    """``column`` of the rows whose ``key`` is in ``moves`` (key, to) takes the new value; the others stay."""
+    return rows.join(moves, key, "left").withColumn(column, F.coalesce("to", column)).drop("to")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return rows.join(gone.select(key), key, "left_anti")
 
 
 def upserted(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New values win where given; columns and rows that ``new`` lacks stay."""
+    """New values win where given; columns and rows that ``new`` lacks stay, and columns that only ``new`` has come in."""
     both = current.alias("c").join(new.alias("n"), key, "full_outer")
     columns = [F.coalesce(f"n.{c}", f"c.{c}").alias(c) if c in new.columns else F.col(f"c.{c}") for c in current.columns if c != key]
-    return both.select(key, *columns)
+    return both.select(key, *columns, *(F.col(f"n.{c}") for c in new.columns if c not in current.columns))
 
 
 def migrated(rows: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
@@ -139,6 +148,20 @@ def reconciled(files: DataFrame, vectors: DataFrame) -> DataFrame:
     return missing.unionByName(orphaned)
 
 
+def missing_files(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """code, level, file_id of files (id, path) whose source is not ``listed`` (path)."""
+    gone = files.join(listed.select("path").distinct(), "path", "left_anti")
+    return gone.select(F.lit("missing_files").alias("code"), F.lit("error").alias("level"), F.col("id").alias("file_id"))
+
+
+def overview(files: DataFrame, listed: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: counts of files, bytes listed, counts of each issue, and whether there is no error."""
+    issues = reconciled(files, vectors).unionByName(missing_files(files, listed))
+    told = issues.agg(*(F.count_if(F.col("code") == c).alias(f"n_{c}") for c in ("missing_files", "missing_vectors", "orphan_vectors")), (F.count_if(F.col("level") == "error") == 0).alias("healthy"))
+    counted = files.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("status") == "ready").alias("n_ready"))
+    return counted.crossJoin(listed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))).crossJoin(told)  # one row each
+
+
 def health(issues: DataFrame, shown: int = 50) -> DataFrame:
     """code, level, n and the first ``shown`` items of each kind of issue; only those are gathered."""
     rank = F.row_number().over(Window.partitionBy("code", "level").orderBy("file_id"))

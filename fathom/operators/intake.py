@@ -133,6 +133,6 @@ def registered(files: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def best_version(files: DataFrame, name_key: str, most: int = 8) -> DataFrame:
-    """Adds version_rank: ready rows first, then the newest; ``most`` a name. Spark limits each group before sorting it."""
-    order = Window.partitionBy(name_key).orderBy((F.col("status") == "ready").desc(), F.desc("updated"), "id")
+    """Adds version_rank: the newest first; ``most`` a name. Spark limits each group before sorting it."""
+    order = Window.partitionBy(name_key).orderBy(F.desc("updated"), "id")
     return files.withColumn("version_rank", F.row_number().over(order).cast("long")).where(F.col("version_rank") <= most)

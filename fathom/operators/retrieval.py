@@ -6,7 +6,7 @@ Every step takes and returns a DataFrame keyed by (query_id, doc_id); after the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
 from fathom.functions import vectors
+from fathom.operators import tree
 
 # Sizes and weights of the ranking.
 CANDIDATES, POOL, RESULTS = 10, 8, 3
@@ -36,49 +37,68 @@ def scope_filter(course: Column, file: Column, courses: list | None = None, cour
     return keep & file.isin(sorted(set(files))) if files else keep
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
-    """``corpus`` (doc_id, embedding), ``queries`` (query_id, query_vector) -> query_id, doc_id, distance, vector_rank.
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _nearest_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, part, passing, id, vector) sorted by the first three: in each unit the query vectors are held, the
+    corpus passes by, and the best ``k`` a query (and ties) stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, names, wanted, held = None, [], [], []
 
-    Exact. Queries are numbered into blocks; one block of vectors (a bounded array) meets all batches of the corpus
-    at a time, each task keeps its best k a query, and a window over those ranks them."""
-    ids = queries.select("query_id", "query_vector").where("query_vector is not null").orderBy("query_id").toLocalIterator()
-    found, batch = [], []
-
-    def best(rows: list) -> DataFrame:
-        names = np.array([r.query_id for r in rows])
-        shared = corpus.sparkSession.sparkContext.broadcast((names, np.array([r.query_vector for r in rows], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, wanted = shared.value
-            held = [(np.empty(0, np.int64), np.empty(0))] * len(names)
-            for b in batches:
-                lists = b.column(1)
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                matrix = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)[lists.offsets[0].as_py() :].reshape(len(own), -1)
-                gaps = (matrix * matrix).sum(axis=1)[None, :] + (wanted * wanted).sum(axis=1)[:, None] - 2 * wanted @ matrix.T
+        def found() -> pa.RecordBatch:
+            sizes = [len(d) for d, _ in held]
+            columns = [pa.array(np.repeat(np.concatenate(names), sizes)), pa.array(np.concatenate([d for d, _ in held])), pa.array(np.concatenate([x for _, x in held]))]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "distance"])
+
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)])) if len(keys) else []
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if tuple(keys[start, :2]) != unit:
+                    if held:
+                        yield found()
+                    unit, names, wanted, held = tuple(keys[start, :2]), [], [], []
+                own, matrix = b.column(3).slice(start, stop - start).to_numpy(), _matrix(b.column(4).slice(start, stop - start))
+                if not keys[start, 2]:
+                    names.append(own)
+                    wanted.append(matrix)
+                    held += [(np.empty(0, np.int64), np.empty(0))] * len(own)
+                    continue
+                if not held:
+                    continue
+                q = np.concatenate(wanted)
+                gaps = (matrix * matrix).sum(axis=1)[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ matrix.T
                 for i, row in enumerate(gaps):
                     near = np.argpartition(row, k - 1)[:k] if len(row) > k else np.arange(len(row))
                     near = np.flatnonzero(row <= row[near].max() + 1e-9) if len(row) > k else near
                     d, x = np.concatenate((held[i][0], own[near])), np.concatenate((held[i][1], row[near]))
-                    order = np.lexsort((d, x))[: k + 1]
+                    order = np.lexsort((d, x.round(9)))[:k]
                     held[i] = (d[order], x[order])
-            sizes = [len(d) for d, _ in held]
-            columns = [pa.array(np.repeat(names, sizes)), pa.array(np.concatenate([d for d, _ in held])), pa.array(np.concatenate([x for _, x in held]))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "distance"])
-
-        vectors_only = corpus.where("embedding is not null").select(F.col("doc_id").cast("long"), "embedding")
-        return vectors_only.mapInArrow(run, "query_id long, doc_id long, distance double")
-
-    for row in ids:
-        batch.append(row)
-        if len(batch) == block:
-            found.append(best(batch))
-            batch = []
-    if batch or not found:
-        found.append(best(batch) if batch else corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, distance double"))
-    partial = found[0]
-    for more in found[1:]:
-        partial = partial.union(more)
+        if held:
+            yield found()
+
+    return run
+
+
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
+    """``corpus`` (doc_id, embedding), ``queries`` (query_id, query_vector) -> query_id, doc_id, distance, vector_rank.
+
+    Exact. Queries are dealt into blocks of about ``block`` and the corpus into parts; each (block, part) is a unit of
+    work that keeps its best k a query, and a window over those ranks them. Only the number of queries reaches the
+    driver."""
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = queries.where("query_vector is not null").select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("vector"))
+    stored = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    blocks = max(1, -(-wanted.count() // block))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = wanted.select(dealt(blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("passing"), "id", "vector")
+    passing = stored.select(every(blocks).alias("block"), dealt(parts).alias("part"), F.lit(1).alias("passing"), "id", "vector")
+    units = held.union(passing).repartition(max(parts, min(blocks * parts, 16 * parts)), "block", "part").sortWithinPartitions("block", "part", "passing")
+    partial = units.mapInArrow(_nearest_batches(k), "query_id long, doc_id long, distance double")
     # Distances are compared as rounded, ties by id, so that every engine ranks alike.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id"))
     return partial.withColumn("vector_rank", rank.cast("long")).where(F.col("vector_rank") <= k)
@@ -170,6 +190,24 @@ def diagnostics(candidates: DataFrame, picked: DataFrame, selected: DataFrame) -
     )
 
 
+def best_windows(windows: DataFrame) -> DataFrame:
+    """``windows`` (query_id, doc_id, score of one passage) -> query_id, doc_id, rerank: the best passage speaks for its text."""
+    return windows.groupBy("query_id", "doc_id").agg(F.max("score").alias("rerank"))
+
+
+def within_folders(candidates: DataFrame, folder: str, roots: DataFrame, folders: DataFrame) -> DataFrame:
+    """Candidates whose folder is one of ``roots`` (id) or lies below one."""
+    inside = tree.descendants(folders, roots).select(F.col("id").alias(folder)).distinct()
+    return candidates.join(inside, folder, "left_semi")
+
+
+def location_label(kind: Column, index: Column, section: Column) -> Column:
+    """Where a passage stands: page or slide, with the section unless it is the default one; else the section alone."""
+    named = F.when(F.coalesce(section, F.lit("")).isin("", tx.BODY), None).otherwise(section)
+    unit = F.when(kind == "page", F.concat(F.lit("第"), index.cast("string"), F.lit("页"))).when(kind == "slide", F.concat(F.lit("第"), index.cast("string"), F.lit("张幻灯片")))
+    return F.coalesce(F.nullif(F.concat_ws(" · ", unit, named), F.lit("")), F.lit(tx.BODY))
+
+
 def context(selected: DataFrame, queries: DataFrame) -> DataFrame:
     """One text a query: labelled passages in order, or a note that there is no evidence. Needs file, place, body."""
     label = F.concat(F.lit("【来源"), F.col("final_rank").cast("string"), F.lit("｜"), "file", F.lit("｜"), "place", F.lit("】\n"), "body")

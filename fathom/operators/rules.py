@@ -42,14 +42,15 @@ def label(code: Column, names: dict[int, str], other: str = "unknown") -> Column
     return F.coalesce(*(F.when(code == k, v) for k, v in names.items()), F.lit(other))
 
 
-def ensured_folders(folders: DataFrame, paths: DataFrame, most_depth: int = 16) -> DataFrame:
+def ensured_folders(folders: DataFrame, paths: DataFrame) -> DataFrame:
     """path (folder names joined by /, lower case), depth, id of every folder that ``paths`` (parts array<string>)
     need; id is null where it has to be made. One left join by (parent, name) for each depth."""
     clean = F.filter(F.transform("parts", lambda p: F.lower(strip(p))), lambda p: p != "")
     wanted = cut(paths.select(clean.alias("parts")).distinct(), "paths")
     known = folders.select("id", "parent_id", F.lower("name").alias("folder_name"))
+    deepest = wanted.agg(F.max(F.size("parts"))).first()[0] or 0  # one number
     out, level = None, None
-    for depth in range(1, most_depth + 1):
+    for depth in range(1, max(1, deepest) + 1):
         own = wanted.where(F.size("parts") >= depth)
         step = own.select(F.array_join(F.slice("parts", 1, depth - 1), "/").alias("above"), F.array_join(F.slice("parts", 1, depth), "/").alias("path"), F.get("parts", F.lit(depth - 1)).alias("folder_name")).distinct()
         if level is None:
@@ -58,7 +59,5 @@ def ensured_folders(folders: DataFrame, paths: DataFrame, most_depth: int = 16)
             step = step.join(level.select(F.col("path").alias("above"), F.col("id").alias("of")), "above").withColumn("exists_above", F.col("of").isNotNull())
         found = step.alias("s").join(known.alias("k"), F.col("s.of").eqNullSafe(F.col("k.parent_id")) & (F.col("s.folder_name") == F.col("k.folder_name")) & F.col("s.exists_above"), "left")
         level = cut(found.groupBy("s.path").agg(F.min("k.id").alias("id")).withColumn("depth", F.lit(depth).cast("long")), "level")
-        if level.isEmpty():
-            break
         out = level if out is None else out.unionByName(level)
-    return level if out is None else out
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,39 +12,55 @@ from fathom.functions import text as tx
 SECTION_CHARS = 180
 
 
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The key columns, line_no and line. A document's lines stay together in its task's rows."""
-    kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")).alias("line_no", "line"))
-
-
-def _grouped(rows: DataFrame, keys: list[str], opens: Column, title: Column) -> DataFrame:
-    """Rows of (keys, line_no, line) -> one row a run of lines from one opening line to the next, in order."""
-    so_far = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumns({"title": title, "opens": opens}).withColumn("run", F.sum(F.col("opens").cast("int")).over(so_far))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda p: p["line"])
-    grouped = numbered.groupBy(*keys, "run").agg(F.max(F.when(F.col("opens"), F.col("title"))).alias("title"), F.array_join(parts, "\n").alias("body"))
-    return grouped.withColumn("body", tx.strip(F.col("body"))).where("body <> ''")
+def _runs(rows: DataFrame, titles: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``_runs``: run (from 0; 0 is what comes before the first title), title and body of every run of lines from
+    one title line to the next that is not blank. All within the row: nothing is shuffled, rows never mix."""
+    held = rows.columns
+    split = rows.select(*held, F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n").alias("_lines"))
+    titled = split.select(*held, "_lines", F.transform("_lines", titles).alias("_titles"))
+    opens = F.filter(F.sequence(F.lit(0), F.size("_titles") - 1), lambda i: F.get("_titles", i).isNotNull())
+    begun = titled.select(*held, "_lines", "_titles", F.concat(F.array(F.lit(0)), opens).alias("_begins"))
+    body = lambda b, i: tx.strip(F.array_join(F.slice("_lines", b + 1, F.coalesce(F.get("_begins", i + 1), F.size("_lines")) - b), "\n"))
+    made = F.transform("_begins", lambda b, i: F.struct(i.cast("long").alias("run"), F.when(i > 0, F.get("_titles", b)).alias("title"), body(b, i).alias("body")))
+    return begun.select(*held, F.filter(made, lambda r: r["body"] != "").alias("_runs"))
 
 
 def markdown_segments(docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, location_index (from 1, blank segments take none), section, text. A heading line opens a segment and stays."""
-    heading = F.col("line").rlike(tx.MARKDOWN_HEADING)
-    runs = _grouped(lines(docs.select(*keys, "text")), keys, heading, tx.strip(F.regexp_extract("line", tx.MARKDOWN_HEADING, 1)))
-    index = F.row_number().over(Window.partitionBy(*keys).orderBy("run")).cast("long")
-    return runs.select(*keys, index.alias("location_index"), F.substring(F.coalesce("title", F.lit(tx.BODY)), 1, SECTION_CHARS).alias("section"), F.col("body").alias("text"))
+    heading = lambda line: F.when(line.rlike(tx.MARKDOWN_HEADING), tx.strip(F.regexp_extract(line, tx.MARKDOWN_HEADING, 1)))
+    found = _runs(docs.select(*keys, "text"), heading).select(*keys, F.posexplode("_runs").alias("pos", "r"))
+    return found.select(*keys, (F.col("pos") + 1).cast("long").alias("location_index"), F.substring(F.coalesce("r.title", F.lit(tx.BODY)), 1, SECTION_CHARS).alias("section"), F.col("r.body").alias("text"))
+
+
+def _named(rows: DataFrame) -> Callable[[Column], Column]:
+    """Section of a run: its title, else the row's own ``section`` if that column is there, else the default."""
+    hint = F.coalesce(F.nullif("section", F.lit("")), F.lit(tx.BODY)) if "section" in rows.columns else F.lit(tx.BODY)
+    return lambda title: F.substring(F.coalesce(title, hint), 1, SECTION_CHARS)
 
 
 def sections(segments: DataFrame, keys: list[str]) -> DataFrame:
     """keys, run (order within the segment), section, text: each segment split at title lines. A segment's own
     ``section``, if that column is there, names what comes before the first title."""
-    titled = tx.section_title(F.col("line"))
-    found = _grouped(lines(segments.select(*keys, "text")), keys, titled.isNotNull(), titled)
-    found = found.select(*keys, F.col("run").cast("long").alias("run"), F.substring(F.coalesce("title", F.lit(tx.BODY)), 1, SECTION_CHARS).alias("section"), F.col("body").alias("text"))
-    if "section" not in segments.columns:
-        return found
-    hints = segments.select(*keys, F.coalesce(F.nullif("section", F.lit("")), F.lit(tx.BODY)).alias("hint"))
-    return found.join(hints, keys).withColumn("section", F.when(F.col("section") == tx.BODY, F.col("hint")).otherwise(F.col("section"))).drop("hint")
+    kept = [*keys, "text", *(["section"] if "section" in segments.columns else [])]
+    name = _named(segments)
+    found = _runs(segments.select(*kept), tx.section_title).withColumn("_r", F.explode("_runs"))
+    return found.select(*keys, F.col("_r.run").alias("run"), name(F.col("_r.title")).alias("section"), F.col("_r.body").alias("text"))
+
+
+def document_chunks(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, run, section, chunk_index (one counter a row, from 0), text: sections and their overlapping windows of
+    documents that are one row each, within the row."""
+    kept = [*keys, "text", *(["section"] if "section" in docs.columns else [])]
+    name = _named(docs)
+    cutup = lambda r: F.transform(tx.chunk_starts(r["body"]), lambda s: F.struct(r["run"].alias("run"), name(r["title"]).alias("section"), tx.strip(tx.window(r["body"], s)).alias("text")))
+    pieces = F.filter(F.flatten(F.transform("_runs", cutup)), lambda c: c["text"] != "")
+    return _runs(docs.select(*kept), tx.section_title).select(*keys, F.posexplode(pieces).alias("pos", "c")).select(*keys, "c.run", "c.section", F.col("pos").cast("long").alias("chunk_index"), "c.text")
+
+
+def text_chunks(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, chunk_index (from 0), text: the overlapping windows of whole texts, within the row."""
+    windows = F.filter(F.transform(tx.chunk_starts(F.col("text")), lambda s: tx.strip(tx.window(F.col("text"), s))), lambda t: t != "")
+    return docs.select(*keys, F.posexplode(windows).alias("pos", "chunk")).select(*keys, F.col("pos").cast("long").alias("chunk_index"), F.col("chunk").alias("text"))
 
 
 def chunks(parts: DataFrame, doc_keys: list[str], order: list[str]) -> DataFrame:

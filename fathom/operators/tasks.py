@@ -82,6 +82,30 @@ def interrupted(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("status", F.when(F.col("status").isin(ACTIVE), "interrupted").otherwise(F.col("status")))
 
 
+def retried(tasks: DataFrame) -> DataFrame:
+    """New queued tasks for failed, interrupted or cancelled ones that can be run again; retry_of names the old one."""
+    again = tasks.where(F.col("status").isin("failed", "interrupted", "cancelled") & F.col("retryable"))
+    return again.withColumns({"retry_of": F.col("task_id"), "task_id": F.concat(F.lit("retry-"), F.col("task_id").cast("string")), "status": F.lit("queued")})
+
+
+def cancelled(tasks: DataFrame, wanted: DataFrame, key: str = "task_id") -> DataFrame:
+    """Waiting tasks that are ``wanted`` (task_id) end at once, running ones are told to; others stay."""
+    marked = tasks.join(wanted.select(key).distinct().withColumn("_wanted", F.lit(True)), key, "left")
+    status = F.when(F.col("_wanted") & (F.col("status") == "queued"), "cancelled").when(F.col("_wanted") & (F.col("status") == "running"), "cancelling").otherwise(F.col("status"))
+    return marked.withColumn("status", status).drop("_wanted")
+
+
+def framed(chunks: DataFrame, key: str = "task_id") -> DataFrame:
+    """task_id, line_no, line: whole lines from chunks (seq, chunk) that break anywhere; an unfinished last line counts.
+
+    A line is told by its number: the line breaks before it. Only the pieces of one line are gathered."""
+    before = F.coalesce(F.sum("breaks").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    split = chunks.withColumn("pieces", F.split(F.regexp_replace("chunk", "\\r\\n?", "\n"), "\n")).withColumn("breaks", F.size("pieces") - 1)
+    pieces = split.withColumn("before", before).select(key, "seq", "before", F.posexplode("pieces").alias("pos", "piece"))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "pos", "piece")))
+    return pieces.groupBy(key, (F.col("before") + F.col("pos")).alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("line"))
+
+
 def in_slots(ts: Column, slots: Column) -> Column:
     """Within one of array<struct<start, end>> of HH:MM, both included; no slots means always."""
     now = F.date_format(ts, "HH:mm")

@@ -1,57 +1,75 @@
-"""Folder trees as adjacency rows (id, parent_id, name). Levels are joined one after another, each a plain equi-join,
-until a level is empty; a depth limit guards against cycles."""
+"""Folder trees as adjacency rows (id, parent_id, name). Ways up are found by pointer jumping: each round doubles how
+far every folder has looked, so a tree of depth d takes log2(d) joins, and a way that meets itself is a cycle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.session import cut
 
 ROOT = "根目录"
-MOST_DEPTH = 64
-
-
-def _down(folders: DataFrame, level: DataFrame, step, most_depth: int) -> DataFrame:
-    """``level`` has id and whatever ``step`` carries; unions all levels below, itself included."""
-    level = cut(level, "level")
-    levels = [level]
-    for _ in range(most_depth):
-        children = folders.select(F.col("id").alias("child_id"), F.col("parent_id").alias("of"), F.col("name").alias("child_name"))
-        level = cut(step(children.join(level, F.col("of") == F.col("id"))), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def descendants(folders: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+
+
+def ancestors(folders: DataFrame) -> DataFrame:
+    """id, above (ids of all ancestors, nearest first), names (theirs), rooted (whether the way up ends at a folder
+    without a parent; not so if a parent is missing or the way is a cycle). Of rows with equal ids, the least name counts."""
+    own = folders.groupBy("id").agg(F.min(F.struct("name", "parent_id")).alias("x")).select("id", "x.name", "x.parent_id")
+    own = cut(own, "folders")
+    up = F.col("parent_id")
+    parents = own.select(F.col("id").alias("of"), F.col("name").alias("parent_name"))
+    rows = own.join(parents, up == F.col("of"), "left").select(
+        "id",
+        F.when(F.col("of").isNotNull(), up).alias("up"),
+        F.when(up.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(up.cast("long"))).alias("above"),
+        F.when(F.col("of").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent_name")).alias("names"),
+        F.when(up.isNull(), True).when(F.col("of").isNull(), False).alias("rooted"),
+    )
+    while True:
+        rows = cut(rows, "ways")
+        if rows.where("up is not null").isEmpty():
+            return rows.drop("up")
+        further = rows.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("above").alias("more"), F.col("names").alias("more_names"), F.col("rooted").alias("ends"))
+        way, names = F.concat("above", F.coalesce("more", F.array().cast("array<bigint>"))), F.concat("names", F.coalesce("more_names", F.array().cast("array<string>")))
+        joined = rows.join(further, F.col("up") == F.col("at"), "left").select("id", "next", "rooted", "ends", way.alias("way"), names.alias("way_names"), F.col("up").isNull().alias("done"))
+        cyclic = (F.size(F.array_distinct("way")) < F.size("way")) | F.array_contains("way", F.col("id"))
+        rows = joined.withColumn("cyclic", ~F.col("done") & cyclic).select(
+            "id",
+            F.when(~F.col("cyclic"), F.col("next")).alias("up"),
+            F.when(F.col("cyclic"), F.array_distinct("way")).otherwise(F.col("way")).alias("above"),
+            F.col("way_names").alias("names"),
+            F.when(F.col("done"), F.col("rooted")).when(F.col("cyclic"), False).otherwise(F.col("ends")).alias("rooted"),
+        )
+
+
+def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
     """root_id, id, depth: every folder below each root (``roots``: id), the root itself at depth 0."""
     start = roots.select(F.col("id").alias("root_id"), "id", F.lit(0).cast("long").alias("depth"))
-    found = _down(folders, start, lambda d: d.select("root_id", F.col("child_id").alias("id"), (F.col("depth") + 1).alias("depth")), most_depth)
-    return found.groupBy("root_id", "id").agg(F.min("depth").alias("depth"))
+    below = ancestors(folders).select("id", F.posexplode("above").alias("pos", "root_id"))
+    below = below.join(roots.select(F.col("id").alias("root_id")).distinct(), "root_id").select("root_id", "id", (F.col("pos") + 1).cast("long").alias("depth"))
+    return start.unionByName(below).groupBy("root_id", "id").agg(F.min("depth").alias("depth"))
 
 
-def effective_parents(folders: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def effective_parents(folders: DataFrame) -> DataFrame:
     """id, parent_id, name, depth: a folder whose parent is missing, or that no root reaches (a cycle), is a root."""
-    known = folders.select(F.col("id").alias("known"))
+    known = folders.select(F.col("id").alias("known")).distinct()
     linked = folders.join(known, folders["parent_id"] == known["known"], "left").select("id", F.when(F.col("known").isNotNull(), F.col("parent_id")).alias("parent_id"), "name")
-    step = lambda d: d.select(F.col("child_id").alias("id"), F.col("of").alias("parent_id"), F.col("child_name").alias("name"), (F.col("depth") + 1).alias("depth"))
-    reached = cut(_down(linked, linked.where("parent_id is null").withColumn("depth", F.lit(0).cast("long")), step, most_depth), "reached")
-    rest = linked.join(reached.select("id"), "id", "left_anti").select("id", F.lit(None).cast("long").alias("parent_id"), "name", F.lit(0).cast("long").alias("depth"))
-    return reached.select("id", "parent_id", "name", "depth").unionByName(rest)
+    ways = ancestors(linked)
+    return linked.join(ways, "id").select(
+        "id", F.when(F.col("rooted"), F.col("parent_id")).alias("parent_id"), "name", F.when(F.col("rooted"), F.size("above")).otherwise(0).cast("long").alias("depth")
+    )
 
 
-def paths(folders: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def paths(folders: DataFrame) -> DataFrame:
     """id, path from the root label down; folders that no root reaches stand right below it."""
-    start = folders.where("parent_id is null").select("id", F.concat_ws(" / ", F.lit(ROOT), "name").alias("path"))
-    step = lambda d: d.select(F.col("child_id").alias("id"), F.concat_ws(" / ", "path", "child_name").alias("path"))
-    reached = cut(_down(folders, start, step, most_depth), "paths")
-    rest = folders.join(reached.select("id"), "id", "left_anti").select("id", F.concat_ws(" / ", F.lit(ROOT), "name").alias("path"))
-    return reached.unionByName(rest)
+    above = F.when(F.col("rooted"), F.reverse("names")).otherwise(F.array().cast("array<string>"))
+    return folders.join(ancestors(folders), "id").select("id", F.array_join(F.concat(F.array(F.lit(ROOT)), above, F.array("name")), " / ").alias("path"))
+
+
+def in_root(parent: Column | str) -> Column:
+    """Whether a folder reference means the root: null, or 0 as some clients write it."""
+    parent = F.col(parent) if isinstance(parent, str) else parent
+    return parent.isNull() | (parent == 0)
 
 
 def orphans(folders: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """The query catalogue, by workload."""
 
-from fathom.plans import catalog, documents, events, retrieval
+from fathom.plans import catalog, documents, events, lifecycle, retrieval
 
-ALL = [retrieval, documents, catalog, events]
+ALL = [retrieval, documents, catalog, events, lifecycle]

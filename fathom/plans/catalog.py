@@ -64,7 +64,7 @@ def union_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders and files by name, folders first on equal scores."""
     folders = table(spark, sf_dir, "nation").selectExpr("'folder' kind", "cast(n_nationkey as long) id", "n_name name")
     files = table(spark, sf_dir, "supplier").selectExpr("'file' kind", "s_suppkey id", "s_name name")
-    scored = folders.unionByName(files).withColumn("score", F.round(ct.fuzzy.dice_score(F.lit("nation1"), fuzzy.normalized(F.col("name"))), 6))
+    scored = folders.unionByName(files).withColumn("plain", fuzzy.normalized(F.col("name"))).withColumn("score", F.round(fuzzy.dice_score(F.lit("nation1"), F.col("plain")), 6)).drop("plain")
     return scored.where("score >= 0.42").orderBy(F.desc("score"), F.col("kind") != "folder", "name", "id").limit(50)
 
 
@@ -74,8 +74,8 @@ def fuzzy_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_dice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
-    score = fuzzy.dice_score(F.lit("smalwidgit"), fuzzy.normalized(F.col("p_name")))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), fuzzy.normalized(F.col("p_name")).alias("plain"))
+    score = fuzzy.dice_score(F.lit("smalwidgit"), F.col("plain"))
     return names.select("id", F.round(score, 6).alias("score"))
 
 
@@ -174,8 +174,8 @@ def regenerate_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks around the middle one of each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("run"), F.lit(tx.BODY).alias("section"), "text")
-    parts = sg.chunks(docs, ["doc_id"], ["run"]).select("doc_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = sg.text_chunks(docs, ["doc_id"]).select("doc_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"))
     cited = parts.groupBy("doc_id").agg((F.floor(F.max("chunk_index") / 2)).cast("long").alias("chunk_index"))
     return ct.neighbours(parts, cited, ["doc_id"])
 

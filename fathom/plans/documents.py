@@ -25,7 +25,7 @@ def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sg.chunks(_sections(spark, sf_dir), ["doc_id"], ["run"])
+    return sg.document_chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id", "source"])
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +33,10 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    counted = _chunks(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last"), F.sum(F.length("text")).alias("chars"))
-    joined = sources.join(counted, "doc_id", "left")
-    return joined.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"),
-        F.coalesce(F.max("last"), F.lit(-1)).alias("last_chunk"),
-        F.coalesce(F.sum("chars"), F.lit(0)).alias("chunk_chars"),
+    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    counted = _chunks(spark, sf_dir).groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.max("chunk_index").alias("last"), F.sum(F.length("text")).alias("chars"))
+    return docs.join(counted, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        "source", "n_docs", F.coalesce("n", F.lit(0)).alias("n_chunks"), F.coalesce("last", F.lit(-1)).alias("last_chunk"), F.coalesce("chars", F.lit(0)).alias("chunk_chars")
     )
 
 
@@ -174,7 +170,7 @@ ORACLE_SQL = {
             coalesce(ready, busy, id) AS canonical_id, copies
         FROM files f JOIN best b ON f.sha256 = b.sha256""",
     "same_name_versions": f"""WITH {_FILES}
-        SELECT name, row_number() OVER (PARTITION BY lower(name) ORDER BY (status = 'ready') DESC, updated DESC, id) AS version_rank, id, status
+        SELECT name, row_number() OVER (PARTITION BY lower(name) ORDER BY updated DESC, id) AS version_rank, id, status
         FROM files QUALIFY version_rank <= 8""",
     "upload_names": f"""WITH {_FILES}, named AS (
             SELECT *, name || '-' || left(sha256, 1) AS stem, row_number() OVER (PARTITION BY name || '-' || left(sha256, 1) ORDER BY id) - 1 AS taken FROM files

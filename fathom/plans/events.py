@@ -11,6 +11,7 @@ from fathom.operators import tasks as tk
 from fathom.session import table
 
 STATES = {"signup": "uploaded", "view": "parsing", "click": "indexing", "purchase": "ready", "error": "failed"}
+STATUSES = {"signup": "success", "view": "waiting", "click": "completed", "purchase": "absent", "error": "late"}
 TASK_STATES = {"signup": "queued", "view": "running", "click": "cancelling", "purchase": "completed", "error": "failed"}
 
 
@@ -64,12 +65,17 @@ def active_time_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts from payloads of two shapes around each event's own field."""
+    """Counts from payloads of five shapes around each event's own field."""
     events = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     total = F.concat(F.lit('{"data":{"attendance":{"total":"'), k, F.lit('"}}}'))
-    states = F.concat(F.lit('{"x":[{"status":"'), F.when(F.col("event_type") == "error", "absent").otherwise("present"), F.lit('"},{"note":1}]}'))
-    return events.select("event_id", nested.answer_counts(F.when(F.col("event_id") % 2 == 0, total).otherwise(states)).alias("n"))
+    state = _mapped("event_type", STATUSES)
+    states = F.concat(F.lit('{"x":[{"status":"'), state, F.lit('"},{"note":1},{"status":" Normal "}]}'))
+    people = F.concat(F.lit('{"attendees":['), F.array_join(F.sequence(F.lit(0), F.pmod(k.cast("int"), F.lit(4))), ","), F.lit("]}"))
+    flags = F.concat(F.lit('[{"is_answered":'), (F.col("event_type") == "view").cast("string"), F.lit(',"status":"success"},{"answered_at":"2024"}]'))
+    count = F.concat(F.lit('{"a":{"b":[{"presentCount":'), k, F.lit("}]}}"))
+    shapes = F.element_at(F.array(total, states, people, flags, count), (F.col("event_id") % 5 + 1).cast("int"))
+    return nested.answer_counts(events.select("event_id", shapes.alias("payload")), "event_id", "payload")
 
 
 QUERIES = {f.__name__: f for f in (task_summary, task_recovery, task_progress, task_latest, task_log_tail, illegal_transitions, stalled_sessions, active_time_slots, nested_counts)}
@@ -102,6 +108,7 @@ ORACLE_SQL = {
         SELECT strftime(ts, '%H:%M') BETWEEN '08:00' AND '09:50' OR strftime(ts, '%H:%M') BETWEEN '13:10' AND '15:00' AS active, event_type, count(*) AS n
         FROM events GROUP BY ALL
     """,
-    "nested_counts": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0 THEN json_extract_string(props, '$.k')::BIGINT END
-        WHEN event_type = 'error' THEN 0 ELSE 1 END AS n FROM events""",
+    "nested_counts": """WITH k AS (SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+        SELECT event_id, CASE event_id % 5 WHEN 1 THEN 1 + CASE WHEN event_type IN ('signup', 'click') THEN 1 ELSE 0 END
+            WHEN 2 THEN k % 4 + 1 WHEN 3 THEN 1 + (event_type = 'view')::INT ELSE k END::BIGINT AS n FROM k""",
 }

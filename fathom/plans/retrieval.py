@@ -236,7 +236,8 @@ ORACLE_SQL = {
     "rerank_windows": """
         WITH w AS (
             SELECT doc_id, text, CASE WHEN length(text) <= 360 THEN [0]
-                ELSE list_sort(list_distinct([0, greatest(0, (length(text) - 360) // 2), greatest(0, length(text) - 360)])) END AS starts FROM documents
+                ELSE list_sort(list_distinct([0, greatest(0, length(text) // 2 - 180), greatest(0, length(text) - 360)])) END AS starts
+            FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents)
         ), e AS (SELECT doc_id, text, unnest(starts) AS s, generate_subscripts(starts, 1) - 1 AS n FROM w)
         SELECT doc_id, n::BIGINT AS n, md5(CASE WHEN length(text) <= 360 THEN text ELSE substring(text, s + 1, 360) END) AS passage_md5 FROM e
     """,

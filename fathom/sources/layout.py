@@ -10,8 +10,8 @@ from fathom.functions.text import BODY, strip
 
 LEAST_NATIVE_CHARS = 20
 MARK = r"(?m)^\{([0-9]+)\}-{3,}\s*$"
-# Keys of nested content that hold text, in order.
-CONTENT_KEYS = ("text", "content", "table_body", "table_caption", "image_caption", "list_items", "code_body", "latex")
+# Keys of a block that hold text, in order.
+CONTENT_KEYS = ("text", "content", "list_items", "table_body", "table_caption", "image_caption", "image_footnote", "equation_latex")
 
 
 def needs_ocr(page_text: Column) -> Column:
@@ -31,13 +31,16 @@ def paged_markdown(rows: DataFrame, keys: list[str], column: str = "text") -> Da
 
 
 def content_list(rows: DataFrame, keys: list[str], column: str = "payload") -> DataFrame:
-    """keys, page (from 1), text of a JSON list of blocks with page_idx: a page's blocks joined in order."""
+    """keys, page (from 1), text of a JSON list of blocks with page_idx, or an object that holds it as content_list: all
+    texts of a block, then a page's blocks in order. Blocks without a page are left out."""
     block = "array<struct<page_idx:bigint," + ",".join(f"{k}:string" for k in CONTENT_KEYS) + ">>"
-    blocks = rows.select(*keys, F.posexplode(F.from_json(column, block)).alias("n", "b"))
-    # Nested lists arrive as JSON text: their strings are taken in order.
-    flat = lambda c: F.when(c.rlike(r"^\s*\["), F.array_join(F.regexp_extract_all(c, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), "\n")).otherwise(c)
-    text = strip(F.coalesce(*(F.nullif(flat(F.col(f"b.{k}")), F.lit("")) for k in CONTENT_KEYS), F.lit("")))
-    found = blocks.select(*keys, "n", (F.coalesce(F.col("b.page_idx"), F.lit(0)) + 1).alias("page"), text.alias("text")).where("text <> ''")
+    payload = F.coalesce(F.get_json_object(column, "$.content_list"), F.col(column))
+    blocks = rows.select(*keys, F.from_json(payload, block).alias("blocks")).select(*keys, F.posexplode("blocks").alias("n", "b"))
+    join = lambda parts: F.array_join(F.filter(F.transform(parts, strip), lambda t: t != ""), "\n")
+    # Lists inside a block arrive as JSON text.
+    flat = lambda c: F.when(c.rlike(r"^\s*\["), join(F.from_json(c, "array<string>"))).otherwise(c)
+    text = join(F.array(*(F.coalesce(flat(F.col(f"b.{k}")), F.lit("")) for k in CONTENT_KEYS)))
+    found = blocks.where("b.page_idx is not null").select(*keys, "n", (F.col("b.page_idx") + 1).alias("page"), text.alias("text")).where("text <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n")
     return found.groupBy(*keys, "page").agg(joined.alias("text"))
 

@@ -22,6 +22,16 @@ def test_tree_with_cycle_missing_parent_and_depth(spark):
     assert left.where("id = 3").first().parent_id is None and files.where("id = 1").first().course_id is None
 
 
+def test_deep_trees(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(200)], FOLDERS)
+    assert {(r.id, r.depth) for r in tree.descendants(chain, chain.where("id = 0")).collect()} == {(i, i) for i in range(200)}
+    assert {r.id: r.path for r in tree.paths(chain).where("id = 199").collect()}[199].count(" / ") == 200
+    assert tree.effective_parents(chain).where("depth <> id").count() == 0
+    ring = spark.createDataFrame([(0, 2, "a"), (1, 0, "b"), (2, 1, "c"), (3, 2, "tail"), (4, 3, "end")], FOLDERS)
+    assert {(r.id, r.depth) for r in tree.descendants(ring, ring.where("id = 2")).collect()} == {(2, 0), (0, 1), (1, 2), (3, 1), (4, 2)}
+    assert {r.parent_id for r in tree.effective_parents(ring).collect()} == {None}
+
+
 def test_registration(spark):
     rows = [(1, "s", "failed"), (2, "s", "ready"), (3, "s", "ready"), (4, "t", "parsing"), (5, "t", "uploaded"), (6, "u", "failed")]
     got = {r.id: (r.outcome, r.canonical_id) for r in intake.registered(spark.createDataFrame(rows, "id long, sha string, status string"), ["sha"], ["id"]).collect()}
@@ -42,7 +52,7 @@ def test_steps_progress_and_tail(spark):
 
 def test_unknown_counts_stay_null(spark):
     schema = "r array<struct<answered:boolean,status:string,answered_at:string>>"
-    rows = [([(None, "present", None), (None, "answered", None), (None, "absent", None)],), ([(None, None, None)],), ([(True, "absent", None), (None, None, "2024")],)]
+    rows = [([(None, "present", None), (None, "success", None), (None, "absent", None)],), ([(None, None, None)],), ([(True, "absent", None), (None, None, "2024")],)]
     assert [r.n for r in spark.createDataFrame(rows, schema).select(ct.answered_count(F.col("r")).alias("n")).collect()] == [2, None, 2]
 
 
@@ -51,6 +61,10 @@ def test_lifecycle(spark):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, name string")
     assert sorted(map(tuple, ct.upserted(old, new, "k").collect())) == [(1, "a", 1), (2, "c", 2), (3, "d", None)]
     assert {r.k for r in ct.replaced(old, new, "k").collect()} == {1, 2, 3}
+    assert {r.k for r in ct.replaced(old, new, "k", owners=old.where("k = 1")).collect()} == {2, 3}
+    assert {r.k: r.extra for r in ct.upserted(old, new.withColumn("extra", F.lit(9)), "k").collect()} == {1: None, 2: 9, 3: 9}
+    queue = spark.createDataFrame([(1, "queued"), (2, "running"), (3, "running")], "task_id long, status string")
+    assert {(r.task_id, r.status) for r in tk.cancelled(queue, queue.where("task_id < 3")).collect()} == {(1, "cancelled"), (2, "cancelling"), (3, "running")}
     assert ct.migrated(old.drop("n"), {"n": ("long", 5)}).where("n = 5").count() == 2
     at = datetime(2024, 1, 1)
     row = spark.createDataFrame([("failed", 140, "m" * 2000, None, None)], "status string, progress int, message string, started_at timestamp, finished_at timestamp")

@@ -6,7 +6,7 @@ from fathom.functions import nested
 from fathom.operators import rules
 
 
-def test_counts_in_json_of_unknown_shape():
+def test_counts_in_json_of_unknown_shape(spark):
     cases = [
         ({"rollcall": {"answerCount": "12"}}, 12),
         ({"students": [{"status": "present"}, {"status": "answered"}, {"status": "absent"}]}, 2),
@@ -16,11 +16,18 @@ def test_counts_in_json_of_unknown_shape():
         ({"answered_students": [1, 2, 3]}, 3),
         ({"present_count": -1}, None),
     ]
-    for payload, want in cases:
-        assert nested.answer_count(json.dumps(payload)) == want, payload
-    assert nested.answer_count("not json") is None and nested.answer_count(None) is None
-    assert nested.wrapped_list('{"data":{"rollcalls":[{"rollcall_id":42}]}}', "rollcall_id") == ['{"rollcall_id": 42}']
-    assert nested.wrapped_list("{}", "rollcall_id") is None
+    cases += [
+        ([{"status": s} for s in ("success", "normal", "waiting", "late")], 2),
+        ([{"status": "completed"}, {"status": "absent"}], 1),
+        ({"attendees": [1, 2]}, 2),
+        ([{"note": 1}, {"answered_at": "2024"}, {"status": True}], 1),
+        ({"x": {"signed_users": [1], "total": 9}, "attend": {"n_total": 7.9, "flag_count": True}}, 7),
+    ]
+    texts = [json.dumps(p) for p, _ in cases] + ["not json", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, payload string")
+    assert {r.id: r.n for r in nested.answer_counts(rows, "id", "payload").collect()} == {i: w for i, w in enumerate([w for _, w in cases] + [None, None])}
+    wrapped = spark.createDataFrame([(1, '{"data":{"rollcalls":[{"rollcall_id":42},{"b":1}]}}'), (2, "{}")], "id long, payload string")
+    assert [(r.id, r["items"]) for r in nested.wrapped_lists(wrapped, "id", "payload", "rollcall_id").collect()] == [(1, ['{"rollcall_id":42}', '{"b":1}'])]
 
 
 def test_rules(spark):
@@ -35,3 +42,5 @@ def test_rules(spark):
     paths = spark.createDataFrame([(["top", "SUB", "new", "newer"],), (["other"],), ([" "],)], "parts array<string>")
     got = {r.path: (r.id, r.depth) for r in rules.ensured_folders(folders, paths).collect()}
     assert got == {"top": (1, 1), "other": (None, 1), "top/sub": (2, 2), "top/sub/new": (None, 3), "top/sub/new/newer": (None, 4)}
+    deep = spark.createDataFrame([([f"p{i}" for i in range(20)],)], "parts array<string>")
+    assert rules.ensured_folders(folders, deep).count() == 20

@@ -73,9 +73,21 @@ def test_vectors(spark):
 
 
 def test_fuzzy_scores(spark):
-    score = lambda q, n: one(spark, n, lambda c: fuzzy.name_score(F.lit(q), c))
+    score = lambda q, n: fuzzy.scored(spark.createDataFrame([(n,)], "name string"), F.lit(q)).first().score
     assert score("Report", "report.pdf") == 1.0
     assert 0.9 < score("repo", "report.pdf") < 1.0
     assert score("z", "report") == 0.0
     assert 0.6 < score("reprot", "report.md") < 0.9
     assert score("", "report") == 0.0
+
+
+def test_rows_of_one_id_keep_their_own_sections(spark):
+    rows = spark.createDataFrame([(1, "a b\nc d"), (1, "x\n# T\nz")], "id int, text string")
+    assert sorted(r.text for r in sg.sections(rows, ["id"]).collect()) == ["# T\nz", "a b\nc d", "x"]
+    assert "Exchange" not in sg.document_chunks(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compatible_forms_and_folding(spark):
+    assert one(spark, "ＡＢＣ ﬁle", tx.tokens) == ["abc", "file"]
+    assert one(spark, "Straße.TXT", fuzzy.normalized) == "strassetxt"
+    assert one(spark, "  short ", tx.rerank_windows) == ["short"] and one(spark, None, tx.rerank_windows) == [""]
