@@ -13,8 +13,9 @@ to the left, nearest first (the furthest reach to the left). Where no one row re
 extended past the neighbours, with the running minimum of the common words, until neither reach can grow. Kept
 positions lie so close that contexts of ``RIGHT`` and ``LEFT`` words chain into passages of any length.
 
-Runs that a range border cuts (one or two a partition at most), and those of more than ``RUN`` classes, are not held
-in memory: all their ``PASSAGE``-word windows are hashed and counted instead, which finds the same matches.
+Runs that a range border cuts (one or two a partition at most) are brought together for a second look of the same
+kind. Those of more than ``RUN`` classes are never held in memory: all their ``PASSAGE``-word windows are hashed and
+counted instead, which finds the same matches.
 
 Defined cases: null, empty and short texts (under ``PASSAGE`` words) repeat nothing; repetition within one document
 does not count, whereas rows with equal text but other ids are other documents; rows of equal id and text are one; null ids are
@@ -40,7 +41,7 @@ SPAN = 31
 HEAD = 20  # PASSAGE - SPAN + 1
 RIGHT = 52  # words of context: beyond the next kept position
 LEFT = 31
-RUN = 1 << 15  # classes of one head that are held in memory
+RUN = 1 << 16  # classes of one head that are held in memory, at 0.5 KB each
 _TAIL = RIGHT - HEAD
 _KEY = 8 * (1 + _TAIL + LEFT)
 _SLICE = 1 << 20  # words handled at a time
@@ -333,11 +334,9 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(columns, ["window", "doc_hash", "shared", "around", "head", "place"])
 
 
-def _window_extents(suffixes: DataFrame, heads: DataFrame) -> DataFrame:
-    """head, around, before, after of the classes with these heads, by counting their windows."""
-    head = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    rows = suffixes.withColumn("head", head).join(heads, "head", "left_semi").select("key", "doc_hash", "shared", "around")
-    windows = cut(rows.mapInArrow(_window_batches, "window long, doc_hash long, shared boolean, around long, head long, place int"), "windows")
+def _window_extents(rows: DataFrame) -> DataFrame:
+    """head, around, before, after of these classes, by counting their windows."""
+    windows = cut(rows.select("key", "doc_hash", "shared", "around").mapInArrow(_window_batches, "window long, doc_hash long, shared boolean, around long, head long, place int"), "windows")
     counted = windows.groupBy("head", "window").agg(F.min("doc_hash").alias("low"), F.max("doc_hash").alias("high"), F.bool_or("shared").alias("any")).where("low <> high or any")
     common = cut(counted.select("head", "window"), "common-windows")
     met = windows.join(common, ["head", "window"], "left_semi")
@@ -354,7 +353,13 @@ def class_extents(suffixes: DataFrame) -> DataFrame:
     # At most two heads a partition, besides long ones. Only those of several partitions were cut.
     open_ = found.where("part is not null").groupBy("head").agg(F.count_distinct("part").alias("n"), F.min("part").alias("low")).where("n > 1 or low < 0")
     open_ = cut(open_.select("head"), "open-heads")
-    return met.join(open_, "head", "left_anti").union(_window_extents(suffixes, open_))
+    rows = suffixes.withColumn("head", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
+    rows = cut(rows.join(open_, "head", "left_semi"), "open-runs")
+    sizes = cut(rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")), "open-sizes")
+    whole = rows.join(sizes.where(F.col("n") <= RUN), "head", "left_semi").repartition(parts, "head").select("key", "doc_hash", "shared", "around")
+    again = whole.sortWithinPartitions(*order).mapInArrow(_run_batches, _OUT).where("part is null").select(*CLASS, "before", "after")
+    long = rows.join(sizes.where(F.col("n") > RUN), "head", "left_semi")
+    return met.join(open_, "head", "left_anti").union(again).union(_window_extents(long))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
