@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
 Every stage works on all rows its predecessor kept.
+
+Defined cases: null and empty texts, and texts without a letter, leave with the first stage; null ids are ids like any
+other, sorted last; of rows with equal id and text the near-dedup stage keeps one, and of equal texts the least id;
+an empty table stays empty through all stages, with its columns; extra columns, also those named like columns the
+operators use inside, pass unchanged through all stages but the last.
 """
 
 from __future__ import annotations
