@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from fathom.session import cut
 from fathom.llm import decontaminate, language, line_dedup, minhash, mixing, quality, sharding, simhash, suffix_array, toxicity
 from tests.llm.conftest import rows
 
@@ -76,5 +77,20 @@ def test_no_labels_and_no_languages(docs, nothing):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
-def test_pipeline_stages_keep_columns(spark, docs):
-    assert [s[0] for s in corpus_pipeline.STAGES][0] == "language ID" and len(corpus_pipeline.STAGES) == 5
+def test_pipeline_on_odd_rows(spark, docs, nothing):
+    sf_dir = "/root/testdata/sf0.001"
+    kept = {r[0] for r in rows()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs, nothing = cut(stage(spark, docs, sf_dir)), cut(stage(spark, nothing, sf_dir))
+        assert docs.columns == before.columns == nothing.columns and nothing.isEmpty(), name
+        assert docs.where("h1 <> 'h1' or row <> 'row' or size <> 'size' or times <> 'times'").isEmpty()
+        found = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert found and set(found) <= kept
+        if name == "language ID":
+            assert not {300, 301, 302, 303} & set(found) and found.count(307) == 2 and {None, 304, 306} <= set(found)
+        if name.startswith("SimHash"):
+            assert len(found) == len(set(found)) and 100 in found and not set(range(101, 112)) & set(found)
+        kept = set(found)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == docs.count() and corpus_pipeline.STAGES[-1][1](spark, nothing, sf_dir).isEmpty()
