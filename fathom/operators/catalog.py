@@ -25,6 +25,11 @@ def day_label(due: Column, as_of: Column) -> Column:
     return F.when(days == 0, "today").when(days == 1, "tomorrow").otherwise(F.concat_ws("/", F.month(due).cast("string"), F.dayofmonth(due).cast("string")))
 
 
+def in_folder(column: str, folder: int) -> Column:
+    """Of one folder; 0 is the root, where null and 0 both lie."""
+    return F.col(column).isNull() | (F.col(column) == 0) if folder == 0 else F.col(column) == folder
+
+
 def recent(items: DataFrame, activity: DataFrame, n: int) -> DataFrame:
     """Items by last access, else last update; needs id, updated and (item_id, accessed_at)."""
     last = activity.groupBy(F.col("item_id").alias("id")).agg(F.max("accessed_at").alias("accessed"))
@@ -56,8 +61,11 @@ def titles(messages: DataFrame) -> DataFrame:
 
 
 def exported(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """conv_id, markdown: title, then each message under its role."""
+    """conv_id, markdown: title, then each message under its role, then the names it cites if there is a column ``cited``."""
     block = F.concat(F.lit("## "), F.when(F.col("role") == "user", "用户").when(F.col("role") == "assistant", "助手").otherwise(F.col("role")), F.lit("\n\n"), "content", F.lit("\n"))
+    if "cited" in messages.columns:
+        names = F.array_join("cited", "、", "未知资料")
+        block = F.concat(block, F.when(F.size("cited") > 0, F.concat(F.lit("\n引用："), names, F.lit("\n"))).otherwise(""))
     body = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("blocks"))
     text = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.coalesce(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n"), F.lit("")))
     return conversations.join(body, "conv_id", "left").select("conv_id", text.alias("markdown"))

@@ -25,6 +25,8 @@ ALLOWED_MIMES = {
 }
 GENERIC_MIMES = ["", "application/octet-stream", "binary/octet-stream"]
 UNITS = {"pdf": "page", "pptx": "slide", "docx": "heading", "markdown": "heading", "html": "web_section"}
+ENGINE_ALIASES = {"pypdf": "pymupdf"}
+NATIVE_ENGINES = {"docx": "python-docx", "pptx": "python-pptx", "markdown": "markdown", "html": "html"}
 MOST_BYTES = 100 * 1024 * 1024
 
 
@@ -103,6 +105,38 @@ def upload_name(name: Column, sha: Column, taken: Column) -> Column:
     return F.when(taken == 0, name).otherwise(F.concat(stem, F.lit("_"), F.left(sha, F.lit(8)), more, extension))
 
 
+def effective_engine(kind: Column, wanted: Column) -> Column:
+    """The engine that reads a type: layout engines where they can, the native one otherwise; PDF takes what is wanted."""
+    wanted = F.coalesce(_lookup(wanted, ENGINE_ALIASES), wanted)
+    layout = F.when(kind.isin("docx", "pptx"), wanted.isin("marker", "mineru")).when(kind == "html", wanted == "marker").when(kind == "markdown", F.lit(False)).otherwise(F.lit(True))
+    return F.when(layout, wanted).otherwise(_lookup(kind, NATIVE_ENGINES))
+
+
+def hashed(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """Files (id, sha256) without a hash get that of their ``contents`` (id, content); those without contents keep what they have."""
+    legacy = F.coalesce("sha256", F.lit("")) == ""
+    found = contents.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("_found"))
+    return files.join(found, "id", "left").withColumn("sha256", F.when(legacy & F.col("_found").isNotNull(), F.col("_found")).otherwise(F.col("sha256"))).drop("_found")
+
+
+def measured(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ready files that lack chunk_count, engine or unit_count take them from their chunks (file_id, chunk_index,
+    location_index, engine): the number, the first engine named, the highest place. The units of a PDF are its pages,
+    where known. Other files, and those without chunks, stay as they are."""
+    named = F.nullif(F.col("engine"), F.lit(""))
+    told = chunks.groupBy(F.col("file_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("_chunks"),
+        F.coalesce(F.max("location_index"), F.lit(0)).cast("long").alias("_units"),
+        F.min(F.when(named.isNotNull(), F.struct("chunk_index", named.alias("engine")))).alias("_first"),
+    )
+    filled = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
+    lacking = (F.col("status") == "ready") & F.col("_chunks").isNotNull() & ((F.col("chunk_count") == 0) | F.col("engine").isNull() | (F.col("unit_count") == 0))
+    pages = (F.col("document_type") == "pdf") & filled("page_count")
+    units = F.when(pages, F.col("page_count")).when(filled("unit_count"), F.col("unit_count")).otherwise(F.col("_units"))
+    new = {"chunk_count": F.col("_chunks"), "unit_count": units, "engine": F.coalesce(named, "_first.engine")}
+    return files.join(told, "id", "left").withColumns({c: F.when(lacking, v).otherwise(F.col(c)) for c, v in new.items()}).drop("_chunks", "_units", "_first")
+
+
 def estimates(size: Column, name: Column) -> dict[str, Column]:
     """Pages (PDF only), seconds and disk bytes before an import; halves round to even."""
     pdf = F.lower(name).endswith(".pdf")

@@ -202,10 +202,17 @@ def within_folders(candidates: DataFrame, folder: str, roots: DataFrame, folders
 
 
 def location_label(kind: Column, index: Column, section: Column) -> Column:
-    """Where a passage stands: page or slide, with the section unless it is the default one; else the section alone."""
-    named = F.when(F.coalesce(section, F.lit("")).isin("", tx.BODY), None).otherwise(section)
-    unit = F.when(kind == "page", F.concat(F.lit("第"), index.cast("string"), F.lit("页"))).when(kind == "slide", F.concat(F.lit("第"), index.cast("string"), F.lit("张幻灯片")))
-    return F.coalesce(F.nullif(F.concat_ws(" · ", unit, named), F.lit("")), F.lit(tx.BODY))
+    """Where a passage stands. Indices below 1 and null count as none; a default section names no place."""
+    numbered = lambda before, after="": F.when(index > 0, F.concat(F.lit(before), index.cast("string"), F.lit(after)))
+    named = F.when(~F.coalesce(section, F.lit("")).isin("", tx.BODY), F.concat(F.lit("章节："), section))
+    unit = F.when(kind == "page", numbered("第 ", " 页")).when(kind == "slide", numbered("第 ", " 张幻灯片"))
+    return F.coalesce(unit, named, F.when(kind == "web_section", numbered("网页章节 ")), F.lit("位置未标注"))
+
+
+def section_suffix(kind: Column, section: Column) -> Column:
+    """A page or slide is followed by its section, unless that is the default one; else empty."""
+    shown = kind.isin("page", "slide") & ~F.coalesce(section, F.lit("")).isin("", tx.BODY)
+    return F.when(shown, F.concat(F.lit("｜"), section)).otherwise("")
 
 
 def context(selected: DataFrame, queries: DataFrame) -> DataFrame:

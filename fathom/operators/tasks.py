@@ -119,5 +119,29 @@ def cooldown(message: Column) -> Column:
 
 def transfer_percent(line: Column) -> Column:
     """Of ``Progress a of b``."""
-    done, total = (F.regexp_extract(line, r"Progress ([0-9]+) of ([0-9]+)", i).try_cast("double") for i in (1, 2))
-    return F.when(total > 0, F.floor(100 * done / total).cast("int"))
+    done, total = (F.regexp_extract(line, r"^\s*Progress\s+([0-9]+)\s+of\s+([0-9]+)\s*$", i).try_cast("double") for i in (1, 2))
+    return F.when(total > 0, F.floor(100 * done / total).cast("int")).when(total == 0, 0)
+
+
+def transfer_changes(lines: DataFrame, key: str = "task_id") -> DataFrame:
+    """Lines (seq, line) whose percent differs from that of the transfer line before them; other lines do not count."""
+    told = lines.withColumn("percent", transfer_percent(F.col("line"))).where(F.col("percent").isNotNull())
+    before = F.lag("percent").over(Window.partitionBy(key).orderBy("seq"))
+    return told.withColumn("_before", before).where(~F.col("percent").eqNullSafe(F.col("_before"))).drop("_before")
+
+
+def gate(count: Column, threshold: int) -> Column:
+    """``go`` from the threshold on, ``wait`` below it, ``skip`` where the count is unknown; no threshold, no question."""
+    return F.lit("go") if threshold <= 0 else F.when(count.isNull(), "skip").when(count < threshold, "wait").otherwise("go")
+
+
+def unsolved(problems: DataFrame) -> DataFrame:
+    """Problems (id, my_status) still to do: an id that is null, empty or 0 is missing, state 0 has passed, null has not."""
+    return problems.where(F.coalesce(~F.col("id").cast("string").isin("", "0"), F.lit(False)) & ~F.col("my_status").eqNullSafe(F.lit(0)))
+
+
+def queue_totals(items: DataFrame) -> DataFrame:
+    """One row: bytes and seconds of a queue (size, disk_bytes, seconds); an estimate of null or 0 gives way to one by size."""
+    by_size = F.greatest(F.lit(2), F.floor(F.col("size") / 1048576 + 0.5))
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit(0)), other).cast("long")
+    return items.agg(F.coalesce(F.sum(given("disk_bytes", F.col("size"))), F.lit(0)).alias("bytes"), F.coalesce(F.sum(given("seconds", by_size)), F.lit(0)).alias("seconds"))

@@ -1,5 +1,5 @@
 """The query catalogue, by workload."""
 
-from fathom.plans import catalog, documents, events, lifecycle, retrieval
+from fathom.plans import catalog, documents, events, lifecycle, retrieval, upkeep
 
-ALL = [retrieval, documents, catalog, events, lifecycle]
+ALL = [retrieval, documents, catalog, events, lifecycle, upkeep]
