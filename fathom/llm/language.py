@@ -3,10 +3,12 @@
 Each language has a codeword; one binary classifier a bit, over hashed character 1- to 3-grams of the whole text,
 predicts the bits. A classifier is the log ratio of n-gram rates between the languages with that bit set and the
 others, scaled by how its margins spread on the sample. Decoding sums the losses of all bits, weighted by how well
-each bit separates, and takes the codeword of the least loss; a text whose two best codewords are close is ambiguous.
+each bit separates, and takes the codeword of the least loss. A text is ambiguous if its two best codewords are closer
+than those of nearly all learned texts of its length (mixed texts), or if it is farther from every codeword than all of
+them (a language never learned, noise): short texts lie nearer to each other, so both limits go by length class.
 
-Learning uses at most about ``PER_LANGUAGE`` documents a language; counts by language and n-gram bucket are summed
-by Spark, and only those (languages x ``BUCKETS``) reach the driver.
+Learning uses at most about ``PER_LANGUAGE`` documents a language, written apart once; counts by language and n-gram
+bucket are summed by Spark, and only those (languages x ``BUCKETS``) and the limits by length class reach the driver.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with a single learned language every
 other text is that language; with none, ``und``; null ids are never held out; repeated rows and extra columns have
@@ -16,7 +18,7 @@ no effect on predictions other than through the counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -26,12 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.sampling import bounded
+from fathom.session import cut
 
 PER_LANGUAGE = 2000
 BUCKETS = 1 << 15
 BITS = 15
 SHARPNESS = 12.0  # how fast the score falls with the loss
 MARGIN = 0.02  # ambiguous if the best codeword has less than so much more of the weight than the next
+CLASSES = 32  # length classes: powers of two of the characters
+LOW = 0.005  # quantile of the learned texts' gaps between the two best codewords
+NEARER = 0.5  # ambiguous below so much of that gap
+FARTHER = 0.25  # ambiguous so far beyond the largest learned loss, of the way to the loss of a text that says nothing
 _BLOCK = 1 << 20
 
 
@@ -55,6 +62,10 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def length_class(text: str) -> int:
+    return min(CLASSES, len(text).bit_length()) - 1
+
+
 def codewords(n: int, bits: int = BITS) -> np.ndarray:
     """n x bits of +-1: all splits for up to five languages, else columns that best separate the closest pair."""
     if n <= 5:
@@ -79,24 +90,33 @@ class Model:
     middle: np.ndarray  # by bit: margin where both sides are equally near
     scale: np.ndarray  # by bit: spread of the margins
     trust: np.ndarray  # by bit: weight of its loss
+    least_gap: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # by length class
+    most_loss: np.ndarray = field(default_factory=lambda: np.full(CLASSES, np.inf))  # by length class
 
     def margins(self, text: str) -> np.ndarray:
         counts = gram_counts(text)
         used = np.flatnonzero(counts)
         return counts[used] @ self.weights[used] / max(1, counts.sum())
 
+    def losses(self, text: str) -> np.ndarray:
+        """By language: weighted exponential loss of the codeword; 1 where no bit has a margin."""
+        m = np.clip((self.margins(text) - self.middle) / self.scale, -4, 4)
+        return (np.exp(-self.code * m) * self.trust).sum(axis=1) / self.trust.sum()
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, ambiguous."""
         if not self.languages or not has_letter(text):
             return "und", 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        m = np.clip((self.margins(text) - self.middle) / self.scale, -4, 4)
-        loss = (np.exp(-self.code * m) * self.trust).sum(axis=1) / self.trust.sum()
+        loss = self.losses(text)
         share = np.exp(-SHARPNESS * (loss - loss.min()))
         share /= share.sum()
         order = np.argsort(-share, kind="stable")
-        return self.languages[order[0]], float(share[order[0]]), bool(share[order[0]] - share[order[1]] < MARGIN)
+        best, second = loss[order[:2]]
+        tie = share[order[0]] - share[order[1]] < MARGIN
+        size = length_class(text)
+        return self.languages[order[0]], float(share[order[0]]), bool(tie or second - best < self.least_gap[size] or best > self.most_loss[size])
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +145,37 @@ def _margin_batches(model: Model) -> Callable:
     return run
 
 
+def _distance_batches(model: Model) -> Callable:
+    """Length class, least loss and gap to the second of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if has_letter(t)]
+            near = np.array([np.sort(model.losses(t))[:2] for t in texts]).reshape(-1, 2)
+            columns = [pa.array([length_class(t) for t in texts], pa.int32()), pa.array(near[:, 0]), pa.array(near[:, 1] - near[:, 0])]
+            yield pa.RecordBatch.from_arrays(columns, ["size", "loss", "gap"])
+
+    return run
+
+
+def _limits(model: Model, sample: DataFrame) -> None:
+    """Sets the limits of ambiguity. Each class takes the milder of its own and those of longer texts; classes longer
+    than all learned texts take the last, shorter ones reject nothing."""
+    seen = sample.mapInArrow(_distance_batches(model), "size int, loss double, gap double").groupBy("size")
+    seen = {r["size"]: r for r in seen.agg(F.max("loss").alias("loss"), F.percentile("gap", F.lit(LOW)).alias("gap")).collect()}
+    loss, gap = -np.inf, np.inf
+    for size in sorted(seen, reverse=True):
+        longest = loss == -np.inf
+        loss, gap = max(loss, seen[size].loss), min(gap, seen[size].gap)
+        reach = slice(size, CLASSES if longest else size + 1)
+        model.most_loss[reach] = loss + FARTHER * max(0.0, 1 - loss)
+        model.least_gap[reach] = NEARER * gap
+
+
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """``labelled``: doc_id, text and lang of the documents to learn from."""
     sample, counts = bounded(labelled.select("doc_id", "text", "lang"), "lang", per_language)
-    sample = sample.select("text", "lang")
+    sample = cut(sample.select("text", "lang"), "sample")
     summed = sample.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(summed["lang"].unique())
     rates = np.zeros((len(languages), BUCKETS))
@@ -154,6 +201,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         model.middle[k] = (high * sd0 + low * sd1) / (sd1 + sd0)
         model.scale[k] = max(1e-6, (high - low) / 4)
         model.trust[k] = min(10.0, max(0.1, (high - low) / (sd1 + sd0)))
+    _limits(model, sample)
     return model
 
 
