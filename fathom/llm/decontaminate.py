@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates of one token a word: words with a digit are ``#n``, a unit after a number is ``#u``, a
-capitalised word inside a sentence is ``#p``, all else is lower-cased and loses its punctuation. Windows of
+capitalised word inside a sentence is ``#p``, one that opens a text, a sentence or a line is ``#o`` (a name or not, so
+``Tom has 5 pears. Tom buys 4.`` meets ``Ann has 7 pears. Ann buys 9.``), all else is lower-cased and loses its punctuation. Windows of
 ``WINDOW`` template tokens of the documents are hash-joined with those of the benchmark, so a question whose numbers,
-names or units were exchanged still meets its source. Windows with fewer than ``LITERAL`` words that are no
-placeholder say too little as templates: they must be met word for word (but for case). Hits line up by offset; along one offset each value of a slot in the
+names or units were exchanged still meets its source. Windows with fewer than ``LITERAL`` words other than numbers, units
+and names inside sentences say too little as templates: they must be met word for word (but for case). Hits line up by offset; along one offset each value of a slot in the
 benchmark must stand for one value in the document and the other way round (slot consistency), else that offset does
 not count. A document leaks an item if its counted windows cover ``COVERAGE`` of the item's template windows, or of all
 its windows.
@@ -14,7 +15,7 @@ windows (all but the number needed, plus one), so those alone name the candidate
 
 Short items are met as whole lines: an item of fewer than ``WINDOW`` words without a template window leaks where a line
 of a document has the same template and its slots are consistent both ways; without any literal word, or any slot,
-where a line is the item word for word (but for case). So ``What is 12 times 30?`` meets a line ``What is 7 times 45?``.
+where a line is the item word for word (but for case). Openers stay words there, as a short item has few others. So ``What is 12 times 30?`` meets a line ``What is 7 times 45?``.
 
 The benchmark side of the join is broadcast only where Spark knows its size to be under the session's threshold;
 beyond it, both sides are shuffled by hash.
@@ -38,6 +39,7 @@ WINDOW = 8
 LITERAL = 5
 COVERAGE = 0.3
 CONSISTENT = 0.8
+SLOTS, OPENER = ("#n", "#p", "#u"), "#o"
 # Units of measure that may follow a number.
 UNITS = "mm cm m km mi in ft yd g kg mg lb lbs oz t l ml s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres mile miles gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars euro euros cent cents percent degrees mph kmh km/h watt watts volt volts"
 DOC = ["doc_id", "doc_hash"]
@@ -48,11 +50,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_hash"), text.alias("text"))
 
 
-def template(text: Column) -> Column:
-    """Template tokens, one for each word."""
+def template(text: Column, openers: bool = True) -> Column:
+    """Template tokens, one for each word; without ``openers``, the words that open sentences stay words."""
     marks = r"[\p{P}\p{S}&&[^#]]+"
     out = F.regexp_replace(text, r"(?<!\S)\S*?[0-9]\S*", "#n")
     out = F.regexp_replace(out, r"(?<=[^\s.!?:;|][ \t])\p{Lu}\S*", "#p")
+    if openers:
+        out = F.regexp_replace(out, r"(?<!\S)[\p{P}\p{S}]*\p{Lu}\S*", "#o")
     out = F.lower(out)
     out = F.regexp_replace(out, rf"(?<=[\p{{L}}#]){marks}|{marks}(?=[\p{{L}}#])", "")
     out = F.regexp_replace(out, rf"(?<=#n )(?:{'|'.join(UNITS.split())})(?!\S)", "#u")
@@ -85,8 +89,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         .withColumn("size", size)
         .select("item_id", "tokens", "size", F.posexplode(F.coalesce(*parts)).alias("ipos", "hash"))
         .withColumn("inside", F.slice("tokens", F.col("ipos") + 1, F.col("size")))
-        .withColumn("slots", F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("inside", i).isin("#n", "#p", "#u")))
-        .withColumn("exact", F.col("size") - F.size("slots") < LITERAL)
+        .withColumn("slots", F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("inside", i).isin(*SLOTS, OPENER)))
+        .withColumn("exact", F.size(F.filter("inside", lambda t: ~t.isin(*SLOTS))) < LITERAL)
     )
     counted = found.groupBy("item_id").agg(F.count(F.when(~F.col("exact"), 1)).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
     own = F.slice("raw", F.col("ipos") + 1, F.col("size"))
@@ -146,8 +150,8 @@ def _with_rare(bench: DataFrame, coverage: float) -> DataFrame:
 def _line_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, doc_hash, item_id, coverage, consistency of short items that are whole lines of documents."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = items.select("item_id", words(F.col("text")).alias("own"), template(F.col("text")).alias("tokens")).where(F.size("own").between(1, WINDOW - 1))
-    is_slot = lambda t: t.isin("#n", "#p", "#u")
+    items = items.select("item_id", words(F.col("text")).alias("own"), template(F.col("text"), openers=False).alias("tokens")).where(F.size("own").between(1, WINDOW - 1))
+    is_slot = lambda t: t.isin(*SLOTS)
     literal = F.size(F.filter("tokens", lambda t: ~is_slot(t)))
     items = items.withColumn("literal", literal).where(F.col("literal") < LITERAL)
     as_template = (F.col("literal") > 0) & (F.col("literal") < F.size("tokens"))
@@ -157,7 +161,7 @@ def _line_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if items.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, doc_hash long, item_id long, coverage double, consistency double")
     lines = keyed(docs).select(*DOC, F.explode(F.split("text", "\n")).alias("line")).select(*DOC, "line", words(F.col("line")).alias("raw")).where(F.size("raw").between(1, WINDOW - 1))
-    hashes = F.array(*(key(F.col("raw"), template(F.col("line")), F.lit(whole)) for whole in (True, False)))
+    hashes = F.array(*(key(F.col("raw"), template(F.col("line"), openers=False), F.lit(whole)) for whole in (True, False)))
     met = lines.select(*DOC, "raw", F.explode(hashes).alias("hash")).join(items, "hash")
     pairs = F.array_distinct(F.transform("slots", lambda i: F.struct(_bare(F.get("own", i)).alias("a"), _bare(F.get("raw", i)).alias("b"))))
     one_to_one = (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))))

@@ -90,7 +90,7 @@ _TEMPLATES = r"""
             CASE WHEN regexp_matches(text, '^[\x20\x09-\x0D]') THEN gaps ELSE list_prepend('', gaps) END AS gaps FROM parts
     ), named AS (
         SELECT id, raw, gaps, list_transform(ts, lambda t, i: lower(CASE WHEN i > 1 AND gaps[i] IN (' ', chr(9)) AND regexp_matches(t, '^\p{{Lu}}')
-            AND NOT regexp_matches(ts[i - 1], '[.!?:;|]$') THEN '#p' ELSE t END)) AS ts FROM numbered
+            AND NOT regexp_matches(ts[i - 1], '[.!?:;|]$') THEN '#p' WHEN regexp_matches(t, '^[\p{{P}}\p{{S}}]*\p{{Lu}}') THEN '#o' ELSE t END)) AS ts FROM numbered
     ), bare AS (
         SELECT id, raw, gaps, list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '[\p{{L}}#]') THEN regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\p{{C}}#]+', '', 'g') ELSE t END) AS ts FROM named
     ), tokens AS (
@@ -112,7 +112,7 @@ ORACLE_SQL = {
             SELECT id AS item_id, raw, ts, unnest(generate_series(0, len(ts) - 8)) AS ipos FROM item_tokens WHERE len(ts) >= 8
         ), bench AS (
             SELECT item_id, ipos, raw[ipos + 1 : ipos + 8] AS own, array_to_string(ts[ipos + 1 : ipos + 8], ' ') AS h,
-                list_filter(generate_series(1, 8), lambda i: ts[ipos + i] IN ('#n', '#p', '#u')) AS slots
+                list_filter(generate_series(1, 8), lambda i: ts[ipos + i] IN ('#n', '#p', '#u', '#o')) AS slots
             FROM item_windows WHERE len(list_filter(ts[ipos + 1 : ipos + 8], lambda t: t IN ('#n', '#p', '#u'))) <= 3
         ), sizes AS (SELECT item_id, count(*) AS n_windows FROM bench GROUP BY item_id
         ), doc_windows AS (
