@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from itertools import pairwise
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.texts import WORD, filled, twin_hash
@@ -106,6 +106,10 @@ def route(
     return {(p, s): room[s, "s"][p, "p"] for p, s in words}
 
 
+def source_key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, key (of the source, never null), size and class hashes of every row; cut."""
     text = filled("text")
@@ -114,7 +118,7 @@ def sized(docs: DataFrame) -> DataFrame:
         docs.select(
             "doc_id",
             "source",
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"),
+            source_key("source").alias("key"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
             h1.alias("h1"),
             h2.alias("h2"),
@@ -124,7 +128,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, pattern, h1, h2 of every row."""
+    """doc_id, key (of the source), size, source_size, target, taken, pattern, h1, h2 of every row."""
     spark = docs.sparkSession
     rows = sized(docs)
     sizes = {r.source: (r.key, r.n) for r in rows.groupBy("source", "key").agg(F.sum("size").alias("n")).collect()}
@@ -173,6 +177,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
         .join(facts, "key")
         .select(
             "doc_id",
+            "key",
             "size",
             "source_size",
             "target",
@@ -187,13 +192,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 def resample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as many times as it is taken (a part counts as a whole), with all its columns."""
     times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))
-    row_key = F.xxhash64("doc_id", "h1", "h2")
+    row_key = F.xxhash64("doc_id", "key", "h1", "h2")
     taken = mix(docs, weights, most, seed).select(row_key.alias("taken_key"), F.col("h1").alias("taken_h1"), times.alias("times"))
     taken = taken.groupBy("taken_key", "taken_h1").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 0")
     taken = cut(taken, "taken")
     h1, h2 = twin_hash(filled("text"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", h1, h2).alias("taken_key"), h1.alias("taken_h1"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", source_key("source"), h1, h2).alias("taken_key"), h1.alias("taken_h1"))
     once = own.join(taken, ["taken_key", "taken_h1"])
-    if not taken.where("n > 1").isEmpty():  # rows of equal id and text are counted together; without them, none need be dropped
+    if not taken.where("n > 1").isEmpty():  # rows of equal id, source and text are counted together; without them, none need be dropped
         once = once.dropDuplicates(["taken_key", "taken_h1"])
     return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
