@@ -155,6 +155,15 @@ def test_mix_meets_targets_and_repeats_itself(docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_equal_texts_of_two_sources_stay_apart(spark):
+    docs = table(spark, [(1, "one two three", "xx", s) for s in ("a", "b", "b")] + [(i, f"w{i} x y", "xx", "a") for i in range(2, 20)])
+    counted = Counter((r.doc_id, r.source) for r in mixing.resample(docs).collect())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.key[1:]] += -(-r.taken // r["size"])
+    assert counted == +want and counted[1, "b"] > 0
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +207,19 @@ def test_slots_are_checked_both_ways(spark):
     assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [2]
 
 
+def test_names_that_open_sentences(spark):
+    rng = random.Random(21)
+    item = "Tom has 5 red apples and 3 pears. Tom gives 2 apples to Mary. Tom buys 4 more apples later. How many fruits does Tom have now?"
+    swap = {"Tom": "Peter", "Mary": "Ann", "5": "7", "4": "9", "2": "6"}
+    twin = re.sub(r"\w+", lambda m: swap.get(m[0], m[0]), item)
+    walk = "Tom walks slowly over the old bridge towards home. Tom sings loudly all the way to town. Tom sleeps until noon the next day"
+    changed = re.sub("Tom", lambda m, names=iter(["Eve", "Bob", "Ida"]): next(names), walk)
+    bench = spark.createDataFrame([(1, item), (2, walk)], "item_id long, text string")
+    made = [f"{prose(rng, 30)} . {twin}", twin, f"{prose(rng, 30)}\n{twin}\n{prose(rng, 9)}", f"{prose(rng, 20)} {item}", walk.replace("Tom", "Ann"), changed]
+    found = decontaminate.leaks(table(spark, [(i, t, "xx", "s") for i, t in enumerate(made)]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)} and min(r.coverage for r in found) > 0.9
+
+
 def test_short_items_are_met_as_lines(spark):
     bench = spark.createDataFrame([(1, "What is 12 times 30?"), (2, "too short"), (3, "7 8 9")], "item_id long, text string")
     made = [(1, "one line\nWhat is 7 times 45?\nanother"), (2, "Too  short"), (3, "it is too short"), (4, "4 5 6"), (5, "x\n7 8 9"), (6, "What is 7 times 7?"), (7, None)]
@@ -428,6 +450,18 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
 
 
+def test_texts_of_no_language_are_ambiguous(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    rng, predict = random.Random(22), language.train(docs).predict
+    clean = [r for r in docs.collect() if language.has_letter(r.text)]
+    assert sum(predict(r.text)[2] for r in clean) <= 0.005 * len(clean)
+    foreign = ["".join(rng.choices("абвгдежзиклмнопрстуфхцчшэюя    ", k=400)) for _ in range(50)]
+    assert sum(predict(t)[2] for t in foreign) >= 45
+    by = {x: [r.text for r in clean if r.lang == x and len(r.text) > 400] for x in {r.lang for r in clean}}
+    mixed = [f"{rng.choice(by[a])[:400]} {rng.choice(by[b])[:400]}" for a, b in (rng.sample(sorted(by), 2) for _ in range(200))]
+    assert sum(predict(t)[2] for t in mixed) >= 60
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 5, 6, 12, 30):
         code = language.codewords(n)
