@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, language, line_dedup, minhash, mixing, quality, sharding, simhash, suffix_array, toxicity
+from fathom.llm import decontaminate, infilling, language, line_dedup, minhash, mixing, pages, quality, sharding, simhash, suffix_array, toxicity, whitening
 from fathom.llm.sampling import is_held_out
 from fathom.session import table
 
@@ -68,6 +68,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=4)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = infilling.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -79,6 +97,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_infilling": op12_infilling,
+    "op13_pages": op13_pages,
 }
 
 _TEMPLATES = r"""
