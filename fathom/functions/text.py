@@ -79,11 +79,15 @@ def window(text: Column, start: Column, size: int = CHUNK_SIZE) -> Column:
 
 
 def rerank_windows(text: Column, size: int = 360) -> Column:
-    """The whole stripped text if short (null is empty), else its distinct start, middle and end windows in order of place."""
-    text = strip(F.coalesce(text, F.lit("")))
-    middle = F.floor(F.length(text) / 2).cast("int") - size // 2
-    starts = F.array_sort(F.array_distinct(F.array(F.lit(0), F.greatest(F.lit(0), middle), F.greatest(F.lit(0), F.length(text) - size))))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
+    """The whole stripped text if short (null is empty), else its distinct start, middle and end windows in order of place.
+    The stripped text is the variable of a lambda, so it is made once and not for each window."""
+
+    def windows(whole: Column) -> Column:
+        middle = F.floor(F.length(whole) / 2).cast("int") - size // 2
+        starts = F.array_sort(F.array_distinct(F.array(F.lit(0), F.greatest(F.lit(0), middle), F.greatest(F.lit(0), F.length(whole) - size))))
+        return F.when(F.length(whole) <= size, F.array(whole)).otherwise(F.transform(starts, lambda s: F.substring(whole, s + 1, F.lit(size))))
+
+    return F.flatten(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), windows))
 
 
 def table_markdown(rows: Column) -> Column:

@@ -12,9 +12,12 @@ from fathom.functions import text as tx
 SECTION_CHARS = 180
 
 
-def _runs(rows: DataFrame, titles: Callable[[Column], Column]) -> DataFrame:
-    """Adds ``_runs``: run (from 0; 0 is what comes before the first title), title and body of every run of lines from
-    one title line to the next that is not blank. All within the row: nothing is shuffled, rows never mix."""
+def _runs(rows: DataFrame, titles: Callable[[Column], Column]) -> tuple[DataFrame, Column]:
+    """The rows, and an expression of them: run (from 0; 0 is what comes before the first title), title and body of every
+    run of lines from one title line to the next that is not blank. All within the row: nothing is shuffled, rows never mix.
+
+    The expression is exploded as it is: of a column by name, Spark would infer a filter on its size and evaluate the
+    split of the whole text for every line of it, below the projections that hold the lines."""
     held = rows.columns
     split = rows.select(*held, F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n").alias("_lines"))
     titled = split.select(*held, "_lines", F.transform("_lines", titles).alias("_titles"))
@@ -22,13 +25,14 @@ def _runs(rows: DataFrame, titles: Callable[[Column], Column]) -> DataFrame:
     begun = titled.select(*held, "_lines", "_titles", F.concat(F.array(F.lit(0)), opens).alias("_begins"))
     body = lambda b, i: tx.strip(F.array_join(F.slice("_lines", b + 1, F.coalesce(F.get("_begins", i + 1), F.size("_lines")) - b), "\n"))
     made = F.transform("_begins", lambda b, i: F.struct(i.cast("long").alias("run"), F.when(i > 0, F.get("_titles", b)).alias("title"), body(b, i).alias("body")))
-    return begun.select(*held, F.filter(made, lambda r: r["body"] != "").alias("_runs"))
+    return begun, F.filter(made, lambda r: r["body"] != "")
 
 
 def markdown_segments(docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, location_index (from 1, blank segments take none), section, text. A heading line opens a segment and stays."""
     heading = lambda line: F.when(line.rlike(tx.MARKDOWN_HEADING), tx.strip(F.regexp_extract(line, tx.MARKDOWN_HEADING, 1)))
-    found = _runs(docs.select(*keys, "text"), heading).select(*keys, F.posexplode("_runs").alias("pos", "r"))
+    lines, runs = _runs(docs.select(*keys, "text"), heading)
+    found = lines.select(*keys, F.posexplode(runs).alias("pos", "r"))
     return found.select(*keys, (F.col("pos") + 1).cast("long").alias("location_index"), F.substring(F.coalesce("r.title", F.lit(tx.BODY)), 1, SECTION_CHARS).alias("section"), F.col("r.body").alias("text"))
 
 
@@ -43,7 +47,8 @@ def sections(segments: DataFrame, keys: list[str]) -> DataFrame:
     ``section``, if that column is there, names what comes before the first title."""
     kept = [*keys, "text", *(["section"] if "section" in segments.columns else [])]
     name = _named(segments)
-    found = _runs(segments.select(*kept), tx.section_title).withColumn("_r", F.explode("_runs"))
+    lines, runs = _runs(segments.select(*kept), tx.section_title)
+    found = lines.select(*kept, F.explode(runs).alias("_r"))
     return found.select(*keys, F.col("_r.run").alias("run"), name(F.col("_r.title")).alias("section"), F.col("_r.body").alias("text"))
 
 
@@ -53,8 +58,9 @@ def document_chunks(docs: DataFrame, keys: list[str]) -> DataFrame:
     kept = [*keys, "text", *(["section"] if "section" in docs.columns else [])]
     name = _named(docs)
     cutup = lambda r: F.transform(tx.chunk_starts(r["body"]), lambda s: F.struct(r["run"].alias("run"), name(r["title"]).alias("section"), tx.strip(tx.window(r["body"], s)).alias("text")))
-    pieces = F.filter(F.flatten(F.transform("_runs", cutup)), lambda c: c["text"] != "")
-    return _runs(docs.select(*kept), tx.section_title).select(*keys, F.posexplode(pieces).alias("pos", "c")).select(*keys, "c.run", "c.section", F.col("pos").cast("long").alias("chunk_index"), "c.text")
+    lines, runs = _runs(docs.select(*kept), tx.section_title)
+    pieces = F.filter(F.flatten(F.transform(runs, cutup)), lambda c: c["text"] != "")
+    return lines.select(*keys, F.posexplode(pieces).alias("pos", "c")).select(*keys, "c.run", "c.section", F.col("pos").cast("long").alias("chunk_index"), "c.text")
 
 
 def text_chunks(docs: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,3 +91,14 @@ def test_compatible_forms_and_folding(spark):
     assert one(spark, "ＡＢＣ ﬁle", tx.tokens) == ["abc", "file"]
     assert one(spark, "Straße.TXT", fuzzy.normalized) == "strassetxt"
     assert one(spark, "  short ", tx.rerank_windows) == ["short"] and one(spark, None, tx.rerank_windows) == [""]
+
+
+def test_runs_of_lines_are_linear_and_no_filter_is_inferred(spark, tmp_path):
+    text = "\n".join(f"# head {i}" if i % 20 == 0 else f"line {i} of the text" for i in range(20_000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "long"))
+    docs = spark.read.parquet(str(tmp_path / "long"))
+    for found in (sg.sections(docs, ["doc_id"]), sg.markdown_segments(docs, ["doc_id"]), sg.document_chunks(docs, ["doc_id"])):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "split" in line]
+        assert found.count() >= 1000
+    assert sg.sections(docs, ["doc_id"]).agg({"run": "max"}).first()[0] == 1000
