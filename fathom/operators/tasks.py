@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.scans import Carry, running
+
 # Allowed steps between states, and progress by words of a log line, first match wins.
 STEPS = {"uploaded": ["parsing", "failed"], "parsing": ["indexing", "failed"], "indexing": ["ready", "failed"], "ready": ["uploaded", "failed"], "failed": ["uploaded"]}
 PROGRESS = (
@@ -27,8 +29,8 @@ def line_progress(line: Column) -> Column:
 
 def progress(lines: DataFrame, key: str = "task_id") -> DataFrame:
     """Adds progress so far, which never falls."""
-    so_far = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("progress", F.coalesce(F.max(line_progress(F.col("line"))).over(so_far), F.lit(0)).cast("long"))
+    told = running(lines, key, ["seq"], {"progress": Carry("max", line_progress(F.col("line")))})
+    return told.withColumn("progress", F.coalesce("progress", F.lit(0)).cast("long"))
 
 
 def allowed(before: Column, after: Column) -> Column:
@@ -39,8 +41,7 @@ def allowed(before: Column, after: Column) -> Column:
 
 def illegal_steps(events: DataFrame, key: str = "task_id") -> DataFrame:
     """Events whose state may not follow the one before."""
-    before = F.lag("status").over(Window.partitionBy(key).orderBy("seq"))
-    return events.withColumn("before", before).where(~allowed(F.col("before"), F.col("status")))
+    return running(events, key, ["seq"], {"before": Carry("last_before", F.col("status"))}).where(~allowed(F.col("before"), F.col("status")))
 
 
 def current(events: DataFrame, key: str = "task_id") -> DataFrame:
@@ -50,16 +51,16 @@ def current(events: DataFrame, key: str = "task_id") -> DataFrame:
 
 def stalls(events: DataFrame, seconds: int, key: str = "task_id") -> DataFrame:
     """Gaps longer than ``seconds`` between an event and the next of its task."""
-    last = F.lag("ts").over(Window.partitionBy(key).orderBy("seq"))
     gap = (F.unix_timestamp("ts") - F.unix_timestamp("last")).cast("long")
-    return events.withColumn("last", last).withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds)
+    return running(events, key, ["seq"], {"last": Carry("last_before", F.col("ts"))}).withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds)
 
 
 def log_tail(lines: DataFrame, key: str = "task_id", chars: int = LOG_CHARS) -> DataFrame:
     """The last ``chars`` characters of each task's log. Only the lines that can reach the tail are gathered: those
     with at most ``chars`` characters after them."""
-    after = Window.partitionBy(key).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    near = lines.withColumn("after", F.coalesce(F.sum(F.length("line") + 1).over(after), F.lit(0))).where(F.col("after") <= chars)
+    back = lines.withColumn("_back", -F.col("seq"))
+    after = running(back, key, ["_back"], {"after": Carry("sum_before", (F.length("line") + 1).cast("long"))})
+    near = after.where(F.coalesce("after", F.lit(0)) <= chars)
     joined = near.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("log"))
     return joined.withColumn("log", F.right("log", F.lit(chars)))
 
@@ -99,9 +100,9 @@ def framed(chunks: DataFrame, key: str = "task_id") -> DataFrame:
     """task_id, line_no, line: whole lines from chunks (seq, chunk) that break anywhere; an unfinished last line counts.
 
     A line is told by its number: the line breaks before it. Only the pieces of one line are gathered."""
-    before = F.coalesce(F.sum("breaks").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     split = chunks.withColumn("pieces", F.split(F.regexp_replace("chunk", "\\r\\n?", "\n"), "\n")).withColumn("breaks", F.size("pieces") - 1)
-    pieces = split.withColumn("before", before).select(key, "seq", "before", F.posexplode("pieces").alias("pos", "piece"))
+    counted = running(split, key, ["seq"], {"before": Carry("sum_before", F.col("breaks").cast("long"))})
+    pieces = counted.select(key, "seq", F.coalesce("before", F.lit(0)).alias("before"), F.posexplode("pieces").alias("pos", "piece"))
     parts = F.array_sort(F.collect_list(F.struct("seq", "pos", "piece")))
     return pieces.groupBy(key, (F.col("before") + F.col("pos")).alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("line"))
 
@@ -126,8 +127,7 @@ def transfer_percent(line: Column) -> Column:
 def transfer_changes(lines: DataFrame, key: str = "task_id") -> DataFrame:
     """Lines (seq, line) whose percent differs from that of the transfer line before them; other lines do not count."""
     told = lines.withColumn("percent", transfer_percent(F.col("line"))).where(F.col("percent").isNotNull())
-    before = F.lag("percent").over(Window.partitionBy(key).orderBy("seq"))
-    return told.withColumn("_before", before).where(~F.col("percent").eqNullSafe(F.col("_before"))).drop("_before")
+    return running(told, key, ["seq"], {"_before": Carry("last_before", F.col("percent"))}).where(~F.col("percent").eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def gate(count: Column, threshold: int) -> Column:

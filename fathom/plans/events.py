@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from fathom.functions import nested
 from fathom.operators import catalog as ct
 from fathom.operators import tasks as tk
+from fathom.operators import tracking
 from fathom.session import table
 
 STATES = {"signup": "uploaded", "view": "parsing", "click": "indexing", "purchase": "ready", "error": "failed"}
 STATUSES = {"signup": "success", "view": "waiting", "click": "completed", "purchase": "absent", "error": "late"}
 TASK_STATES = {"signup": "queued", "view": "running", "click": "cancelling", "purchase": "completed", "error": "failed"}
 
+LIMITS = tracking.Limits(limit_ms=36_000_000, stall_ms=18_000_000, heartbeat_ms=3_600_000)
+AS_OF_MS = 1_709_251_200_000  # the start of March 2024
+
 
 def _mapped(c: str, values: dict[str, str]) -> F.Column:
     return F.coalesce(*(F.when(F.col(c) == k, v) for k, v in values.items()))
@@ -78,7 +82,24 @@ def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.answer_counts(events.select("event_id", shapes.alias("payload")), "event_id", "payload")
 
 
-QUERIES = {f.__name__: f for f in (task_summary, task_recovery, task_progress, task_latest, task_log_tail, illegal_transitions, stalled_sessions, active_time_slots, nested_counts)}
+def task_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task is a user's day: errors are lines of failure, purchases exits, a small k a cancel; all else is output."""
+    events = table(spark, sf_dir, "events")
+    cancelled = F.get_json_object("props", "$.k").cast("int") < 5
+    word = F.when(F.col("event_type") == "error", tracking.FAILURE[0]).otherwise(_mapped("event_type", STATES))
+    made = events.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("task_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.when(cancelled, "cancel").when(F.col("event_type") == "purchase", "exit").otherwise("line").alias("kind"),
+        F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" "), word).alias("line"),
+    )
+    return tracking.endings(made, LIMITS, AS_OF_MS)
+
+
+QUERIES = {f.__name__: f for f in (
+    task_endings, task_summary, task_recovery, task_progress, task_latest, task_log_tail, illegal_transitions, stalled_sessions, active_time_slots, nested_counts
+)}
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())
 _TASK_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASK_STATES.items())
@@ -86,6 +107,30 @@ _EVENTS = f"e AS (SELECT user_id AS task_id, event_id AS seq, ts, event_type, CA
 _LATEST = f"l AS (SELECT user_id AS task_id, CASE arg_max(event_type, event_id) {_TASK_CASE} END AS status FROM events GROUP BY user_id)"
 
 ORACLE_SQL = {
+    # A row at AS_OF_MS stands for the end of the watch; the first row at which a task has ended tells all.
+    "task_endings": f"""WITH e AS (
+            SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS task_id, epoch_ms(ts) AS at, event_id AS seq,
+                CASE WHEN json_extract_string(props, '$.k')::INT < 5 THEN 'cancel' WHEN event_type = 'purchase' THEN 'exit' ELSE 'line' END AS kind,
+                'step ' || event_id || ' ' || CASE event_type WHEN 'error' THEN '[致命异常]' {_CASE} END AS line FROM events
+        ), s AS (
+            SELECT task_id, at, seq, kind, CASE WHEN kind = 'line' THEN line END AS line FROM e
+            UNION ALL SELECT task_id, {AS_OF_MS}, 9223372036854775807, 'now', NULL FROM e GROUP BY task_id
+        ), w AS (
+            SELECT *, min(at) OVER p AS began, max(CASE WHEN kind = 'line' THEN at END) OVER b AS heard, count(line) OVER b AS n_lines,
+                max(CASE WHEN line LIKE '%uploaded' THEN 5 WHEN line LIKE '%parsing' THEN 20 WHEN line LIKE '%indexing' THEN 75 END) OVER b AS progress,
+                last_value(CASE WHEN line LIKE '%[致命异常]%' THEN line END IGNORE NULLS) OVER b AS fault, last_value(line IGNORE NULLS) OVER b AS last
+            FROM s WINDOW p AS (PARTITION BY task_id), b AS (PARTITION BY task_id ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), d AS (SELECT *, coalesce(heard, began) AS since, least(coalesce(heard, began) + {LIMITS.stall_ms}, began + {LIMITS.limit_ms}) AS deadline FROM w
+        ), m AS (SELECT *, deadline < at AS late, greatest(0, (least(at, deadline) - since - 1) // {LIMITS.heartbeat_ms}) AS silent FROM d
+        ), c AS (
+            SELECT *, sum(silent) OVER (PARTITION BY task_id ORDER BY at, seq) AS beats FROM m
+        ), f AS (
+            SELECT * FROM c WHERE late OR kind IN ('exit', 'cancel') QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY at, seq) = 1
+        )
+        SELECT task_id, CASE WHEN late AND deadline = began + {LIMITS.limit_ms} THEN 'timeout' WHEN late THEN 'stalled' WHEN kind = 'cancel' THEN 'cancelled'
+                WHEN fault IS NULL THEN 'completed' ELSE 'failed' END AS status, began AS started_ms, CASE WHEN late THEN deadline ELSE at END AS ended_ms,
+            CASE WHEN NOT late AND kind = 'exit' AND fault IS NULL THEN 100 ELSE coalesce(progress, 0) END::BIGINT AS progress,
+            n_lines, beats::BIGINT AS heartbeats, coalesce(fault, last) AS message FROM f""",
     "task_summary": f"""WITH {_LATEST}
         SELECT count(*) FILTER (status IN ('queued', 'running', 'cancelling')) AS active, count(*) FILTER (status IN ('failed', 'interrupted')) AS failed,
             count(*) FILTER (status IN ('failed', 'interrupted') AND task_id % 2 = 0) AS retryable FROM l""",
