@@ -109,26 +109,26 @@ _LATEST = f"l AS (SELECT user_id AS task_id, CASE arg_max(event_type, event_id)
 ORACLE_SQL = {
     # A row at AS_OF_MS stands for the end of the watch; the first row at which a task has ended tells all.
     "task_endings": f"""WITH e AS (
-            SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS task_id, epoch_ms(ts) AS at, event_id AS seq,
+            SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS task_id, epoch_ms(ts) AS ms, event_id AS seq,
                 CASE WHEN json_extract_string(props, '$.k')::INT < 5 THEN 'cancel' WHEN event_type = 'purchase' THEN 'exit' ELSE 'line' END AS kind,
                 'step ' || event_id || ' ' || CASE event_type WHEN 'error' THEN '[致命异常]' {_CASE} END AS line FROM events
         ), s AS (
-            SELECT task_id, at, seq, kind, CASE WHEN kind = 'line' THEN line END AS line FROM e
+            SELECT task_id, ms, seq, kind, CASE WHEN kind = 'line' THEN line END AS line FROM e
             UNION ALL SELECT task_id, {AS_OF_MS}, 9223372036854775807, 'now', NULL FROM e GROUP BY task_id
         ), w AS (
-            SELECT *, min(at) OVER p AS began, max(CASE WHEN kind = 'line' THEN at END) OVER b AS heard, count(line) OVER b AS n_lines,
+            SELECT *, min(ms) OVER p AS began, max(CASE WHEN kind = 'line' THEN ms END) OVER b AS heard, count(line) OVER b AS n_lines,
                 max(CASE WHEN line LIKE '%uploaded' THEN 5 WHEN line LIKE '%parsing' THEN 20 WHEN line LIKE '%indexing' THEN 75 END) OVER b AS progress,
                 last_value(CASE WHEN line LIKE '%[致命异常]%' THEN line END IGNORE NULLS) OVER b AS fault, last_value(line IGNORE NULLS) OVER b AS last
-            FROM s WINDOW p AS (PARTITION BY task_id), b AS (PARTITION BY task_id ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            FROM s WINDOW p AS (PARTITION BY task_id), b AS (PARTITION BY task_id ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), d AS (SELECT *, coalesce(heard, began) AS since, least(coalesce(heard, began) + {LIMITS.stall_ms}, began + {LIMITS.limit_ms}) AS deadline FROM w
-        ), m AS (SELECT *, deadline < at AS late, greatest(0, (least(at, deadline) - since - 1) // {LIMITS.heartbeat_ms}) AS silent FROM d
+        ), m AS (SELECT *, deadline < ms AS late, greatest(0, (least(ms, deadline) - since - 1) // {LIMITS.heartbeat_ms}) AS silent FROM d
         ), c AS (
-            SELECT *, sum(silent) OVER (PARTITION BY task_id ORDER BY at, seq) AS beats FROM m
+            SELECT *, sum(silent) OVER (PARTITION BY task_id ORDER BY ms, seq) AS beats FROM m
         ), f AS (
-            SELECT * FROM c WHERE late OR kind IN ('exit', 'cancel') QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY at, seq) = 1
+            SELECT * FROM c WHERE late OR kind IN ('exit', 'cancel') QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY ms, seq) = 1
         )
         SELECT task_id, CASE WHEN late AND deadline = began + {LIMITS.limit_ms} THEN 'timeout' WHEN late THEN 'stalled' WHEN kind = 'cancel' THEN 'cancelled'
-                WHEN fault IS NULL THEN 'completed' ELSE 'failed' END AS status, began AS started_ms, CASE WHEN late THEN deadline ELSE at END AS ended_ms,
+                WHEN fault IS NULL THEN 'completed' ELSE 'failed' END AS status, began AS started_ms, CASE WHEN late THEN deadline ELSE ms END AS ended_ms,
             CASE WHEN NOT late AND kind = 'exit' AND fault IS NULL THEN 100 ELSE coalesce(progress, 0) END::BIGINT AS progress,
             n_lines, beats::BIGINT AS heartbeats, coalesce(fault, last) AS message FROM f""",
     "task_summary": f"""WITH {_LATEST}
