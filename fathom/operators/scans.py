@@ -68,9 +68,13 @@ def _joined(c: Carry, own: Column, carried: Column) -> Column:
     return F.least(own, carried) if c.kind == "min" else F.greatest(own, carried)
 
 
-def running(rows: DataFrame, key: str, order: list[str], carries: dict[str, Carry], most_rows: int = MOST_ROWS) -> DataFrame:
-    """The rows with one more column for each of ``carries``."""
-    largest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+def largest_key(rows: DataFrame, key: str) -> int:
+    return rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
+def running(rows: DataFrame, key: str, order: list[str], carries: dict[str, Carry], most_rows: int = MOST_ROWS, largest: int | None = None) -> DataFrame:
+    """The rows with one more column for each of ``carries``. ``largest``: rows of the largest key, counted if not given."""
+    largest = largest_key(rows, key) if largest is None else largest
     unboxed = lambda n, c, v: (v["v"] if c.kind == "last_before" else v).alias(n)
     if largest <= most_rows:
         made = rows.select("*", *(_own(c, [key], order).alias(f"_{n}") for n, c in carries.items()))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.scans import MOST_ROWS, Carry, running
+from fathom.operators.scans import MOST_ROWS, Carry, largest_key, running
 from fathom.operators.tasks import MESSAGE_CHARS, line_progress
 
 # What marks a line of failure, the pace of heartbeats and of reports.
@@ -61,7 +61,8 @@ def endings(events: DataFrame, limits: Limits, as_of_ms: int, most_rows: int = M
         "last": Carry("seen_before", said),
         "lines": Carry("sum_before", is_line.cast("long")),
     }
-    told = running(made, "task_id", ["at", "seq"], carries, most_rows)
+    largest = largest_key(events, "task_id")
+    told = running(made, "task_id", ["at", "seq"], carries, most_rows, largest)
     since = F.coalesce("heard", "began")
     deadline = F.least(since + limits.stall_ms, F.col("began") + limits.limit_ms)
     told = told.withColumns({"since": since, "deadline": deadline, "late": deadline < F.col("at")})
@@ -69,7 +70,7 @@ def endings(events: DataFrame, limits: Limits, as_of_ms: int, most_rows: int = M
     # Heartbeats of the silence before a row; those of rows after the first end do not count.
     told = told.withColumns({"ends": ends, "silent": beats(F.col("since"), F.col("at"), F.col("deadline"), limits.heartbeat_ms)})
     place = F.struct("at", "seq")
-    told = running(told, "task_id", ["at", "seq"], {"over": Carry("max_before", ends), "beaten": Carry("sum_before", F.when(is_line, F.col("silent")).otherwise(0))}, most_rows)
+    told = running(told, "task_id", ["at", "seq"], {"over": Carry("max_before", ends), "beaten": Carry("sum_before", F.when(is_line, F.col("silent")).otherwise(0))}, most_rows, largest)
     open_ = ~F.coalesce("over", F.lit(False))
     facts = F.struct("at", "kind", "late", "deadline", "began", "progress", "fault", "last", "lines", (F.col("silent") + F.coalesce("beaten", F.lit(0))).alias("beats"))
     # Of a task that goes on: what its rows say together.

@@ -109,7 +109,7 @@ _LATEST = f"l AS (SELECT user_id AS task_id, CASE arg_max(event_type, event_id)
 ORACLE_SQL = {
     # A row at AS_OF_MS stands for the end of the watch; the first row at which a task has ended tells all.
     "task_endings": f"""WITH e AS (
-            SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS task_id, epoch_ms(ts) AS ms, event_id AS seq,
+            SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS task_id, epoch_us(ts) // 1000 AS ms, event_id AS seq,
                 CASE WHEN json_extract_string(props, '$.k')::INT < 5 THEN 'cancel' WHEN event_type = 'purchase' THEN 'exit' ELSE 'line' END AS kind,
                 'step ' || event_id || ' ' || CASE event_type WHEN 'error' THEN '[致命异常]' {_CASE} END AS line FROM events
         ), s AS (
