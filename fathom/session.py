@@ -46,15 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
 _open_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the scratch tables."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    for scope in _open_scopes:
+        scope.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from files, not from shuffles
     that a lost executor takes with it, and range partitioning samples the files instead of the whole plan."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    for scope in _open_scopes:
-        scope.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
