@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -13,16 +14,21 @@ from pyspark.sql import types as T
 CUT = 0.42
 
 
+def normal(name: str | None) -> str:
+    """``normalized`` of one name."""
+    return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", name or "").casefold())
+
+
 @F.pandas_udf(T.StringType())
-def _fold(names: pd.Series) -> pd.Series:
+def python_folded(names: pd.Series) -> pd.Series:
     return names.map(lambda n: unicodedata.normalize("NFKC", n or "").casefold())
 
 
 def folded(name: Column) -> Column:
-    """NFKC and full case folding; ASCII names, most of them, never reach Python."""
+    """NFKC and full case folding. As an expression it passes Python (as null, for ASCII names); ``operators.names`` does not."""
     filled = F.coalesce(name, F.lit(""))
     plain = F.octet_length(filled) == F.length(filled)
-    return F.when(plain, F.lower(filled)).otherwise(_fold(F.when(~plain, filled)))
+    return F.when(plain, F.lower(filled)).otherwise(python_folded(F.when(~plain, filled)))
 
 
 def normalized(name: Column) -> Column:
@@ -31,8 +37,8 @@ def normalized(name: Column) -> Column:
 
 
 def stem(name: Column) -> Column:
-    """The name without its last extension; a leading dot is no extension."""
-    return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
+    """The name without its last extension, of a path of its last part; dots that only dots come before are no extension."""
+    return F.regexp_replace(name, r"(?s)^((?:.*/)?\.*[^./][^/]*)\.[^./]*$", "$1")
 
 
 def bigrams(text: Column) -> Column:
@@ -59,7 +65,7 @@ def _ratio(query: Column, name: Column) -> Column:
     return F.when(open_, sequence_ratio(F.when(open_, query), F.when(open_, name))).otherwise(0.0)
 
 
-def _score(query: Column, name: Column, inexact: Column) -> Column:
+def score(query: Column, name: Column, inexact: Column) -> Column:
     return (
         F.when((query == "") | (name == ""), 0.0)
         .when(query == name, 1.0)
@@ -71,13 +77,13 @@ def _score(query: Column, name: Column, inexact: Column) -> Column:
 
 def dice_score(query: Column, name: Column) -> Column:
     """The score without sequence matching; both sides normalised."""
-    return _score(query, name, 0.92 * dice(query, name))
+    return score(query, name, 0.92 * dice(query, name))
 
 
 def name_score(wanted: Column, full: Column, bare: Column) -> Column:
     """Best score of the full name and its stem, as rounded in results; all three normalised, as columns of their own.
     Scores below ``CUT`` may come out lower than they are."""
-    scores = [_score(wanted, n, F.greatest(0.88 * _ratio(wanted, n), 0.92 * dice(wanted, n))) for n in (full, bare)]
+    scores = [score(wanted, n, F.greatest(0.88 * _ratio(wanted, n), 0.92 * dice(wanted, n))) for n in (full, bare)]
     return F.round(F.greatest(*scores), 4)
 
 

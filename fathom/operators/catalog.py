@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import fuzzy, nested
+from fathom.operators import names
 
 
 def due_between(deadlines: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -88,10 +89,10 @@ def related(wanted: DataFrame, files: DataFrame, group: str, n: int) -> DataFram
     return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("file_id", "doc_id", "rank")
 
 
-def fuzzy_search(names: DataFrame, query: str, cut: float = fuzzy.CUT, limit: int = 20) -> DataFrame:
-    """Rows (kind, id, name) by score: folders before files, then by name; the first ``limit``."""
-    scored = fuzzy.scored(names, F.lit(query)).where(F.col("score") >= cut)
-    return scored.orderBy(F.desc("score"), F.col("kind") != "folder", "name", "id").limit(limit)
+def fuzzy_search(rows: DataFrame, query: str, cut: float = fuzzy.CUT, limit: int = 20) -> DataFrame:
+    """Rows (kind, id, name) by score: folders before files, then by name; the first ``limit``. Scores below ``cut`` are
+    not made."""
+    return names.search_one(rows, query, limit, cut)
 
 
 def state_summary(tasks: DataFrame) -> DataFrame:

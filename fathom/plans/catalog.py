@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import fuzzy
 from fathom.functions import text as tx
 from fathom.operators import catalog as ct
+from fathom.operators import names as nm
 from fathom.operators import segmentation as sg
 from fathom.operators import rules, tree
 from fathom.session import table
@@ -73,6 +74,28 @@ def fuzzy_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.fuzzy_search(names, "smal widgit", limit=50).select("id", "name", "score")
 
 
+def _name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with their vowels exchanged, their second words alone, and supplier names (near none)."""
+    parts = table(spark, sf_dir, "part").select("p_name").distinct()
+    return (
+        parts.select(F.translate("p_name", "aeio", "eioa").alias("query"))
+        .union(parts.select(F.substring_index("p_name", " ", -1)))
+        .union(table(spark, sf_dir, "supplier").select("s_name"))
+        .distinct()
+    )
+
+
+def fuzzy_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names of parts against all queries, with the sequence score: distinct pairs from the cut on."""
+    return nm.matches(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), _name_queries(spark, sf_dir))
+
+
+def fuzzy_dice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the sequence score, which SQL cannot say, and with the nations among the names."""
+    held = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(table(spark, sf_dir, "nation").select("n_name"))
+    return nm.matches(held, _name_queries(spark, sf_dir), sequence=False)
+
+
 def fuzzy_dice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), fuzzy.normalized(F.col("p_name")).alias("plain"))
     score = fuzzy.dice_score(F.lit("smalwidgit"), F.col("plain"))
@@ -214,7 +237,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        folder_descendants, folder_paths, folder_tree, orphan_folders, folder_delete, folder_ensure, dangling_files, union_search_results, fuzzy_name_search, fuzzy_dice_search,
+        folder_descendants, folder_paths, folder_tree, orphan_folders, folder_delete, folder_ensure, dangling_files, union_search_results, fuzzy_name_search, fuzzy_dice_search, fuzzy_name_join, fuzzy_dice_join,
         upcoming_deadlines, due_reviews, deadline_urgency, deadline_days, deadline_replace, account_upsert, schema_migration, recency_top200, recent_files,
         conversation_titles, conversation_search, conversation_export, conversation_tail, regenerate_source, citation_context, related_files,
         missing_vectors, orphan_vectors, health_report, json_fields,
@@ -282,6 +305,20 @@ ORACLE_SQL = {
             SELECT 'folder' AS kind, n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 'file', s_suppkey, s_name FROM supplier)""")
     + "SELECT kind, id, name, score FROM s WHERE score >= 0.42 ORDER BY score DESC, kind <> 'folder', name, id LIMIT 50",
     "fuzzy_dice_search": _DICE.format(query="smalwidgit", id="p_partkey", name="p_name", more="", rows="part") + "SELECT id, score FROM s",
+    "fuzzy_dice_join": r"""
+        WITH p AS (SELECT DISTINCT p_name FROM part), raw_q AS (
+            SELECT translate(p_name, 'aeio', 'eioa') AS query FROM p UNION SELECT string_split(p_name, ' ')[-1] FROM p UNION SELECT s_name FROM supplier
+        ), names AS (SELECT p_name AS name FROM p UNION SELECT n_name FROM nation
+        ), q AS (SELECT query, lower(regexp_replace(query, '[^\p{L}\p{N}]+', '', 'g')) AS q FROM raw_q
+        ), n AS (SELECT name, lower(regexp_replace(name, '[^\p{L}\p{N}]+', '', 'g')) AS n FROM names
+        ), qb AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(q) - 1, 1)), lambda i: substring(q, i, 2))) AS qs FROM q
+        ), nb AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(n) - 1, 1)), lambda i: substring(n, i, 2))) AS ns FROM n
+        ), s AS (
+            SELECT query, name, CASE WHEN n = '' OR q = '' THEN 0.0 WHEN n = q THEN 1.0 WHEN contains(n, q) THEN least(0.99::DOUBLE, 0.9::DOUBLE + 0.09::DOUBLE * length(q) / length(n))
+                WHEN length(q) = 1 THEN 0.0 ELSE 0.92::DOUBLE * 2 * len(list_intersect(qs, ns)) / (len(qs) + len(ns)) END::DOUBLE AS score FROM qb, nb
+        )
+        SELECT query, name, round(score, 4) AS score FROM s WHERE score >= 0.42
+    """,
     "upcoming_deadlines": f"""SELECT id, owner, due FROM ({_DUE}) WHERE NOT coalesce(is_submitted, false)
         AND due BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-01-08' ORDER BY due NULLS FIRST, id LIMIT 20""",
     "due_reviews": f"""WITH r AS (SELECT * FROM ({_DUE}) WHERE NOT is_submitted AND due <= TIMESTAMP '1998-01-08' ORDER BY due NULLS FIRST, id LIMIT 12)
