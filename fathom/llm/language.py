@@ -7,12 +7,12 @@ each bit separates, and takes the codeword of the least loss. A text is ambiguou
 than those of nearly all learned texts of its length (mixed texts), or if it is farther from every codeword than all of
 them (a language never learned, noise): short texts lie nearer to each other, so both limits go by length class.
 
-Learning uses at most about ``PER_LANGUAGE`` documents a language, written apart once; counts by language and n-gram
+Learning uses at most about ``PER_LANGUAGE`` documents a language, distinct in id or text, written apart once; counts by language and n-gram
 bucket are summed by Spark, and only those (languages x ``BUCKETS``) and the limits by length class reach the driver.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with a single learned language every
-other text is that language; with none, ``und``; null ids are never held out; repeated rows and extra columns have
-no effect on predictions other than through the counts.
+other text is that language; with none, ``und``; null ids are never held out and are learned
+from like others; repeated rows count once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.sampling import bounded
+from fathom.llm.sampling import drawn
 from fathom.session import cut
 
 PER_LANGUAGE = 2000
@@ -174,8 +174,8 @@ def _limits(model: Model, sample: DataFrame) -> None:
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """``labelled``: doc_id, text and lang of the documents to learn from."""
-    sample, counts = bounded(labelled.select("doc_id", "text", "lang"), "lang", per_language)
-    sample = cut(sample.select("text", "lang"), "sample")
+    keys = {"_id": F.col("doc_id"), "_text": F.xxhash64("text")}
+    sample = cut(drawn(labelled.select("doc_id", "text", "lang"), "lang", per_language, keys=keys).select("text", "lang"), "sample")
     summed = sample.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(summed["lang"].unique())
     rates = np.zeros((len(languages), BUCKETS))

@@ -54,7 +54,7 @@ def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.
         for b in batches:
             for key, y, at, x in zip(*b.columns, strict=True):
                 rows.append((key.as_py(), y.as_py(), at.values.to_numpy().copy(), x.values.to_numpy(zero_copy_only=False).copy()))
-        rows.sort(key=lambda r: r[0])
+        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))  # keys may tie: null and repeated ids
         w, bias = fit([r[1:] for r in rows], dims, epochs, rate)
         used = np.flatnonzero(w)
         at = np.append(used, -1).astype(np.int32)

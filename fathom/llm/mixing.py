@@ -25,6 +25,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.llm.copies import BLOCK, numbered
 from fathom.llm.texts import WORD, filled, twin_hash
 from fathom.session import cut
 
@@ -111,30 +112,26 @@ def source_key(source: str) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (of the source, never null), size and class hashes of every row; cut."""
+    """doc_id, source, key (of the source, never null), size, class hashes and n of the distinct records (n equal rows are
+    one, so that no window holds them all); cut."""
     text = filled("text")
     h1, h2 = twin_hash(text)
-    return cut(
-        docs.select(
-            "doc_id",
-            "source",
-            source_key("source").alias("key"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            h1.alias("h1"),
-            h2.alias("h2"),
-        ),
-        "sized",
-    )
+    rows = docs.select("doc_id", "source", source_key("source").alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), h1.alias("h1"), h2.alias("h2"))
+    return cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "sized")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, key (of the source), size, source_size, target, taken, pattern, h1, h2 of every row."""
+    """doc_id, key (of the source), size, source_size, target, taken, pattern, h1, h2 of every row. Equal rows share what is
+    left for them one after the other."""
     spark = docs.sparkSession
     rows = sized(docs)
-    sizes = {r.source: (r.key, r.n) for r in rows.groupBy("source", "key").agg(F.sum("size").alias("n")).collect()}
+    summed = rows.groupBy("source", "key").agg(F.sum(F.col("size") * F.col("n")).alias("n")).limit(MOST_SUMS + 1).collect()
+    if len(summed) > MOST_SUMS:
+        raise ValueError(f"more than {MOST_SUMS} sources; the flow is solved for that many pairs of membership pattern and source at most")
+    sizes = {r.source: (r.key, r.n) for r in summed}
     wanted = targets({s: n for s, (_, n) in sizes.items()}, weights, most)
 
-    copies = rows.groupBy("h1", "h2", "key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("class_size"), F.sum("size").alias("words"))
+    copies = rows.groupBy("h1", "h2", "key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("class_size"), F.sum(F.col("size") * F.col("n")).alias("words"))
     classes = copies.groupBy("h1", "h2").agg(F.xxhash64(F.sort_array(F.collect_set("key"))).alias("pattern"))
     copies = cut(copies.join(classes, ["h1", "h2"]), "copies")
     one_source = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("key")) == 1
@@ -156,24 +153,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     facts = F.broadcast(spark.createDataFrame(facts, "key string, source_size long, target double"))
 
     # Rows stand in order of their draw, first copies ahead; buckets are its leading bits, so that order spans them.
-    bits = max(4, (rows.count() // BUCKET_ROWS).bit_length())
+    bits = max(4, ((rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS).bit_length())
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "h1", "h2"), 1)
     placed = (
         rows.join(copies.select("h1", "h2", "key", "pattern", "first_id"), ["h1", "h2", "key"])
         .withColumn("drawn", drawn)
         .withColumn("bucket", F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), 0).otherwise(1 << bits) + F.shiftright("drawn", 63 - bits))
-        .select("doc_id", "key", "size", "h1", "h2", "pattern", "drawn", "bucket")
+        .select("doc_id", "key", "size", "h1", "h2", "n", "pattern", "drawn", "bucket")
     )
     placed = cut(placed, "placed")
     ahead = Window.partitionBy("pattern", "key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        placed.groupBy("pattern", "key", "bucket").agg(F.sum("size").alias("n")).select("pattern", "key", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+        placed.groupBy("pattern", "key", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("w")).select("pattern", "key", "bucket", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("before"))
     )
     within = Window.partitionBy("pattern", "key", "bucket").orderBy("drawn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("share") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))))
+    room = F.col("share") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0))
+    extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("room") - F.col("copy") * F.col("size")))  # equal rows follow each other
+    roomy = cut(placed.join(before, ["pattern", "key", "bucket"]).join(plan, ["pattern", "key"], "left").withColumn("room", room), "roomy")
     return (
-        placed.join(before, ["pattern", "key", "bucket"])
-        .join(plan, ["pattern", "key"], "left")
+        numbered(roomy, "n")
         .join(facts, "key")
         .select(
             "doc_id",
@@ -199,6 +197,9 @@ def resample(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     h1, h2 = twin_hash(filled("text"))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", source_key("source"), h1, h2).alias("taken_key"), h1.alias("taken_h1"))
     once = own.join(taken, ["taken_key", "taken_h1"])
-    if not taken.where("n > 1").isEmpty():  # rows of equal id, source and text are counted together; without them, none need be dropped
+    most_times, most_rows = taken.agg(F.coalesce(F.max("times"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most_rows > 1:  # rows of equal id, source and text are counted together; without them, none need be dropped
         once = once.dropDuplicates(["taken_key", "taken_h1"])
-    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    if most_times <= BLOCK:  # nothing to deal out by blocks
+        return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    return numbered(once.select("row", F.col("times").cast("long").alias("times")), "times").select("row.*")

@@ -25,3 +25,18 @@ def bounded(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> tupl
     drawn = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(grain))
     chosen = [(F.col(label) == v) & (drawn < int(grain * min(1.0, most / n))) for v, n in sorted(counts.items(), key=lambda x: str(x[0]))]
     return rows.where(reduce(lambda a, b: a | b, chosen, F.lit(False))), counts
+
+
+def drawn(rows: DataFrame, label: str, most: int, *, keys: dict[str, Column]) -> DataFrame:
+    """About ``most`` distinct rows of each label at most, told apart by ``keys``, which become columns. A row counts once
+    however often it occurs, whether or not its id is null; a label with few distinct rows keeps them all.
+
+    Distinct rows are counted by a sketch (one number a label reaches the driver), and only rows that are drawn are
+    gathered by key, copies pre-aggregated."""
+    keyed = rows.where(F.col(label).isNotNull()).withColumns(keys)
+    grain = 1 << 30
+    place = F.xxhash64(F.lit("drawn"), *keys)
+    counts = {r[0]: r[1] for r in keyed.groupBy(label).agg(F.approx_count_distinct(place)).collect()}
+    at = F.pmod(place, F.lit(grain))
+    chosen = [(F.col(label) == v) & (at < int(grain * min(1.0, most / max(1, n)))) for v, n in sorted(counts.items(), key=lambda x: str(x[0]))]
+    return keyed.where(reduce(lambda a, b: a | b, chosen, F.lit(False))).dropDuplicates([label, *keys])

@@ -22,6 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.llm.copies import numbered
 from fathom.llm.texts import filled
 from fathom.session import cut, shared_dir
 
@@ -35,9 +36,9 @@ def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """Ids, sizes and slots, without the texts."""
     text = filled("text")
     equal = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    counted = equal.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(equal.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "counted")
     drawn = F.xxhash64("doc_id", "text_crc32", "copy")
-    return counted.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")).select(
+    return numbered(counted, "n").select(
         "doc_id", "size", "text_crc32", F.pmod(drawn, F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftrightunsigned(drawn, 48), F.lit(SUBS)).cast("int").alias("sub")
     )
 

@@ -4,7 +4,7 @@ Features are the distinct hashed 5- and 6-grams of the whole lower-cased text (a
 as blanks). A feature's value is its log ratio of document counts between toxic and other documents, drawn towards
 zero by its standard error, so n-grams that chance could explain drop out; a logistic model is trained on those.
 
-Learning uses a sample of about ``TRAIN_DOCS`` labelled documents. Counts are summed by Spark by n-gram bucket
+Learning uses a sample of about ``TRAIN_DOCS`` labelled documents, distinct in id or text. Counts are summed by Spark by n-gram bucket
 (``BUCKETS`` rows reach the driver at most) and the sample's features meet in one task.
 
 Defined cases: a null text is empty; empty texts score the bias (near the share of toxic labels); several labels of a
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm import linear
-from fathom.llm.sampling import bounded
+from fathom.llm.sampling import drawn
 from fathom.session import cut
 
 TRAIN_DOCS = 12_000
@@ -83,13 +83,14 @@ def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """``docs`` (doc_id, text) may be learned from; ``labels``: doc_id, toxic."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     marked = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("marked_id")).agg(F.max("toxic").alias("toxic"))
-    # Documents that may not be learned from leave before the sample is drawn, as only their ids matter here.
-    usable = marked.join(docs.select(F.col("doc_id").alias("marked_id")).distinct(), "marked_id", "left_semi").withColumn("all", F.lit(1))
-    chosen, _ = bounded(usable, "all", most, "marked_id")
-    chosen = F.broadcast(chosen.select("marked_id", "toxic"))  # about ``most`` rows
-    sample = cut(docs.join(chosen, docs["doc_id"] == chosen["marked_id"]).select("doc_id", "text", "toxic"), "sample")
+    # Ids and hashes are drawn first, so that of the texts only those in the sample are moved; each (id, text) counts once.
+    usable = docs.select("doc_id", "text_hash").join(marked, F.col("doc_id") == F.col("marked_id")).withColumn("all", F.lit(1))
+    chosen = drawn(usable, "all", most, keys={"chosen_id": F.col("doc_id"), "chosen_hash": F.col("text_hash")})
+    chosen = F.broadcast(chosen.select("chosen_id", "chosen_hash", "toxic"))  # about ``most`` rows
+    met = docs.join(chosen, (F.col("doc_id") == F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")))
+    sample = cut(met.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "toxic"), "sample")
     n_clean, n_toxic = sample.agg(F.count_if(F.col("toxic") <= 0), F.count_if(F.col("toxic") > 0)).first()
     if not n_clean or not n_toxic:
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
