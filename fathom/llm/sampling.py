@@ -39,4 +39,11 @@ def drawn(rows: DataFrame, label: str, most: int, *, keys: dict[str, Column]) ->
     counts = {r[0]: r[1] for r in keyed.groupBy(label).agg(F.approx_count_distinct(place)).collect()}
     at = F.pmod(place, F.lit(grain))
     chosen = [(F.col(label) == v) & (at < int(grain * min(1.0, most / max(1, n)))) for v, n in sorted(counts.items(), key=lambda x: str(x[0]))]
-    return keyed.where(reduce(lambda a, b: a | b, chosen, F.lit(False))).dropDuplicates([label, *keys])
+    return once(keyed.where(reduce(lambda a, b: a | b, chosen, F.lit(False))), [label, *keys])
+
+
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of the keys. The number of partitions is stated, or adaptive execution would bring a sample
+    together in one or two, whose texts and features then fill a single task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).dropDuplicates(keys)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm import linear
-from fathom.llm.sampling import drawn
+from fathom.llm.sampling import drawn, once
 from fathom.session import cut
 
 TRAIN_DOCS = 12_000
@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     chosen = drawn(usable, "all", most, keys={"chosen_id": F.col("doc_id"), "chosen_hash": F.col("text_hash")})
     chosen = F.broadcast(chosen.select("chosen_id", "chosen_hash", "toxic"))  # about ``most`` rows
     met = docs.join(chosen, (F.col("doc_id") == F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")))
-    sample = cut(met.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "toxic"), "sample")
+    sample = cut(once(met, ["doc_id", "text_hash"]).select("doc_id", "text", "toxic"), "sample")
     n_clean, n_toxic = sample.agg(F.count_if(F.col("toxic") <= 0), F.count_if(F.col("toxic") > 0)).first()
     if not n_clean or not n_toxic:
         share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
