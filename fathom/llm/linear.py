@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fathom.session import cut
 
 MOST_FEATURES = 16_000_000
+BATCH = 256  # documents that go to Python at a time
 
 
 def sigmoid(z: float) -> float:
@@ -60,7 +61,13 @@ def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.
         at = np.append(used, -1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(w[used], bias))], ["at", "w"])
 
-    found = chosen.drop("drawn").repartition(1).mapInArrow(run, "at int, w double").toPandas()
+    conf, rows_a_batch = chosen.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows_a_batch)
+    conf.set(rows_a_batch, min(BATCH, int(before)) if int(before) > 0 else BATCH)  # rows are long here: ten thousand would fill the task
+    try:
+        found = chosen.drop("drawn").repartition(1).mapInArrow(run, "at int, w double").toPandas()
+    finally:
+        conf.set(rows_a_batch, before)
     w = np.zeros(dims, np.float32)
     real = found[found["at"] >= 0]
     w[real["at"]] = real["w"]
