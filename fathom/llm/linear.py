@@ -19,8 +19,11 @@ def sigmoid(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], dims: int, epochs: int = 8, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label in 0..1, distinct indices, values); the order of ``rows`` does not matter."""
+def fit(
+    rows: list[tuple[float, np.ndarray, np.ndarray]], dims: int, epochs: int = 8, rate: float = 0.05, decay: float = 1e-4, values: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and bias from (label in 0..1, distinct indices, values); the order of ``rows`` does not matter. Where a
+    feature has the same value in all rows, ``values`` holds it by index and rows need none."""
     w, seen = np.zeros(dims), np.full(dims, 1e-8)
     share = np.clip(np.mean([y for y, _, _ in rows]), 1e-3, 1 - 1e-3) if rows else 0.5
     bias = float(np.log(share / (1 - share)))
@@ -28,6 +31,7 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], dims: int, epochs: int
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             y, at, x = rows[i]
+            x = x if values is None else values[at]
             own = w[at]
             error = sigmoid(bias + own @ x) - y
             slope = error * x + decay * own
@@ -37,7 +41,9 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], dims: int, epochs: int
     return w, bias
 
 
-def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.05, most: int = MOST_FEATURES) -> tuple[np.ndarray, float]:
+def fit_on_one(
+    features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.05, most: int = MOST_FEATURES, values: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
     """``features``: key long, y double, at array<int>, x array<float>, of a bounded number of rows. They meet in one
     task, in order of key; the weights (``dims`` at most) come back as rows.
 
@@ -56,7 +62,7 @@ def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.
             for key, y, at, x in zip(*b.columns, strict=True):
                 rows.append((key.as_py(), y.as_py(), at.values.to_numpy().copy(), x.values.to_numpy(zero_copy_only=False).copy()))
         rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))  # keys may tie: null and repeated ids
-        w, bias = fit([r[1:] for r in rows], dims, epochs, rate)
+        w, bias = fit([r[1:] for r in rows], dims, epochs, rate, values=values)
         used = np.flatnonzero(w)
         at = np.append(used, -1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(w[used], bias))], ["at", "w"])
@@ -76,7 +82,7 @@ def fit_on_one(features: DataFrame, dims: int, epochs: int = 8, rate: float = 0.
 
 
 def featurized(docs: DataFrame, features: Callable[[str], tuple[np.ndarray, np.ndarray]], y: str) -> DataFrame:
-    """key, y, at, x of rows with doc_id, text and a label column."""
+    """key, y, at, x of rows with doc_id, text and a label column. ``features`` may give no values (see ``fit``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,7 +36,7 @@ def test_toxicity_sample_is_bounded_under_few_ids(spark, monkeypatch):
     docs = spoken(spark, 2000, "n % 20")
     labels = docs.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
     fitted = []
-    monkeypatch.setattr(linear, "fit_on_one", lambda rows, dims: (fitted.append(rows.count()), (__import__("numpy").zeros(dims), 0.0))[1])
+    monkeypatch.setattr(linear, "fit_on_one", lambda rows, dims, values: (fitted.append(rows.count()), (__import__("numpy").zeros(dims), 0.0))[1])
     toxicity.train(docs, labels, most=600)
     assert 450 <= fitted[0] <= 750
 
