@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,7 +62,7 @@ def fit_on_one(
         for b in batches:
             for key, y, at, x in zip(*b.columns, strict=True):
                 rows.append((key.as_py(), y.as_py(), at.values.to_numpy().copy(), x.values.to_numpy(zero_copy_only=False).copy()))
-        rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))  # keys may tie: null and repeated ids
+        rows.sort(key=lambda r: (r[0], r[1], zlib.crc32(r[2])))  # keys may tie: null and repeated ids
         w, bias = fit([r[1:] for r in rows], dims, epochs, rate, values=values)
         used = np.flatnonzero(w)
         at = np.append(used, -1).astype(np.int32)
