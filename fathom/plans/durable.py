@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import ingestion as ing
+from fathom.operators import snapshots
 from fathom.operators.stores import Store
 from fathom.session import scratch_path, table
 
@@ -60,9 +61,20 @@ def staged_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ing.registered(staged, records, docs.where("doc_id % 3 <> 0").select(path.alias("path"))).drop("sha256", "source_url")
 
 
-QUERIES = {f.__name__: f for f in (durable_rows, ingestion_state, staged_registration)}
+def snapshot_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in two snapshots, changed in between; the first comes back, with the parts each of them wrote."""
+    held = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    folder = scratch_path(spark, "snapshots")
+    first = snapshots.store({"customer": held}, folder, "first", parts=16, created_ms=1)
+    changed = held.withColumn("c_name", F.when(F.col("c_custkey") == 7, "changed").otherwise(F.col("c_name")))
+    second = snapshots.store({"customer": changed}, folder, "second", parts=16, created_ms=2)
+    return snapshots.restore(spark, folder, 0)["customer"].select("*", F.lit(first["customer"]).cast("long").alias("wrote_first"), F.lit(second["customer"]).cast("long").alias("wrote_second"))
+
+
+QUERIES = {f.__name__: f for f in (durable_rows, ingestion_state, staged_registration, snapshot_restore)}
 
 ORACLE_SQL = {
+    "snapshot_restore": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, 16::BIGINT AS wrote_first, 1::BIGINT AS wrote_second FROM customer",
     "durable_rows": """
         SELECT o_custkey AS owner, o_orderkey AS item, o_orderstatus AS status, CASE WHEN c_nationkey = 6 THEN 99 ELSE o_custkey % 10 END::BIGINT AS folder
         FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IS NULL OR c_nationkey NOT IN (3, 4, 5)

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements that are dropped, that split, and that hold text.
-UNSAFE = frozenset("script style iframe object embed form noscript".split())
-CHROME = frozenset("nav header footer aside".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BLOCKS = frozenset("p li pre blockquote".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+UNSAFE = ("script", "style", "iframe", "object", "embed", "form", "noscript")
+CHROME = ("nav", "header", "footer", "aside")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+BLOCKS = ("p", "li", "pre", "blockquote")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 ROOTS = ("article", "main", "body")
 BODY = "正文"
 

@@ -77,6 +77,7 @@ def test_snapshots(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a")], "k long, v string")
     snapshots.store({"rows": rows}, str(tmp_path / "b"))
     assert snapshots.restore(spark, str(tmp_path / "b"))["rows"].collect() == rows.collect()
-    rows.write.mode("append").parquet(str(tmp_path / "b/tables/rows"))
+    part = next((tmp_path / "b/objects/rows").glob("_object=*"))
+    rows.write.mode("append").parquet(str(part))
     assert snapshots.problems(spark, str(tmp_path / "b")) == ["rows of rows"]
     assert snapshots.duplicate_keys(rows.union(rows), ["k"]).first().n == 2
