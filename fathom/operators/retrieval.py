@@ -37,11 +37,11 @@ def scope_filter(course: Column, file: Column, courses: list | None = None, cour
     return keep & file.isin(sorted(set(files))) if files else keep
 
 
-def _matrix(lists: pa.ListArray) -> np.ndarray:
+def matrix_of(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def _nearest_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def nearest_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (block, part, passing, id, vector) sorted by the first three: in each unit the query vectors are held, the
     corpus passes by, and the best ``k`` a query (and ties) stay."""
 
@@ -61,7 +61,7 @@ def _nearest_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     if held:
                         yield found()
                     unit, names, wanted, held = tuple(keys[start, :2]), [], [], []
-                own, matrix = b.column(3).slice(start, stop - start).to_numpy(), _matrix(b.column(4).slice(start, stop - start))
+                own, matrix = b.column(3).slice(start, stop - start).to_numpy(), matrix_of(b.column(4).slice(start, stop - start))
                 if not keys[start, 2]:
                     names.append(own)
                     wanted.append(matrix)
@@ -98,7 +98,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES, bloc
     held = wanted.select(dealt(blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("passing"), "id", "vector")
     passing = stored.select(every(blocks).alias("block"), dealt(parts).alias("part"), F.lit(1).alias("passing"), "id", "vector")
     units = held.union(passing).repartition(max(parts, min(blocks * parts, 16 * parts)), "block", "part").sortWithinPartitions("block", "part", "passing")
-    partial = units.mapInArrow(_nearest_batches(k), "query_id long, doc_id long, distance double")
+    partial = units.mapInArrow(nearest_batches(k), "query_id long, doc_id long, distance double")
     # Distances are compared as rounded, ties by id, so that every engine ranks alike.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "doc_id"))
     return partial.withColumn("vector_rank", rank.cast("long")).where(F.col("vector_rank") <= k)

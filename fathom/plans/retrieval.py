@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
+from fathom.functions.vectors import relevance
+from fathom.operators import pruned
 from fathom.operators import retrieval as rt
 from fathom.session import cut, table
 
@@ -50,8 +52,14 @@ def retrieval_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = rows.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     top = rt.vector_topk(rows, queries)
-    from fathom.functions.vectors import relevance
+    return top.select("query_id", "doc_id", "vector_rank", F.round(relevance(F.col("distance")), 6).alias("relevance"))
+
 
+def retrieval_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, by an index of clusters and pieces that bounds tell to read or to skip."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = rows.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    top = pruned.topk(rows, queries)
     return top.select("query_id", "doc_id", "vector_rank", F.round(relevance(F.col("distance")), 6).alias("relevance"))
 
 
@@ -112,6 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieval_vector_topk,
+        retrieval_pruned_topk,
         retrieval_bm25,
         retrieval_coverage,
         retrieval_hybrid,
@@ -196,17 +205,20 @@ _PICKS = """
     )
 """
 
+_NEAREST = """
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), dist AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
+            list_inner_product(q.v, q.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(q.v, c.v) AS distance
+        FROM v q, v c WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS vector_rank,
+        round(greatest(0, least(1, 1 - distance / 2)), 6) AS relevance
+    FROM dist QUALIFY vector_rank <= 10
+"""
+
 ORACLE_SQL = {
-    "retrieval_vector_topk": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), dist AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS doc_id,
-                list_inner_product(q.v, q.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(q.v, c.v) AS distance
-            FROM v q, v c WHERE q.vec_id % 100 = 0
-        )
-        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS vector_rank,
-            round(greatest(0, least(1, 1 - distance / 2)), 6) AS relevance
-        FROM dist QUALIFY vector_rank <= 10
-    """,
+    "retrieval_vector_topk": _NEAREST,
+    "retrieval_pruned_topk": _NEAREST,
     "retrieval_bm25": _sql("SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM ranked"),
     "retrieval_coverage": _sql("SELECT query_id, doc_id, round(coverage, 6) AS coverage FROM ranked"),
     "retrieval_hybrid": _sql("SELECT query_id, doc_id, hybrid_rank, round(hybrid, 6) AS hybrid FROM ranked"),
