@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import fuzzy, nested
-from fathom.operators import names
+from fathom.operators import names, tree
 
 
 def due_between(deadlines: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -47,6 +47,32 @@ def matching(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def listed_conversations(conversations: DataFrame, messages: DataFrame, courses: DataFrame, text: str = "", course_id: int | None = None, n: int = 200) -> DataFrame:
+    """The list of conversations (conv_id, title, course_id, pinned, updated): those with the text in title or messages, if one
+    is given (stripped; % and _ stay wild), and of the course, if one is given, 0 being those of none. Adds course_name,
+    n_messages and rank: pinned ones first, then by last change, then id; the first ``n``."""
+    text, parts = text.strip(), []
+    said = F.bool_or(F.col("content").ilike(f"%{text}%")) if text else F.lit(True)
+    told = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), said.alias("said"))
+    if text:
+        parts.append(F.coalesce("said", F.lit(False)) | F.coalesce(F.col("title").ilike(f"%{text}%"), F.lit(False)))
+    if course_id is not None:
+        parts.append(F.col("course_id").isNull() if course_id == 0 else F.col("course_id") == course_id)
+    order = [F.desc_nulls_last("pinned"), F.desc_nulls_last("updated"), F.col("conv_id")]
+    first = conversations.join(told, "conv_id", "left").where(matching(parts)).orderBy(*order).limit(n)
+    ranked = first.withColumns({"n_messages": F.coalesce("n_messages", F.lit(0)), "rank": F.row_number().over(Window.orderBy(*order)).cast("long")})  # n rows
+    return ranked.drop("said").join(courses.select("course_id", "course_name"), "course_id", "left")
+
+
+def with_paths(found: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame:
+    """Results (kind, id, ...) with path: a folder's own, a file's (id, folder_id) folder's; the root's label where there is none."""
+    of_file = files.select(F.lit("file").alias("kind"), "id", F.col("folder_id").alias("at"))
+    at = F.when(F.col("kind") == "folder", F.col("id")).otherwise(F.col("at"))
+    placed = found.join(of_file, ["kind", "id"], "left").withColumn("at", at)
+    ways = tree.paths(folders).select(F.col("id").alias("way_of"), "path")
+    return placed.join(ways, F.col("at") == F.col("way_of"), "left").withColumn("path", F.coalesce("path", F.lit(tree.ROOT))).drop("at", "way_of")
+
+
 def search_conversations(conversations: DataFrame, messages: DataFrame, text: str) -> DataFrame:
     """Conversations whose title or a message holds the text (case-insensitive; % and _ stay wild), with the number of
     their messages. One pre-aggregation of the messages serves both."""

@@ -215,6 +215,15 @@ def section_suffix(kind: Column, section: Column) -> Column:
     return F.when(shown, F.concat(F.lit("｜"), section)).otherwise("")
 
 
+def located(selected: DataFrame) -> DataFrame:
+    """Adds place, as the label of a passage shows it, from page, location_type, location_index and section. Without a type, a
+    page makes it one and all else stands under a heading; without an index above 0, the page counts."""
+    page = F.when(F.col("page") > 0, F.col("page"))
+    kind = F.coalesce(F.nullif("location_type", F.lit("")), F.when(page.isNotNull(), "page").otherwise("heading"))
+    index = F.coalesce(F.when(F.col("location_index") > 0, F.col("location_index")), page)
+    return selected.withColumn("place", F.concat(location_label(kind, index, F.col("section")), section_suffix(kind, F.col("section"))))
+
+
 def context(selected: DataFrame, queries: DataFrame) -> DataFrame:
     """One text a query: labelled passages in order, or a note that there is no evidence. Needs file, place, body."""
     label = F.concat(F.lit("【来源"), F.col("final_rank").cast("string"), F.lit("｜"), "file", F.lit("｜"), "place", F.lit("】\n"), "body")

@@ -1,5 +1,5 @@
 """The query catalogue, by workload."""
 
-from fathom.plans import catalog, documents, durable, events, lifecycle, retrieval, upkeep
+from fathom.plans import catalog, documents, durable, events, lifecycle, places, retrieval, upkeep
 
-ALL = [retrieval, documents, catalog, events, lifecycle, upkeep, durable]
+ALL = [retrieval, documents, catalog, events, lifecycle, upkeep, durable, places]

@@ -81,3 +81,21 @@ def test_snapshots(spark, tmp_path):
     rows.write.mode("append").parquet(str(part))
     assert snapshots.problems(spark, str(tmp_path / "b")) == ["rows of rows"]
     assert snapshots.duplicate_keys(rows.union(rows), ["k"]).first().n == 2
+
+
+def test_conversation_lists_by_text_and_course(spark):
+    talks = spark.createDataFrame([(1, "Limits", 3, False, 5), (2, "other", None, True, 1), (3, None, 3, None, 9), (4, "Limits 2", 4, False, None)], "conv_id long, title string, course_id long, pinned boolean, updated long")
+    said = spark.createDataFrame([(2, "about LIMITS"), (3, "x"), (3, None)], "conv_id long, content string")
+    courses = spark.createDataFrame([(3, "maths")], "course_id long, course_name string")
+    got = lambda *a: [(r.conv_id, r.course_name, r.n_messages) for r in ct.listed_conversations(talks, said, courses, *a).orderBy("rank").collect()]
+    assert got() == [(2, None, 1), (1, "maths", 0), (4, None, 0), (3, "maths", 2)]
+    assert got(" limits ") == [(2, None, 1), (1, "maths", 0), (4, None, 0)]
+    assert got("limits", 0) == [(2, None, 1)] and got("", 3) == [(1, "maths", 0), (3, "maths", 2)] and got("", None, 1) == [(2, None, 1)]
+
+
+def test_paths_of_results(spark):
+    folders = spark.createDataFrame([(1, None, "a"), (2, 1, "b")], "id long, parent_id long, name string")
+    files = spark.createDataFrame([(1, 2), (2, None), (3, 77)], "id long, folder_id long")
+    found = spark.createDataFrame([("folder", 2), ("file", 1), ("file", 2), ("file", 3)], "kind string, id long")
+    got = {(r.kind, r.id): r.path for r in ct.with_paths(found, files, folders).collect()}
+    assert got == {("folder", 2): "根目录 / a / b", ("file", 1): "根目录 / a / b", ("file", 2): "根目录", ("file", 3): "根目录"}

@@ -64,3 +64,9 @@ def test_scope(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "c int, f int")
     kept = lambda **k: [r.c for r in df.where(rt.scope_filter(F.col("c"), F.col("f"), **k)).orderBy("c").collect()]
     assert kept() == [1, 2, 3] and kept(courses=[2, 2], course_id=1) == [2] and kept(course_id=1) == [1] and kept(courses=[1, 2], files=[20]) == [2]
+
+
+def test_places_of_passages(spark):
+    rows = [(3, None, None, "s"), (0, None, None, "s"), (0, None, None, "正文"), (4, "slide", 0, None), (None, "web_section", 2, ""), (5, "page", 7, "t"), (None, "page", None, "t"), (None, None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, page long, location_type string, location_index long, section string")
+    assert [r.place for r in rt.located(df).orderBy("id").collect()] == ["第 3 页｜s", "章节：s", "位置未标注", "第 4 张幻灯片", "网页章节 2", "第 7 页｜t", "章节：t｜t", "位置未标注"]
