@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import fuzzy
 from fathom.operators import catalog as ct
-from fathom.operators import intervals
+from fathom.operators import intervals, scans
 from fathom.operators import retrieval as rt
 from fathom.plans import catalog, retrieval
 from fathom.session import cut, table
@@ -23,6 +23,13 @@ def folder_scope_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.scope(cut(intervals.labelled(folders), "labels"), folders.where("id < 1000"))
 
 
+def source_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document lies below the one before it of its source: one chain a source, as deep as it has documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    after = scans.running(docs, "source", ["doc_id"], {"parent_id": scans.Carry("last_before", F.col("doc_id"))})
+    return intervals.labelled(after.select(F.col("doc_id").alias("id"), "parent_id", F.col("source").alias("name")))
+
+
 def search_with_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders and customers (files of their nation's folder; every fifth nation's lie in the root) by name, with paths."""
     folders = catalog._folders(spark, sf_dir)
@@ -56,7 +63,7 @@ def retrieval_context_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("query_id", "insufficient", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-QUERIES = {f.__name__: f for f in (folder_intervals, folder_scope_ranges, search_with_paths, conversation_filters, retrieval_context_places)}
+QUERIES = {f.__name__: f for f in (folder_intervals, folder_scope_ranges, source_chains, search_with_paths, conversation_filters, retrieval_context_places)}
 
 _LIST = """(SELECT '{name}' AS list, row_number() OVER (ORDER BY pinned DESC, updated DESC, c.conv_id) AS rank, c.conv_id, n_name AS course_name, turns AS n_messages
     FROM c LEFT JOIN nation ON n_nationkey = course_id WHERE {keep} QUALIFY rank <= 200)"""
@@ -72,6 +79,9 @@ ORACLE_SQL = {
             SELECT id AS scope_id, id, 0::BIGINT AS depth FROM folders WHERE id < 1000
             UNION ALL SELECT t.scope_id, f.id, t.depth + 1 FROM folders f JOIN t ON f.parent_id = t.id
         ) SELECT * FROM t""",
+    "source_chains": """WITH c AS (
+            SELECT doc_id, min(doc_id) OVER s AS root_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS depth, count(*) OVER s AS n FROM documents WINDOW s AS (PARTITION BY source)
+        ) SELECT doc_id AS id, root_id, depth, depth AS first, 2 * n - 1 - depth AS last, n - depth AS n_below FROM c""",
     "search_with_paths": "WITH RECURSIVE "
     + catalog._FOLDERS
     + """, ways AS (
