@@ -1,9 +1,12 @@
 """Pre-order interval labels of folder trees: whether a folder lies below another is a range test on two numbers.
 
 A tree is read as the walk around it: down into a folder, through its subfolders by id, and up again. Each step of the
-walk knows the next one, and pointer jumping (each round a step looks twice as far) numbers all steps in log2(steps)
-joins of one row a step. No row carries its ancestors, so a chain of any depth costs rows by its length only; the
-largest group of subfolders is ordered by ranges (``scans``), not in one task.
+walk knows the one before it, and pointer jumping (each round a step looks twice as far back) numbers all steps in
+log2(steps) joins of one row a step. No row carries its ancestors, so a chain of any depth costs rows by its length only;
+the largest group of subfolders is ordered by ranges (``scans``), not in one task.
+
+Both sides of these joins grow with the table, so they are merged (``merge``): files of numbers in a row are far smaller
+than the rows in them, and by the size of the files Spark would send all steps through the driver in each round.
 
 Defined cases: of rows with equal ids, the least (name, parent) counts; a folder whose parent is missing is the root of a
 tree of its own; folders on a cycle, or below one, are in no tree and have null labels; rows with a null id are left
@@ -16,25 +19,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators import scans
-from fathom.session import cut
+from fathom.session import cut, discard
 
 _DOWN = lambda c: F.shiftleft(F.col(c), 1)
 _UP = lambda c: F.shiftleft(F.col(c), 1) + 1
+_NONE = lambda: F.lit(None).cast("long")
 
 
 def _walk(folders: DataFrame, most_rows: int) -> DataFrame:
-    """step, next (null at the end of a tree), weight (+1 down, -1 up)."""
+    """step, before (null at the start of a tree), weight (+1 down, -1 up)."""
     own = folders.where("id is not null").groupBy("id").agg(F.min(F.struct("name", "parent_id")).alias("x")).select(F.col("id").cast("long").alias("id"), F.col("x.parent_id").cast("long").alias("parent_id"))
     own = cut(own, "folders")
     known = own.select(F.col("id").alias("known"))
-    linked = cut(own.join(known, F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("parent")), "linked")
+    placed = own.where("parent_id is not null").join(known.hint("merge"), F.col("parent_id") == F.col("known"), "left").select("id", F.col("known").alias("parent"))
+    linked = cut(placed.union(own.where("parent_id is null").select("id", "parent_id")), "linked")
     below = linked.where("parent is not null")
-    after = scans.running(below.withColumn("turned", -F.col("id")), "parent", ["turned"], {"sibling": scans.Carry("last_before", F.col("id"))}, most_rows)
-    siblings = after.select(F.col("id").alias("of"), "sibling")
-    first = below.groupBy(F.col("parent").alias("above")).agg(F.min("id").alias("child"))
-    down = linked.join(first, F.col("id") == F.col("above"), "left").select(_DOWN("id").alias("step"), F.coalesce(_DOWN("child"), _UP("id")).alias("next"), F.lit(1).cast("long").alias("weight"))
-    up = linked.join(siblings, F.col("id") == F.col("of"), "left").select(_UP("id").alias("step"), F.coalesce(_DOWN("sibling"), _UP("parent")).alias("next"), F.lit(-1).cast("long").alias("weight"))
-    return down.union(up)
+    after = scans.running(below, "parent", ["id"], {"sibling": scans.Carry("last_before", F.col("id"))}, most_rows)
+    tops = linked.where("parent is null").select(_DOWN("id").alias("step"), _NONE().alias("before"))
+    down = tops.union(after.select(_DOWN("id"), F.coalesce(_UP("sibling"), _DOWN("parent"))))
+    children = linked.select("id", _NONE().alias("child")).union(below.select("parent", "id"))
+    up = children.groupBy("id").agg(F.max("child").alias("child")).select(_UP("id").alias("step"), F.coalesce(_UP("child"), _DOWN("id")).alias("before"))
+    return down.withColumn("weight", F.lit(1).cast("long")).union(up.withColumn("weight", F.lit(-1).cast("long")))
 
 
 def labelled(folders: DataFrame, most_rows: int = scans.MOST_ROWS) -> DataFrame:
@@ -44,29 +49,27 @@ def labelled(folders: DataFrame, most_rows: int = scans.MOST_ROWS) -> DataFrame:
     the same root exactly if its ``first`` is between the other's. ``n_below`` counts the folder itself."""
     walk = cut(_walk(folders, most_rows), "walk")
     steps = walk.count()
-    rows = walk.select("step", "next", F.when(F.col("next").isNull(), F.col("step")).alias("end"), F.lit(1).cast("long").alias("ahead"), "weight")
+    # Of the steps after ``before``, up to and with the own one: their number and the sum of their weights.
+    rows = walk.select("step", "before", F.when(F.col("before").isNull(), F.col("step")).alias("start"), F.lit(1).cast("long").alias("since"), "weight")
+    written = walk
     for _ in range(max(steps, 1).bit_length() + 1):  # further rounds would only go around cycles
-        rows = cut(rows, "walk")
-        if rows.where("next is not null").isEmpty():
+        if rows.where("before is not null").isEmpty():
             break
-        far = rows.select(F.col("step").alias("at"), F.col("next").alias("on"), F.col("end").alias("far_end"), F.col("ahead").alias("more"), F.col("weight").alias("more_weight"))
-        open_rows = rows.where("next is not null").join(far, F.col("next") == F.col("at"))
-        moved = open_rows.select("step", F.col("on").alias("next"), F.col("far_end").alias("end"), (F.col("ahead") + F.col("more")).alias("ahead"), (F.col("weight") + F.col("more_weight")).alias("weight"))
-        rows = rows.where("next is null").select(*moved.columns).union(moved)
-    rows = rows.select(F.shiftright("step", 1).alias("id"), (F.col("step") % 2 == 0).alias("downward"), "next", "end", "ahead", "weight")
-    told = cut(
-        rows.groupBy("id").agg(
-            F.max(F.when(F.col("next").isNull(), F.shiftright("end", 1))).alias("root_id"),
-            F.max(F.when(F.col("downward") & F.col("next").isNull(), -F.col("weight"))).alias("depth"),
-            F.max(F.when(F.col("downward"), F.col("ahead"))).alias("from_down"),
-            F.max(F.when(~F.col("downward"), F.col("ahead"))).alias("from_up"),
-        ),
-        "told",
+        far = rows.select(F.col("step").alias("at"), F.col("before").alias("on"), F.col("start").alias("far_start"), F.col("since").alias("more"), F.col("weight").alias("more_weight"))
+        open_rows = rows.where("before is not null").join(far.hint("merge"), F.col("before") == F.col("at"))
+        moved = open_rows.select("step", F.col("on").alias("before"), F.col("far_start").alias("start"), (F.col("since") + F.col("more")).alias("since"), (F.col("weight") + F.col("more_weight")).alias("weight"))
+        rows = cut(rows.where("before is null").select(*moved.columns).union(moved), "walk")
+        discard(written)
+        written = rows
+    rows = rows.select(F.shiftright("step", 1).alias("id"), (F.col("step") % 2 == 0).alias("downward"), "before", "start", "since", "weight")
+    ended, downward = F.col("before").isNull(), F.col("downward")
+    told = rows.groupBy("id").agg(
+        F.max(F.when(ended, F.shiftright("start", 1))).alias("root_id"),
+        F.max(F.when(ended & downward, F.col("weight") - 1)).alias("depth"),
+        F.max(F.when(ended & downward, F.col("since") - 1)).alias("first"),
+        F.max(F.when(ended & ~downward, F.col("since") - 1)).alias("last"),
     )
-    whole = told.where("id = root_id").select(F.col("id").alias("root"), F.col("from_down").alias("steps"))
-    first, last = F.col("steps") - F.col("from_down"), F.col("steps") - F.col("from_up")
-    joined = told.join(whole, F.col("root_id") == F.col("root"), "left")
-    return joined.select("id", "root_id", "depth", first.alias("first"), last.alias("last"), ((last - first + 1) / 2).cast("long").alias("n_below"))
+    return told.withColumn("n_below", ((F.col("last") - F.col("first") + 1) / 2).cast("long"))
 
 
 def scope(labels: DataFrame, roots: DataFrame) -> DataFrame:

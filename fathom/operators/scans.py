@@ -83,10 +83,11 @@ def running(rows: DataFrame, key: str, order: list[str], carries: dict[str, Carr
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest // most_rows))
     dealt = cut(rows.repartitionByRange(n, key, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
     ends = dealt.groupBy(key, "_piece").agg(*(_summary(c, order).alias(f"s_{n}") for n, c in carries.items()))
-    # Of the pieces before, by key: at most one row a piece.
+    # Of the pieces before, by key: at most one row a piece, of the key that goes on in it.
     onward = {"last_before": F.last, "seen_before": lambda v: F.last(v, ignorenulls=True), "sum_before": F.sum, "min": F.min}
     pieces_before = _window([key], ["_piece"], -1)
-    carried = cut(ends.select(F.col(key).alias("_key"), F.col("_piece").alias("_of"), *(onward.get(c.kind, F.max)(F.col(f"s_{n}")).over(pieces_before).alias(f"c_{n}") for n, c in carries.items())), "carried")
+    carried = ends.select(F.col(key).alias("_key"), F.col("_piece").alias("_of"), *(onward.get(c.kind, F.max)(F.col(f"s_{n}")).over(pieces_before).alias(f"c_{n}") for n, c in carries.items()), F.count(F.lit(1)).over(pieces_before).alias("_before"))
+    carried = cut(carried.where("_before > 0").drop("_before"), "carried")
     own = dealt.select("*", *(_own(c, [key, "_piece"], order).alias(f"_{n}") for n, c in carries.items()))
     met = own.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_of")), "left")
     return met.select(*rows.columns, *(unboxed(n, c, _joined(c, F.col(f"_{n}"), F.col(f"c_{n}"))) for n, c in carries.items()))

@@ -55,6 +55,17 @@ def test_a_deep_chain(spark):
     assert sorted((r.scope_id, r.id, r.depth) for r in inside.collect()) == [(n - 3, n - 3, 0), (n - 3, n - 2, 1), (n - 3, n - 1, 2)]
 
 
+def test_nothing_is_sent_to_all_executors(spark):
+    """Any broadcast fails here, even if by the size of the files it is worth it."""
+    r = random.Random(9)
+    rows = [(i, r.randrange(i) if i > 5 else None, "x") for i in range(400)] + [(i, i - 1 if i > 400 else None, "x") for i in range(400, 3000)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")
+    try:
+        assert got(intervals.labelled(spark.createDataFrame(rows, FOLDERS))) == by_hand(rows)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_odd_folders(spark):
     rows = [(1, None, "a"), (1, None, "b"), (2, 1, None), (3, 99, "lost"), (4, 5, "x"), (5, 4, "y"), (6, 4, "under a cycle"), (7, 7, "itself"), (None, 1, "no id")]
     made = got(intervals.labelled(spark.createDataFrame(rows, FOLDERS)))

@@ -47,6 +47,16 @@ def test_a_hot_key_is_spread(spark):
     assert pieces.count() > 100 and pieces.agg({"count": "max"}).first()[0] < 1000
 
 
+def test_only_keys_that_go_on_are_carried(spark, monkeypatch):
+    rows = [(7 if i % 2 else i, i, i % 13) for i in range(4_000)]
+    made, cuts = spark.createDataFrame(rows, "key long, seq long, v long"), {}
+    kept = scans.cut
+    monkeypatch.setattr(scans, "cut", lambda df, name: cuts.setdefault(name, kept(df, name)))
+    got = scans.running(made, "key", ["seq"], {k: scans.Carry(k, F.col("v")) for k in KINDS}, 100)
+    assert {(r.key, r.seq): tuple(r[k] for k in KINDS) for r in got.collect()} == plain(rows)
+    assert 0 < cuts["carried"].count() < cuts["pieces"].select("_piece").distinct().count()
+
+
 def test_task_operators_in_pieces_equal_windows(spark, monkeypatch):
     rng = random.Random(8)
     states = list(tk.STEPS)
