@@ -74,6 +74,6 @@ def labelled(folders: DataFrame, most_rows: int = scans.MOST_ROWS) -> DataFrame:
 
 def scope(labels: DataFrame, roots: DataFrame) -> DataFrame:
     """scope_id, id, depth: the folders at or below each of ``roots`` (id), by labels alone; depth counts from there."""
-    wanted = labels.join(roots.select("id").distinct(), "id").select(F.col("id").alias("scope_id"), F.col("root_id").alias("of"), F.col("first").alias("low"), F.col("last").alias("high"), F.col("depth").alias("from_depth"))
+    wanted = cut(labels.join(roots.select("id").distinct().hint("merge"), "id").select(F.col("id").alias("scope_id"), F.col("root_id").alias("of"), F.col("first").alias("low"), F.col("last").alias("high"), F.col("depth").alias("from_depth")), "scopes")  # of known size, so that the join sends these rows, not all labels
     inside = labels.join(wanted, (F.col("root_id") == F.col("of")) & F.col("first").between(F.col("low"), F.col("high")))
     return inside.select("scope_id", "id", (F.col("depth") - F.col("from_depth")).alias("depth"))

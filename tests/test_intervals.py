@@ -66,6 +66,17 @@ def test_nothing_is_sent_to_all_executors(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_scopes_do_not_send_all_labels(spark, tmp_path):
+    n = 60_000
+    spark.range(n).selectExpr("id", "0L root_id", "id depth", "id first", f"{2 * n - 1}L - id last", f"{n}L - id n_below").write.parquet(f"{tmp_path}/labels")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        inside = intervals.scope(spark.read.parquet(f"{tmp_path}/labels"), spark.createDataFrame([(n - 3,), (n - 1,), (n,)], "id long"))
+        assert sorted((r.scope_id, r.id, r.depth) for r in inside.collect()) == [(n - 3, n - 3, 0), (n - 3, n - 2, 1), (n - 3, n - 1, 2), (n - 1, n - 1, 0)]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_odd_folders(spark):
     rows = [(1, None, "a"), (1, None, "b"), (2, 1, None), (3, 99, "lost"), (4, 5, "x"), (5, 4, "y"), (6, 4, "under a cycle"), (7, 7, "itself"), (None, 1, "no id")]
     made = got(intervals.labelled(spark.createDataFrame(rows, FOLDERS)))
